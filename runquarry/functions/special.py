@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -37,15 +37,23 @@ def studentized_range_tail(q: np.ndarray, k: int) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-@F.pandas_udf("double")
-def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi2_tail(a, int(b)) for a, b in zip(x, df)], dtype="float64")
+def chi2_sf(x: Column, df: Column) -> Column:
+    """Column form of :func:`chi2_tail`."""
 
+    def tails(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([chi2_tail(a, int(b)) for a, b in zip(x, df)], dtype="float64")
 
-@F.pandas_udf("double")
-def studentized_range_sf(q: pd.Series, k: pd.Series) -> pd.Series:
-    out = np.full(len(q), np.nan)
-    for size in k.unique():
-        rows = (k == size).to_numpy()
-        out[rows] = studentized_range_tail(q.to_numpy(dtype="float64")[rows], int(size))
-    return pd.Series(out)
+    return F.pandas_udf(tails, T.DoubleType())(x, df)
+
+
+def studentized_range_sf(q: Column, k: Column) -> Column:
+    """Column form of :func:`studentized_range_tail`."""
+
+    def tails(q: pd.Series, k: pd.Series) -> pd.Series:
+        out = np.full(len(q), np.nan)
+        for size in k.unique():
+            rows = (k == size).to_numpy()
+            out[rows] = studentized_range_tail(q.to_numpy(dtype="float64")[rows], int(size))
+        return pd.Series(out)
+
+    return F.pandas_udf(tails, T.DoubleType())(q, k)

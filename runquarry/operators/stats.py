@@ -105,7 +105,7 @@ def friedman(df: DataFrame, model: str, block: Sequence[str], metric: str, digit
     raw = F.lit(12.0) / (n * k * (k + 1)) * F.col("_rr") - F.lit(3.0) * n * (k + 1)
     statistic = F.when(F.col("k") < 3, few).otherwise(raw / F.nullif(correction, F.lit(0.0)))
     out = one.select(statistic.alias("statistic"), "k", "n").withColumn(
-        "p_value", F.nanvl(chi2_sf("statistic", (F.col("k") - 1).cast("int")), F.lit(None).cast("double")))
+        "p_value", F.nanvl(chi2_sf(F.col("statistic"), (F.col("k") - 1).cast("int")), F.lit(None).cast("double")))
     return out.select(_rounded(F.col("statistic"), digits).alias("statistic"), "k", "n",
                       _rounded(F.col("p_value"), digits).alias("p_value"))
 
