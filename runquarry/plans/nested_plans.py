@@ -1 +1,52 @@
-"""Registered queries."""
+"""Nested parameters: each event's flat properties wrapped in an object and a list."""
+
+from pyspark.sql import functions as F
+
+from runquarry.operators import nested as N
+from runquarry.plans.registry import query
+
+
+def _documents(t):
+    """{"list":[event_type, user_id],"outer":{"k":…}}; the keys are in sorted order already."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    doc = F.concat(F.lit('{"list":["'), "event_type", F.lit('",'), F.col("user_id").cast("string"), F.lit('],"outer":{"k":'), k.cast("string"), F.lit("}}"))
+    return t["events"].select("event_id", doc.alias("document"), "event_type", "user_id", "value")
+
+
+_DOC = """concat('{"list":["', event_type, '",', cast(user_id AS string), '],"outer":{"k":', json_extract_string(props, '$.k'), '}}')"""
+_DOCS = f"docs AS (SELECT event_id, {_DOC} AS document FROM events)"
+
+
+@query("flatten_params", f"""
+WITH {_DOCS} SELECT event_id, replace(regexp_replace(regexp_replace(j.fullkey, '^\\$\\.', ''), '\\[([0-9]+)\\]', '/item_\\1', 'g'), '.', '/') AS path,
+       json_extract_string(j.atom, '$') AS value FROM docs, json_tree(docs.document) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')""")
+def _(t):
+    return N.flatten_params(_documents(t), ["event_id"], "document")
+
+
+@query("flatten_params_dicts", """
+SELECT event_id, 'outer/k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL
+SELECT event_id, 'list', concat('["', event_type, '",', cast(user_id AS string), ']') FROM events""")
+def _(t):
+    return N.flatten_params(_documents(t), ["event_id"], "document", lists=False)
+
+
+@query("unflatten_params", """
+SELECT event_id, concat('{"list":{"item_0":"', event_type, '","item_1":', cast(user_id AS string), '},"outer":{"k":',
+                        json_extract_string(props, '$.k'), '}}') AS document FROM events""")
+def _(t):
+    return N.unflatten_params(N.flatten_params(_documents(t), ["event_id"], "document", as_json=True), ["event_id"])
+
+
+@query("unflatten_params_lists", f"SELECT event_id, {_DOC} AS document FROM events")
+def _(t):
+    return N.unflatten_params(N.flatten_params(_documents(t), ["event_id"], "document", as_json=True), ["event_id"], lists=True)
+
+
+@query("deep_merge_params", """
+SELECT event_id, concat('{"list":["new"],"outer":{"k":', json_extract_string(props, '$.k'), ',"type":"', event_type, '"},"user":',
+                        cast(user_id AS string), '}') AS document FROM events""")
+def _(t):
+    right = F.concat(F.lit('{"outer":{"type":"'), "event_type", F.lit('"},"list":["new"],"user":'), F.col("user_id").cast("string"), F.lit("}"))
+    merged = N.deep_merge_params(_documents(t).withColumn("right", right), "document", "right", out="merged")
+    return merged.select("event_id", F.col("merged").alias("document"))

@@ -1 +1,19 @@
-"""Registered queries."""
+"""Streaming view of the metric log."""
+
+from pyspark.sql import functions as F
+
+from runquarry.functions.scale import scratch_path
+from runquarry.plans.fixtures import VIEWS
+from runquarry.plans.registry import query
+from runquarry.streaming import current_latest_metrics, start_latest_metrics
+
+
+@query("stream_latest_metrics", """
+SELECT run_uuid, key, value FROM (SELECT *, row_number() OVER (
+    PARTITION BY run_uuid, key ORDER BY step DESC, ts DESC, value DESC) AS r FROM metrics) WHERE r = 1""")
+def _(t):
+    lines = (t.spark.readStream.schema(t["lineitem"].schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.sf_dir))
+    log = t.spark.sql(VIEWS["metrics"].replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines)
+    out = scratch_path(t.spark, "latest-metrics")
+    start_latest_metrics(log, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return current_latest_metrics(t.spark, f"{out}/rows").select("run_uuid", "key", F.col("value"))
