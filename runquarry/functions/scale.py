@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 MAX_DRIVER_VALUES = 10_000
 # Rows of an ordered list that one window task may number.
 MAX_SINGLE_TASK_ROWS = 10_000
+# Rows of one group that one window task may sort; larger groups are cut in bins.
+MAX_WINDOW_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +49,11 @@ def distinct_values(df: DataFrame, column: str, limit: int = MAX_DRIVER_VALUES)
     return sorted(r[0] for r in rows)
 
 
+def largest_group(df: DataFrame, groups: Sequence[str]) -> int:
+    """Rows of the largest group, counted with map-side combine."""
+    return df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 def number_rows(df: DataFrame, order: Sequence[str | Column], out: str = "row_no",
                 single_task_rows: int = MAX_SINGLE_TASK_ROWS) -> DataFrame:
     """Add the 0-based position of each row in the total order ``order``.

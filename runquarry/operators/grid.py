@@ -26,6 +26,11 @@ def combination_grid(spark: SparkSession, values: Mapping[str, object]) -> DataF
     for name, value in values.items():
         if isinstance(value, DataFrame):
             column = value.columns[0]
+            few = value.limit(_MAX_INLINE_VALUES + 1).collect()
+            if len(few) <= _MAX_INLINE_VALUES:
+                lists[name] = sorted((r[0] for r in few), key=lambda v: (v is not None, v))
+                sizes.append(len(few))
+                continue
             lists[name] = number_rows(value.select(F.col(column).alias(name)), [name], out="_digit")
             sizes.append(lists[name].count())
             continue

@@ -35,26 +35,30 @@ def log_metrics(results: DataFrame, run: str = "run_uuid", step: str = "step_nam
     of_step = F.when((F.col("_s") != "") & F.col("_k").isin(*STEP_NUMBERS), F.concat_ws("_", "_s", "_k"))
     of_run = F.when((F.col("_s") == "") & run_level, F.col("_k"))
     own = F.when((F.col("_s") == EVALUATION_STEP) & (F.col("_k") != "elapsed_time"), F.col("_k"))
-    names = F.array_compact(F.array(of_step, of_run, own))
-    return rows.select(run, F.explode(names).alias("key"), "value")
+    named = rows.select(run, F.explode(F.array(of_step, of_run, own)).alias("key"), "value")
+    return named.where(F.col("key").isNotNull())
 
 
 def log_params_with_changes(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Rows to add for new params: unknown keys as they are, the same value not at all, another value as
     ``<key>_change_<n>`` with the smallest free n."""
-    known = existing.select("run_uuid", "key", F.col("value").alias("_old"))
-    compared = new.select("run_uuid", "key", "value").join(known, ["run_uuid", "key"], "left")
-    fresh = compared.where(F.col("_old").isNull()).select("run_uuid", "key", "value")
-    changed = compared.where(F.col("_old") != F.col("value")).select("run_uuid", "key", "value")
-    used = existing.select("run_uuid", F.regexp_extract("key", "^(.*)_change_([0-9]+)$", 1).alias("key"),
-                           F.regexp_extract("key", "^(.*)_change_([0-9]+)$", 2).try_cast("int").alias("_no"))
-    used = (used.where(F.col("_no").isNotNull()).join(changed.select("run_uuid", "key"), ["run_uuid", "key"], "left_semi")
-            .groupBy("run_uuid", "key").agg(F.collect_set("_no").alias("_used")))
-    taken = F.coalesce(F.col("_used"), F.array().cast("array<int>"))
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size(taken) + 1), taken))
-    renamed = (changed.join(used, ["run_uuid", "key"], "left")
-               .select("run_uuid", F.concat("key", F.lit("_change_"), free.cast("string")).alias("key"), "value"))
-    return fresh.unionByName(renamed)
+    touched = existing.select("run_uuid", "key", "value").join(new.select("run_uuid").distinct(), "run_uuid", "left_semi")
+    suffix = "_change_([0-9]+)$"
+    renamed = F.col("key").rlike(suffix)
+    none = F.lit(None)
+
+    def entry(key: Column, old: Column, number: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), old.cast("string").alias("old"), number.cast("int").alias("number"), value.cast("string").alias("value"))
+
+    itself = entry(F.col("key"), F.col("value"), none, none)
+    base = entry(F.regexp_replace("key", suffix, ""), none, F.regexp_extract("key", suffix, 1).try_cast("int"), none)
+    old = touched.select("run_uuid", F.explode(F.when(renamed, F.array(itself, base)).otherwise(F.array(itself))).alias("_e"))
+    rows = old.unionByName(new.select("run_uuid", entry(F.col("key"), none, none, F.col("value")).alias("_e"))).select("run_uuid", "_e.*")
+    # one group per (run, key): its logged value, the numbers already used and the new value
+    met = rows.groupBy("run_uuid", "key").agg(F.max("old").alias("old"), F.collect_set("number").alias("used"), F.max("value").alias("value"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), F.col("used")))
+    name = F.when(F.col("old").isNull(), F.col("key")).otherwise(F.concat("key", F.lit("_change_"), free.cast("string")))
+    return met.where(F.col("value").isNotNull() & ~F.col("old").eqNullSafe(F.col("value"))).select("run_uuid", name.alias("key"), "value")
 
 
 def log_outcome(outcomes: DataFrame, run: str = "run_uuid", finished: str = "finished",
@@ -73,7 +77,7 @@ def log_start_params(runs: DataFrame, documents: Sequence[str], constants: Mappi
     """(run, key, value): the flattened JSON documents (combination, unique params) and the same constants for each run."""
     out = None
     for document in documents:
-        rows = flatten_params(runs, [run], document).select(run, F.col("path").alias("key"), "value")
+        rows = flatten_params(runs, [run], document, values="logged").select(run, F.col("path").alias("key"), "value")
         out = rows if out is None else out.unionByName(rows)
     fixed = [F.struct(F.lit(k).alias("key"), F.lit(str(v)).alias("value")) for k, v in (constants or {}).items()]
     if fixed:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from runquarry.functions.scale import distinct_values, null_if_nan, running_below
+from runquarry.functions.scale import MAX_WINDOW_ROWS, distinct_values, largest_group, null_if_nan, running_below
 from runquarry.functions.special import chi2_sf, studentized_range_sf
 
 
@@ -46,32 +46,38 @@ def means_stds_by_model(df: DataFrame, model: str, keys: Sequence[str], metric:
     return _by_model(df, model, keys, metric, models, [("_mean", F.avg), ("_std", F.stddev_samp)], digits)
 
 
-def rank_in_block(df: DataFrame, blocks: Sequence[str], metric: str, ascending: bool = False) -> DataFrame:
+def _average_rank(first: Column, ties: Column) -> Column:
+    return first + (ties - 1) / F.lit(2.0)
+
+
+def rank_in_block(df: DataFrame, blocks: Sequence[str], metric: str, ascending: bool = False,
+                  window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """Rank of the metric in its block; ties share their average rank, a missing metric has no rank.
 
-    Ranks are computed over the distinct values of a block (with their row counts), cut in value bins, so
-    a block that holds a large part of all rows is never sorted in one task.
+    Blocks are counted first. If one is too large for a single sort, ranks are computed over the distinct
+    values of a block with their row counts, cut in value bins.
     """
-    df = df.withColumn("_value", null_if_nan(metric))
-    order = F.col("_value") if ascending else -F.col("_value")
-    df = df.withColumn("_order", order)
+    value = null_if_nan(metric)
+    df = df.withColumn("_order", value if ascending else -value)
+    if largest_group(df, blocks) <= window_rows:
+        tied = Window.partitionBy(*blocks, "_order")
+        first = F.rank().over(Window.partitionBy(*blocks).orderBy(F.col("_order").asc_nulls_last()))
+        known = F.col("_order").isNotNull()
+        for block in blocks:
+            known = known & F.col(block).isNotNull()
+        return df.withColumn("rank", F.when(known, _average_rank(first, F.count("*").over(tied)))).drop("_order")
     counts = df.where(F.col("_order").isNotNull()).groupBy(*blocks, "_order").agg(F.count("*").alias("n"))
     ranks = running_below(_complete_keys(counts, blocks), blocks, "_order", ["n"]).select(
-        *blocks, "_order", (F.col("below_n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
-    return df.join(ranks, [*blocks, "_order"], "left").drop("_order", "_value")
+        *blocks, "_order", _average_rank(F.col("below_n") + 1, F.col("n")).alias("rank"))
+    return df.join(ranks, [*blocks, "_order"], "left").drop("_order")
 
 
-def mean_rank(df: DataFrame, model: str, blocks: Sequence[str], metric: str, ascending: bool = False) -> DataFrame:
+def mean_rank(df: DataFrame, model: str, blocks: Sequence[str], metric: str, ascending: bool = False,
+              window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """Mean rank of each model over the blocks."""
-    # rows of one (model, block, value) share a rank, so they are counted before they are ranked
-    counts = (df.withColumn("_order", null_if_nan(metric) * (1 if ascending else -1)).where(F.col("_order").isNotNull())
-              .groupBy(model, *blocks, "_order").agg(F.count("*").alias("m")))
-    counts = _complete_keys(counts, [model, *blocks])
-    values = counts.groupBy(*blocks, "_order").agg(F.sum("m").alias("n"))
-    ranks = running_below(values, blocks, "_order", ["n"]).select(
-        *blocks, "_order", (F.col("below_n") + (F.col("n") + 1) / F.lit(2.0)).alias("_rank"))
-    return (counts.join(ranks, [*blocks, "_order"]).groupBy(model)
-            .agg((F.sum(F.col("_rank") * F.col("m")) / F.sum("m")).alias("mean_rank")))
+    kept = _complete_keys(df.select(model, *blocks, metric), [model, *blocks])
+    ranked = rank_in_block(kept, blocks, metric, ascending, window_rows)
+    return ranked.groupBy(model).agg(F.avg("rank").alias("mean_rank"))
 
 
 def complete_block_ranks(df: DataFrame, model: str, block: Sequence[str], metric: str, ascending: bool = False) -> DataFrame:
@@ -89,7 +95,7 @@ def complete_block_ranks(df: DataFrame, model: str, block: Sequence[str], metric
     ranked = cells.select(*block, model, F.count("*").over(whole).alias("_size"), F.count("*").over(tied).alias("ties"),
                           F.rank().over(ordered).alias("_first"))
     return ranked.where(F.col("_size") == k).select(
-        *block, model, (F.col("_first") + (F.col("ties") - 1) / F.lit(2.0)).alias("rank"), "ties")
+        *block, model, _average_rank(F.col("_first"), F.col("ties")).alias("rank"), "ties")
 
 
 def friedman(df: DataFrame, model: str, block: Sequence[str], metric: str, digits: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import hash_int, hash_key, uniform
-from runquarry.functions.scale import explode_range, materialize, running_below
+from runquarry.functions.scale import MAX_WINDOW_ROWS, explode_range, largest_group, materialize, running_below
 
 SEED_BOUND = 2**31 - 1
 
@@ -208,7 +208,7 @@ def close_scheduled_children(runs: DataFrame, links: DataFrame, stopped: DataFra
 # ---- early stopping
 
 def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "maximize", reduction_factor: int = 4,
-                      min_resource: int = 10, bracket: str | None = None, max_rungs: int | None = None) -> DataFrame:
+                      min_resource: int = 10, bracket: str | None = None, window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """(keys, trial, rung, value, survived) of successive halving over a log of (keys, trial, step, value).
 
     At step ``min_resource * factor^rung`` the runs still alive that got there are compared by their last value up
@@ -216,35 +216,40 @@ def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "max
     column the first rung of a bracket is ``bracket`` factors later, and brackets do not compete.
     """
     sign = _direction(direction)
-    offset = F.col(bracket) if bracket else F.lit(0)
     group = [*keys, bracket] if bracket else list(keys)
-    ends = log.groupBy(*group).agg(F.max("step").alias("_end"))
-    longest = ends.agg(F.max(F.ln(F.col("_end") / F.lit(min_resource)) / F.lit(math.log(reduction_factor)) - (F.col(bracket) if bracket else 0))).first()[0]
+    later = F.col(bracket) if bracket else F.lit(0)
+    reach = F.ln(F.max("step") / F.lit(min_resource)) / F.lit(math.log(reduction_factor))
+    longest = log.groupBy(*group).agg(reach.alias("_r")).agg(F.max(F.col("_r") - later)).first()[0]
     rungs = 0 if longest is None or longest < 0 else int(math.floor(longest + 1e-9)) + 1
-    rungs = rungs if max_rungs is None else min(rungs, max_rungs)
-    parts, alive = [], None
-    for rung in range(rungs):
-        at = F.lit(min_resource) * F.pow(F.lit(float(reduction_factor)), offset + rung)
-        last = F.max(F.when(F.col("step") <= at, F.struct("step", "value")))["value"]
-        reached = log.groupBy(*group, "trial").agg(F.max("step").alias("_s"), last.alias("value"))
-        reached = reached.where((F.col("_s") >= at) & F.col("value").isNotNull()).drop("_s")
-        if alive is not None:
-            reached = reached.join(alive, [*group, "trial"], "left_semi")
-        scored = materialize(reached.withColumn("_order", F.col("value") * sign))
-        values = running_below(scored.groupBy(*group, "_order").agg(F.count("*").alias("n")), group, "_order", ["n"])
-        quota = F.greatest(F.lit(1), F.floor(F.col("total_n") / F.lit(reduction_factor)))
-        tie = F.row_number().over(Window.partitionBy(*group, "_order").orderBy("trial"))
-        ranked = scored.withColumn("_tie", tie).join(values.select(*group, "_order", "below_n", quota.alias("_quota")), [*group, "_order"])
-        done = materialize(ranked.select(*group, "trial", F.lit(rung).alias("rung"), "value",
-                                         (F.col("below_n") + F.col("_tie") <= F.col("_quota")).alias("survived")))
-        parts.append(done)
-        alive = done.where("survived").select(*group, "trial")
-    if not parts:
+    if not rungs:
         return log.select(*group, "trial", F.lit(0).alias("rung"), "value", F.lit(True).alias("survived")).where(F.lit(False))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    steps = [F.lit(min_resource) * F.pow(F.lit(float(reduction_factor)), later + rung) for rung in range(rungs)]
+    # one pass over the log: per trial its last value up to each rung's step, NULL where it did not get there
+    last = [F.max(F.when(F.col("step") <= at, F.struct("step", "value")))["value"].alias(f"_v{rung}") for rung, at in enumerate(steps)]
+    trials = log.groupBy(*group, "trial").agg(F.max("step").alias("_end"), *last)
+    trials = trials.select(*group, "trial", *[F.when(F.col("_end") >= at, F.col(f"_v{rung}")).alias(f"_v{rung}") for rung, at in enumerate(steps)])
+    small = largest_group(log.select(*group, "trial").distinct(), group) <= window_rows
+    trials = trials.withColumn("_alive", F.lit(True))
+    for rung in range(rungs):
+        # those out of the race keep their row: the log is read once, each rung adds a rank
+        taking_part = F.col("_alive") & F.col(f"_v{rung}").isNotNull()
+        here = trials.withColumns({"_in": taking_part, "_order": F.col(f"_v{rung}") * sign})
+        if small:
+            place = F.row_number().over(Window.partitionBy(*group, "_in").orderBy("_order", "trial"))
+            size = F.count("*").over(Window.partitionBy(*group, "_in"))
+        else:
+            here = materialize(here)  # used three times below
+            counts = here.where("_in").groupBy(*group, "_order").agg(F.count("*").alias("n"))
+            below = running_below(counts, group, "_order", ["n"]).select(*group, "_order", F.lit(True).alias("_in"), "below_n", "total_n")
+            here = here.join(below, [*group, "_order", "_in"], "left")
+            place = F.col("below_n") + F.row_number().over(Window.partitionBy(*group, "_order", "_in").orderBy("trial"))
+            size = F.col("total_n")
+        quota = F.greatest(F.lit(1), F.floor(size / F.lit(reduction_factor)))
+        trials = here.withColumn(f"_s{rung}", F.when(F.col("_in"), place <= quota))
+        trials = trials.withColumn("_alive", F.coalesce(F.col(f"_s{rung}"), F.lit(False))).select(
+            *group, "trial", "_alive", *[f"_v{r}" for r in range(rungs)], *[f"_s{r}" for r in range(rung + 1)])
+    rows = F.array(*[F.struct(F.lit(r).alias("rung"), F.col(f"_v{r}").alias("value"), F.col(f"_s{r}").alias("survived")) for r in range(rungs)])
+    return trials.select(*group, "trial", F.explode(rows).alias("_r")).select(*group, "trial", "_r.*").where(F.col("survived").isNotNull())
 
 
 HYPERBAND_BRACKETS = 5

@@ -35,12 +35,12 @@ def _(t):
 SELECT event_id, concat('{"list":{"item_0":"', event_type, '","item_1":', cast(user_id AS string), '},"outer":{"k":',
                         json_extract_string(props, '$.k'), '}}') AS document FROM events""")
 def _(t):
-    return N.unflatten_params(N.flatten_params(_documents(t), ["event_id"], "document", as_json=True), ["event_id"])
+    return N.unflatten_params(N.flatten_params(_documents(t), ["event_id"], "document", values="json"), ["event_id"])
 
 
 @query("unflatten_params_lists", f"SELECT event_id, {_DOC} AS document FROM events")
 def _(t):
-    return N.unflatten_params(N.flatten_params(_documents(t), ["event_id"], "document", as_json=True), ["event_id"], lists=True)
+    return N.unflatten_params(N.flatten_params(_documents(t), ["event_id"], "document", values="json"), ["event_id"], lists=True)
 
 
 @query("deep_merge_params", """

@@ -74,7 +74,7 @@ WITH o AS (SELECT {_RUN} AS run_uuid, * FROM orders)
 SELECT run_uuid, 'model' AS key, o_orderpriority AS value FROM o
 UNION ALL SELECT run_uuid, 'seeds/item_0', cast(o_custkey AS string) FROM o
 UNION ALL SELECT run_uuid, 'seeds/item_1', cast(o_orderkey AS string) FROM o
-UNION ALL SELECT run_uuid, 'fit/verbose', 'false' FROM o
+UNION ALL SELECT run_uuid, 'fit/verbose', 'False' FROM o
 UNION ALL SELECT run_uuid, 'fit/status', o_orderstatus FROM o
 UNION ALL SELECT run_uuid, 'experiment_class_name', 'OrderExperiment' FROM o""")
 def _(t):
