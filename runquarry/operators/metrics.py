@@ -7,6 +7,7 @@ running counts over scores are cut in bins (see ``running_below``).
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 from functools import partial
 
@@ -236,13 +237,6 @@ def _registry() -> dict[str, tuple[Callable[..., DataFrame], bool, bool]]:
 
 
 METRICS = _registry()
-_TAKES_LABELS = ("auc", "auc_micro", "auc_weighted", "logloss", "f1_", "precision_micro", "precision_macro", "precision_weighted",
-                 "precision_all", "precision_binary", "recall_", "precision_recall_fscore", "average_precision_m",
-                 "average_precision_w", "average_precision_all")
-_TAKES_POS_LABEL = ("f1_binary", "precision_binary", "recall_binary", "precision_recall_fscore_support_binary",
-                    "average_precision_binary", "precision_recall_curve", "auc_binary")
-
-
 def get_metric_fn(metric: str, labels: Sequence | None = None, n_classes: int | None = None,
                   pos_label=1) -> tuple[Callable[..., DataFrame], bool, bool]:
     """(fn, needs probabilities, higher is better); ``fn(df, y_true, prediction, groups)`` gives the metric.
@@ -255,8 +249,6 @@ def get_metric_fn(metric: str, labels: Sequence | None = None, n_classes: int |
     if labels is None and n_classes is not None:
         labels = list(range(n_classes))
     fn, need_proba, higher = METRICS[metric]
-    if metric in _TAKES_POS_LABEL:
-        fn = partial(fn, pos_label=pos_label)
-    elif metric != "auc_binary" and metric.startswith(_TAKES_LABELS):
-        fn = partial(fn, labels=labels)
-    return fn, need_proba, higher
+    choices = {"labels": labels, "pos_label": pos_label}
+    accepted = inspect.signature(fn).parameters
+    return partial(fn, **{name: value for name, value in choices.items() if name in accepted}), need_proba, higher

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import hash_int, hash_key, uniform
-from runquarry.functions.scale import MAX_WINDOW_ROWS, explode_range, largest_group, materialize, running_below
+from runquarry.functions.scale import MAX_WINDOW_ROWS, explode_range, materialize, running_below
 
 SEED_BOUND = 2**31 - 1
 
@@ -218,9 +218,10 @@ def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "max
     sign = _direction(direction)
     group = [*keys, bracket] if bracket else list(keys)
     later = F.col(bracket) if bracket else F.lit(0)
-    reach = F.ln(F.max("step") / F.lit(min_resource)) / F.lit(math.log(reduction_factor))
-    longest = log.groupBy(*group).agg(reach.alias("_r")).agg(F.max(F.col("_r") - later)).first()[0]
-    rungs = 0 if longest is None or longest < 0 else int(math.floor(longest + 1e-9)) + 1
+    reach = F.ln(F.max("_end") / F.lit(min_resource)) / F.lit(math.log(reduction_factor))
+    ends = log.groupBy(*group, "trial").agg(F.max("step").alias("_end"))
+    sizes = ends.groupBy(*group).agg(F.count("*").alias("n"), reach.alias("r")).agg(F.max("n").alias("n"), F.max(F.col("r") - later).alias("r")).first()
+    rungs = 0 if sizes["r"] is None or sizes["r"] < 0 else int(math.floor(sizes["r"] + 1e-9)) + 1
     if not rungs:
         return log.select(*group, "trial", F.lit(0).alias("rung"), "value", F.lit(True).alias("survived")).where(F.lit(False))
     steps = [F.lit(min_resource) * F.pow(F.lit(float(reduction_factor)), later + rung) for rung in range(rungs)]
@@ -228,7 +229,7 @@ def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "max
     last = [F.max(F.when(F.col("step") <= at, F.struct("step", "value")))["value"].alias(f"_v{rung}") for rung, at in enumerate(steps)]
     trials = log.groupBy(*group, "trial").agg(F.max("step").alias("_end"), *last)
     trials = trials.select(*group, "trial", *[F.when(F.col("_end") >= at, F.col(f"_v{rung}")).alias(f"_v{rung}") for rung, at in enumerate(steps)])
-    small = largest_group(log.select(*group, "trial").distinct(), group) <= window_rows
+    small = sizes["n"] <= window_rows
     trials = trials.withColumn("_alive", F.lit(True))
     for rung in range(rungs):
         # those out of the race keep their row: the log is read once, each rung adds a rank
