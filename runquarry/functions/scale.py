@@ -6,13 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 # A list of distinct values is read by the driver only below this size (Spark's own limit for pivot values).
 MAX_DRIVER_VALUES = 10_000
 # Rows of an ordered list that one window task may number.
 MAX_SINGLE_TASK_ROWS = 10_000
+# A side of a join is made local, and so broadcast, only up to this many rows.
+MAX_BROADCAST_ROWS = 50_000
 # Rows of one group that one window task may sort; larger groups are cut in bins.
 MAX_WINDOW_ROWS = 1_000_000
 
@@ -41,6 +45,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation: unlike a parallelised list its size is known, so joins broadcast it."""
+    parsed = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in parsed.fields]
+    table = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, parsed.fields)], names=parsed.fieldNames())
+    return spark.createDataFrame(table, schema=parsed)
+
+
+def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The same rows, evaluated once and made local if there are at most ``max_rows``; otherwise ``df`` itself.
+
+    For the small side of a join with a large one. A computed side has no size estimate, so the planner would
+    shuffle the large side before it learns that a broadcast would have done. Beyond the bound it is right to.
+    """
+    few = df.limit(max_rows + 1).toArrow()
+    return df if few.num_rows > max_rows else df.sparkSession.createDataFrame(few, schema=df.schema)
+
+
 def distinct_values(df: DataFrame, column: str, limit: int = MAX_DRIVER_VALUES) -> list:
     """Sorted non-NULL distinct values, for results whose *schema* depends on them; raises beyond ``limit``."""
     rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
@@ -72,7 +94,7 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], out: str = "row_no
     for part, n in counts:
         offsets.append((part, seen))
         seen += n
-    starts = df.sparkSession.createDataFrame(offsets, "_part int, _start bigint")
+    starts = local_frame(df.sparkSession, offsets, "_part int, _start bigint")
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return (ranged.withColumn(out, within).join(starts, "_part")
             .withColumn(out, F.col(out) + F.col("_start")).drop("_part", "_start"))
@@ -109,7 +131,8 @@ def running_below(d: DataFrame, groups: Sequence[str], order: str, sums: Sequenc
     else:
         if bounds is None:
             bounds = value_bounds(d, groups, order)
-        d = d.join(bounds, groups)
+        # local unless there are very many groups: joined by a shuffle, a hot group would meet in one task
+        d = d.join(bounded(bounds), groups)
         low, high = F.col("_lo"), F.col("_hi")
     pos = F.floor((x - low) / F.nullif(high - low, F.lit(0.0)) * bins)
     d = d.withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(pos, F.lit(0)))).cast("int"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runquarry.functions.scale import number_rows
+from runquarry.functions.scale import bounded, number_rows
 from runquarry.schemas import DEFAULT_EXCLUDED, DELETED, PRIMARY_KEYS, STORE_SCHEMAS
 
 # Tables that point to an experiment / to a run.
@@ -44,7 +44,7 @@ def merge_experiments(source: DataFrame, target: DataFrame) -> DataFrame:
 def remap_experiment_fk(df: DataFrame, id_map: DataFrame) -> DataFrame:
     """Replace ``experiment_id`` by the target's; an id without a match becomes NULL."""
     columns = df.columns
-    mapped = df.join(id_map.select("experiment_id", "new_experiment_id"), "experiment_id", "left")
+    mapped = df.join(bounded(id_map.select("experiment_id", "new_experiment_id")), "experiment_id", "left")
     return mapped.withColumn("experiment_id", F.col("new_experiment_id")).select(*columns)
 
 
@@ -120,7 +120,7 @@ def gc_table(store: Mapping[str, DataFrame], table: str) -> DataFrame:
         return df.where(~F.coalesce(F.col("lifecycle_stage") == DELETED, F.lit(False)))
     parent, key = ("experiments", "experiment_id") if table == "experiment_tags" else ("runs", "run_uuid")
     gone = store[parent].where(F.col("lifecycle_stage") == DELETED).select(key)
-    return df.join(gone, key, "left_anti")
+    return df.join(bounded(gone), key, "left_anti")
 
 
 def gc_store(store: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, Transformer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runquarry.functions.scale import MAX_DRIVER_VALUES, materialize, null_if_nan, number_rows
+from runquarry.functions.scale import MAX_DRIVER_VALUES, bounded, local_frame, materialize, null_if_nan, number_rows
 
 # Up to this many rows a column's exact quantile is taken by one aggregate.
 MAX_PERCENTILE_ROWS = 1_000_000
@@ -237,7 +237,6 @@ def fit_ordinal(df: DataFrame, features: Sequence[str], handle_unknown: bool = T
     """
     if not features:
         return _identity(features)
-    spark = df.sparkSession
     counts = category_counts(df, features)
     least = _abs_frequency(min_frequency, df.count() if isinstance(min_frequency, float) else 0)
     collected = counts.limit(MAX_DRIVER_VALUES + 1).collect()
@@ -249,7 +248,7 @@ def fit_ordinal(df: DataFrame, features: Sequence[str], handle_unknown: bool = T
             rare = [r["category"] for r in mine if r["n"] < least]
             codes += [(c, v, float(i)) for i, v in enumerate(frequent)] + [(c, v, float(len(frequent))) for v in rare]
             n_codes[c] = len(frequent) + bool(rare)
-        lookup = spark.createDataFrame(codes, "feature string, category string, code double")
+        lookup = local_frame(df.sparkSession, codes, "feature string, category string, code double")
     else:
         is_frequent = F.col("n") >= least
         sizes = {c: (0, 0) for c in features}
@@ -333,10 +332,8 @@ def fit_one_hot(df: DataFrame, features: Sequence[str], min_frequency: int | flo
 def _rare_lookup(counts: DataFrame, feature: str, frequent: list[str]) -> DataFrame:
     """(_rare): the infrequent categories seen in fit; an unseen category is not one of them."""
     rare = counts.where((F.col("feature") == feature) & ~F.col("category").isin(frequent)).select(F.col("category").alias("_rare"))
-    few = rare.limit(MAX_DRIVER_VALUES + 1).collect()
-    if len(few) <= MAX_DRIVER_VALUES:
-        return rare.sparkSession.createDataFrame([(r[0],) for r in few], "_rare string")
-    return materialize(rare)
+    local = bounded(rare)
+    return materialize(rare) if local is rare else local
 
 
 # ---- custom stages

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import hash_key
-from runquarry.functions.scale import number_rows
+from runquarry.functions.scale import bounded, local_frame, number_rows
 
 _HEX_DIGITS = 4  # 65 536 buckets
 
@@ -61,7 +61,7 @@ def assign_split(df: DataFrame, id_col: str, test_size: float | int, seed: int =
         if n_test <= 0:
             return df.withColumn(out, F.lit(False))
         rows = marked.withColumn("_class", F.lit(0))
-        quotas = df.sparkSession.createDataFrame([(0, n_test)], "_class int, _quota bigint")
+        quotas = local_frame(df.sparkSession, [(0, n_test)], "_class int, _quota bigint")
         last = _thresholds(rows.select("_class", *order), quotas, order).select("_last").scalar()
         # no threshold: more test rows are asked for than there are
         return marked.withColumn(out, F.coalesce(F.struct(*order) <= last, F.lit(True))).drop("_hash")
@@ -73,7 +73,7 @@ def assign_split(df: DataFrame, id_col: str, test_size: float | int, seed: int =
         raise ValueError("the least populated class has only 1 member; each class needs at least 2")
     if n_test < total["k"] or total["n"] - n_test < total["k"]:
         raise ValueError(f"both parts need at least one row for each of the {total['k']} classes")
-    last = _thresholds(rows.select("_class", *order), _quotas(counts, total["n"], n_test), order)
+    last = bounded(_thresholds(rows.select("_class", *order), _quotas(counts, total["n"], n_test), order))
     joined = rows.join(last, "_class", "left")
     return joined.withColumn(out, F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))).drop("_hash", "_class", "_last")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import uniform
-from runquarry.functions.scale import distinct_values, explode_range, number_rows, running_below
+from runquarry.functions.scale import bounded, distinct_values, explode_range, local_frame, number_rows, running_below
 
 
 def _skewed(spark, n=3000):
@@ -58,3 +58,17 @@ def test_uniform_does_not_depend_on_partitions(spark):
     assert one.exceptAll(many).isEmpty()
     assert one.where("u < 0 or u >= 1").isEmpty()
     assert 0.4 < one.agg(F.avg("u")).first()[0] < 0.6
+
+
+def test_bounded_sides_are_broadcast(spark):
+    big = spark.range(1000).withColumn("k", F.col("id") % 7)
+    side = big.groupBy("k").agg(F.max("id").alias("m"))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan(big.join(bounded(side), "k")) and "Exchange hashpartitioning" not in plan(big.join(bounded(side), "k"))
+    assert bounded(side, max_rows=3) is side
+    assert big.join(bounded(side), "k").count() == 1000
+    assert local_frame(spark, [], "a string, b int").count() == 0
+    assert [tuple(r) for r in local_frame(spark, [("x", None)], "a string, b int").collect()] == [("x", None)]
