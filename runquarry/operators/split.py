@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import hash_key
-from runquarry.functions.scale import bounded, local_frame, number_rows
+from runquarry.functions.scale import bounded, number_rows
 
 _HEX_DIGITS = 4  # 65 536 buckets
 
@@ -34,15 +34,16 @@ def _quotas(counts: DataFrame, n_rows: int, n_test: int) -> DataFrame:
     return ranked.select("_class", (F.col("_share") + (F.col("_place") < left).cast("bigint")).alias("_quota"))
 
 
-def _thresholds(rows: DataFrame, quotas: DataFrame, order: list[str]) -> DataFrame:
+def _thresholds(rows: DataFrame, quotas: DataFrame | int, order: list[str]) -> DataFrame:
     """(_class, _last): the last test row's order key per class."""
     bucket = F.substring("_hash", 1, _HEX_DIGITS)
     per_bucket = rows.groupBy("_class", bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("_class").orderBy("_bucket"))
-    edges = (per_bucket.withColumn("_upto", upto).join(quotas, "_class")
-             .where((F.col("_quota") <= F.col("_upto")) & (F.col("_quota") > F.col("_upto") - F.col("_n")))
+    counted = per_bucket.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_class").orderBy("_bucket")))
+    counted = counted.withColumn("_quota", F.lit(quotas)) if isinstance(quotas, int) else counted.join(quotas, "_class")
+    edges = (counted.where((F.col("_quota") <= F.col("_upto")) & (F.col("_quota") > F.col("_upto") - F.col("_n")))
              .select("_class", "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need")))
-    edge_rows = rows.withColumn("_bucket", bucket).join(edges, ["_class", "_bucket"])
+    # one bucket per class: as a local side it picks out the edge rows without moving the others
+    edge_rows = rows.withColumn("_bucket", bucket).join(bounded(edges), ["_class", "_bucket"])
     place = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy(*order))
     return (edge_rows.withColumn("_place", place).where(F.col("_place") == F.col("_need"))
             .select("_class", F.struct(*order).alias("_last")))
@@ -61,8 +62,7 @@ def assign_split(df: DataFrame, id_col: str, test_size: float | int, seed: int =
         if n_test <= 0:
             return df.withColumn(out, F.lit(False))
         rows = marked.withColumn("_class", F.lit(0))
-        quotas = local_frame(df.sparkSession, [(0, n_test)], "_class int, _quota bigint")
-        last = _thresholds(rows.select("_class", *order), quotas, order).select("_last").scalar()
+        last = _thresholds(rows.select("_class", *order), n_test, order).select("_last").scalar()
         # no threshold: more test rows are asked for than there are
         return marked.withColumn(out, F.coalesce(F.struct(*order) <= last, F.lit(True))).drop("_hash")
     rows = marked.withColumn("_class", F.col(stratify))

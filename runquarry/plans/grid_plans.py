@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from runquarry.operators import grid as G, runs as R
+from runquarry.operators import grid as G
 from runquarry.plans.registry import query
 
 _PARTS = ["p_brand", "p_type", "p_size"]
@@ -88,8 +88,8 @@ def _(t):
 
 
 @query("status_tally", """
-SELECT count(*) AS total, count_if(status = 'FINISHED') AS completed, count_if(status = 'FAILED') AS failed,
-       count_if(status NOT IN ('FINISHED', 'FAILED')) AS none FROM runs""")
+SELECT count(*) AS total, count(*) FILTER (status = 'FINISHED') AS completed, count(*) FILTER (status = 'FAILED') AS failed,
+       count(*) FILTER (status NOT IN ('FINISHED', 'FAILED')) AS none FROM runs""")
 def _(t):
     outcome = F.when(F.col("status") == "FINISHED", True).when(F.col("status") == "FAILED", False)
     return G.status_tally(t["runs"].select(outcome.alias("finished")))

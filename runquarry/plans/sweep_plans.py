@@ -106,7 +106,8 @@ def _(t):
 
 @query("trial_seeds_keys", """
 SELECT o_orderpriority, o_custkey, o_orderkey AS trial,
-       cast(cast('0x' || substr(md5(concat('3:', o_orderpriority, ':', cast(o_custkey AS string), ':', cast(o_orderkey AS string))), 1, 12) AS ubigint) % 2147483647 AS bigint) AS random_seed,
+       cast(cast('0x' || substr(md5(concat('3:', o_orderpriority, ':', cast(o_custkey AS string), ':', cast(o_orderkey AS string))), 1, 12) AS ubigint)
+            % 2147483647 AS bigint) AS random_seed,
        concat(o_orderpriority, '_', cast(o_custkey AS string), '-', cast(o_orderkey AS string)) AS trial_key FROM orders""")
 def _(t):
     trials = t["orders"].select("o_orderpriority", "o_custkey", F.col("o_orderkey").alias("trial"))
