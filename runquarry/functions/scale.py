@@ -116,34 +116,35 @@ def explode_range(df: DataFrame, size: Column, out: str, chunk: int = 10_000) ->
 
 
 def running_below(d: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str], bins: int = 4096,
-                  bounds: DataFrame | None = None, lo: float | None = None, hi: float | None = None) -> DataFrame:
+                  rows: DataFrame | None = None, window_rows: int | None = None) -> DataFrame:
     """Per row, the sums over all rows of its group with a *lower* ``order`` value, and over the whole group.
 
     ``d`` holds one row per (group, order value). Adds ``below_<c>`` and ``total_<c>`` for each c in ``sums``.
-    A group is cut into equal-width bins of the order value, so no task ever sorts a whole group: rows
-    are summed within their bin and the totals of the lower bins (at most ``bins`` per group) are added.
-    ``bounds`` (group, _lo, _hi) or the constants ``lo``/``hi`` give the range; they only steer the cut.
+    The size and value range of every group are taken first, from ``rows`` (``d``, or rows it was counted from).
+    Groups of up to ``window_rows`` rows take one window each. If there is a larger one, groups are cut into
+    equal-width bins of the order value, so no task ever sorts a whole group: rows are summed within their bin
+    and the totals of the lower bins (at most ``bins`` per group) are added.
     """
     groups = list(groups)
-    x = F.col(order).cast("double")
-    if lo is not None:
-        low, high = F.lit(float(lo)), F.lit(float(hi))
-    else:
-        if bounds is None:
-            bounds = value_bounds(d, groups, order)
-        # local unless there are very many groups: joined by a shuffle, a hot group would meet in one task
-        d = d.join(bounded(bounds), groups)
-        low, high = F.col("_lo"), F.col("_hi")
-    pos = F.floor((x - low) / F.nullif(high - low, F.lit(0.0)) * bins)
+    extent = bounded(value_bounds(d if rows is None else rows, groups, order))
+    largest = extent.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0]
+    earlier = Window.unboundedPreceding, -1
+    if largest <= (MAX_WINDOW_ROWS if window_rows is None else window_rows):
+        before, whole = Window.partitionBy(*groups).orderBy(order).rowsBetween(*earlier), Window.partitionBy(*groups)
+        return d.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"below_{c}") for c in sums],
+                        *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums])
+    # a local side unless there are very many groups: joined by a shuffle, a hot group would meet in one task
+    d = d.join(extent.drop("_rows"), groups)
+    pos = F.floor((F.col(order).cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
     d = d.withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(pos, F.lit(0)))).cast("int"))
     d = d.drop("_lo", "_hi")
     per_bin = d.groupBy(*groups, "_bin").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
-    before = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(*earlier)
     whole = Window.partitionBy(*groups)
     offsets = per_bin.select(*groups, "_bin",
                              *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
                              *[F.sum(f"_s_{c}").over(whole).alias(f"total_{c}") for c in sums])
-    inside = Window.partitionBy(*groups, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*groups, "_bin").orderBy(order).rowsBetween(*earlier)
     d = d.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in sums])
     d = d.join(offsets, [*groups, "_bin"])
     for c in sums:
@@ -152,9 +153,9 @@ def running_below(d: DataFrame, groups: Sequence[str], order: str, sums: Sequenc
 
 
 def value_bounds(df: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
-    """(group, _lo, _hi) of a numeric column."""
+    """(group, _lo, _hi, _rows) of a numeric column."""
     x = F.col(order).cast("double")
-    return df.groupBy(*groups).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    return df.groupBy(*groups).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count("*").alias("_rows"))
 
 
 def null_if_nan(column: str | Column) -> Column:

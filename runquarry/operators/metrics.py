@@ -2,7 +2,7 @@
 
 Every metric starts from an aggregate that is combined before its shuffle: moments for regression, a confusion
 matrix for labels, counts per distinct score for rankings. Hot groups therefore shrink before they travel, and
-running counts over scores are cut in bins (see ``running_below``).
+running counts over the scores of a large group are cut in bins (see ``running_below``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runquarry.functions.scale import running_below, value_bounds
+from runquarry.functions.scale import running_below
 
 # Fixed value: spacing of doubles at 1, the smallest divisor and probability.
 EPS = 2.220446049250313e-16
@@ -128,19 +128,17 @@ def _binary(df: DataFrame, y_true: str, score: str, groups: Sequence[str], pos_l
                      (F.col(y_true) == F.lit(pos_label)).cast("bigint").alias("is_pos"))
 
 
-def _score_counts(rows: DataFrame, groups: Sequence[str], unit_range: bool) -> DataFrame:
+def _score_counts(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Distinct scores of a group with the positives and negatives at, below and in total."""
     if not groups:
-        return _score_counts(rows.withColumn("_all", F.lit(0)), ["_all"], unit_range).drop("_all")
+        return _score_counts(rows.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     counts = rows.groupBy(*groups, "score").agg(F.sum("is_pos").alias("pos"), F.sum(1 - F.col("is_pos")).alias("neg"))
-    if unit_range:
-        return running_below(counts, groups, "score", ["pos", "neg"], lo=0.0, hi=1.0)
-    return running_below(counts, groups, "score", ["pos", "neg"], bounds=value_bounds(rows, groups, "score"))
+    return running_below(counts, groups, "score", ["pos", "neg"], rows=rows)
 
 
-def _auc_of(rows: DataFrame, groups: Sequence[str], unit_range: bool) -> DataFrame:
+def _auc_of(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(group, auc, positives): share of (positive, negative) pairs in the right order, ties count half."""
-    d = _score_counts(rows, groups, unit_range)
+    d = _score_counts(rows, groups)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pairs = F.max("total_pos").cast("double") * F.max("total_neg").cast("double")
     return d.groupBy(*groups).agg(_ratio(F.sum(pos * (F.col("below_neg") + neg / 2)), pairs, None).alias("auc"),
@@ -148,12 +146,12 @@ def _auc_of(rows: DataFrame, groups: Sequence[str], unit_range: bool) -> DataFra
 
 
 def _auc_binary(df: DataFrame, y_true: str, score: str, groups: Sequence[str] = (), pos_label=1) -> DataFrame:
-    return _auc_of(_binary(df, y_true, score, groups, pos_label), groups, False).select(*groups, F.col("auc").alias("auc_binary"))
+    return _auc_of(_binary(df, y_true, score, groups, pos_label), groups).select(*groups, F.col("auc").alias("auc_binary"))
 
 
-def _average_precision_of(rows: DataFrame, groups: Sequence[str], unit_range: bool) -> DataFrame:
+def _average_precision_of(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(group, ap, positives): recall steps times precision from the highest score down; 0 without positives."""
-    d = _score_counts(rows, groups, unit_range)
+    d = _score_counts(rows, groups)
     tp = (F.col("total_pos") - F.col("below_pos")).cast("double")
     fp = (F.col("total_neg") - F.col("below_neg")).cast("double")
     step = F.sum(F.col("pos") * tp / (tp + fp))
@@ -172,8 +170,8 @@ def _ranking(of: Callable, value: str, average: str, name: str, df: DataFrame, y
              groups: Sequence[str] = (), labels: Sequence | None = None) -> DataFrame:
     rows = _one_vs_rest(df, y_true, proba, groups, labels)
     if average == "micro":
-        return of(rows, groups, True).select(*groups, F.col(value).alias(name))
-    per_label = of(rows, [*groups, "label"], True)
+        return of(rows, groups).select(*groups, F.col(value).alias(name))
+    per_label = of(rows, [*groups, "label"])
     if average == "all":
         return per_label.select(*groups, "label", F.col(value).alias(name))
     return _averaged(per_label, value, average, groups, name)
@@ -181,11 +179,11 @@ def _ranking(of: Callable, value: str, average: str, name: str, df: DataFrame, y
 
 def _average_precision_binary(df: DataFrame, y_true: str, score: str, groups: Sequence[str] = (), pos_label=1) -> DataFrame:
     rows = _binary(df, y_true, score, groups, pos_label)
-    return _average_precision_of(rows, groups, False).select(*groups, F.col("ap").alias("average_precision_binary"))
+    return _average_precision_of(rows, groups).select(*groups, F.col("ap").alias("average_precision_binary"))
 
 
 def _precision_recall_curve(df: DataFrame, y_true: str, score: str, groups: Sequence[str] = (), pos_label=1) -> DataFrame:
-    d = _score_counts(_binary(df, y_true, score, groups, pos_label), groups, False)
+    d = _score_counts(_binary(df, y_true, score, groups, pos_label), groups)
     tp = (F.col("total_pos") - F.col("below_pos")).cast("double")
     fp = (F.col("total_neg") - F.col("below_neg")).cast("double")
     curve = d.select(*groups, F.col("score").alias("threshold"), (tp / (tp + fp)).alias("precision"),

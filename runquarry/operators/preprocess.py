@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from runquarry.functions.scale import MAX_DRIVER_VALUES, bounded, local_frame, materialize, null_if_nan, number_rows
 
 # Up to this many rows a column's exact quantile is taken by one aggregate.
-MAX_PERCENTILE_ROWS = 1_000_000
+MAX_PERCENTILE_ROWS = 200_000
 
 # Type names and the Spark types they stand for.
 TYPE_NAMES: dict[str, str] = {

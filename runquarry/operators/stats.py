@@ -67,7 +67,7 @@ def rank_in_block(df: DataFrame, blocks: Sequence[str], metric: str, ascending:
             known = known & F.col(block).isNotNull()
         return df.withColumn("rank", F.when(known, _average_rank(first, F.count("*").over(tied)))).drop("_order")
     counts = df.where(F.col("_order").isNotNull()).groupBy(*blocks, "_order").agg(F.count("*").alias("n"))
-    ranks = running_below(_complete_keys(counts, blocks), blocks, "_order", ["n"]).select(
+    ranks = running_below(_complete_keys(counts, blocks), blocks, "_order", ["n"], window_rows=window_rows).select(
         *blocks, "_order", _average_rank(F.col("below_n") + 1, F.col("n")).alias("rank"))
     return df.join(ranks, [*blocks, "_order"], "left").drop("_order")
 

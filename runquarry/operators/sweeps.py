@@ -241,7 +241,7 @@ def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "max
         else:
             here = materialize(here)  # used three times below
             counts = here.where("_in").groupBy(*group, "_order").agg(F.count("*").alias("n"))
-            below = running_below(counts, group, "_order", ["n"]).select(*group, "_order", F.lit(True).alias("_in"), "below_n", "total_n")
+            below = running_below(counts, group, "_order", ["n"], window_rows=window_rows).select(*group, "_order", F.lit(True).alias("_in"), "below_n", "total_n")
             here = here.join(below, [*group, "_order", "_in"], "left")
             place = F.col("below_n") + F.row_number().over(Window.partitionBy(*group, "_order", "_in").orderBy("trial"))
             size = F.col("total_n")

@@ -213,10 +213,8 @@ SELECT dataset_name, """ + ", ".join(
 def model_comparison(t):
     """For the finished, active runs of two experiments: mean latest test_rmse (in hundredths, so sums are exact) per dataset."""
     runs = t["runs"].where("status = 'FINISHED' AND lifecycle_stage = 'active'")
-    store = {**t.store, "runs": runs,
-             "latest_metrics": R.latest_metrics(t["metrics"].where("key = 'test_rmse'"))}
-    params = R.query_runs(store, ["run_uuid"], None, _NAMES, "params", ["model_nickname", "dataset_name"])
-    scores = R.query_runs(store, ["run_uuid"], other_table="latest_metrics", other_table_keys=["test_rmse"])
+    params = R.query_runs({**t.store, "runs": runs}, ["run_uuid"], None, _NAMES, "params", ["model_nickname", "dataset_name"])
+    scores = R.pivot_keys(R.latest_metrics(t["metrics"].where("key = 'test_rmse'")), ["test_rmse"])
     models = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     joined = params.join(scores.withColumn("rmse_cents", F.round(F.col("test_rmse") * 100)), "run_uuid")
     return S.means_by_model(joined, "model_nickname", ["dataset_name"], "rmse_cents", models)
