@@ -18,7 +18,7 @@ MAX_SINGLE_TASK_ROWS = 10_000
 # A side of a join is made local, and so broadcast, only up to this many rows.
 MAX_BROADCAST_ROWS = 50_000
 # Rows of one group that one window task may sort; larger groups are cut in bins.
-MAX_WINDOW_ROWS = 1_000_000
+MAX_WINDOW_ROWS = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
