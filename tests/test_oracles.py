@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import compare, connect
+from runquarry.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 ROWS_ONLY = {"nemenyi_p_values", "friedman_nemenyi", "sweep_ml_estimator"}
 
 
