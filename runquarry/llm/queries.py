@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runquarry.functions.scale import scratch_path
-from runquarry.llm import bpe, html, mixing, token_files, topk, toxicity, urls, vectors
+from runquarry.llm import bpe, html, minhash, mixing, repeats, token_files, topk, toxicity, urls, vectors
 from runquarry.llm.common import read, word_count
 
 SOURCE_WEIGHTS, SOURCE_SHARE = (5, 2, 1), 1.5
@@ -53,6 +53,10 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_texts(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, read(spark, sf_dir, "labels"),
                              outcome_key="doc_id", outcome="quality")
@@ -84,7 +88,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("_rq_score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-_QUERIES = [op1_mix_sources, op2_embedding_neardup, op3_exact_topk, op4_bpe_roundtrip, op6_url_filter, op7_token_files, op8_html_text, op9_toxicity]
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"), length=200)
+
+
+_QUERIES = [op1_mix_sources, op2_embedding_neardup, op3_exact_topk, op4_bpe_roundtrip, op5_minhash_neardup, op6_url_filter, op7_token_files, op8_html_text, op9_toxicity, op10_repeated_passages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
