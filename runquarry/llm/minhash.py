@@ -93,8 +93,48 @@ def collection_keys(flat: np.ndarray, offsets: np.ndarray, count: int, rows: int
     return out
 
 
+def common_shingles(a: list[np.ndarray], b: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """[a x b] intersection sizes of two blocks of sets, as products of 0/1 matrices over the shingles both blocks have."""
+    flat, other = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(flat, other)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    sides = []
+    for sets, values in ((a, flat), (b, other)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column = np.searchsorted(both, values)
+        ok = (column < len(both)) & (both[np.minimum(column, len(both) - 1)] == values) if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(column[ok], kind="stable")
+        sides.append((len(sets), row[ok][order], column[ok][order]))
+    for start in range(0, len(both), chunk):
+        parts = []
+        for n, row, column in sides:
+            here = slice(*np.searchsorted(column, [start, start + chunk]))
+            x = np.zeros((n, chunk), dtype=np.float32)
+            x[row[here], column[here] - start] = 1
+            parts.append(x)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def block_edges(ids: tuple[np.ndarray, np.ndarray], sets: tuple[list[np.ndarray], list[np.ndarray]], percent: int) -> np.ndarray:
+    """Edges (id, smallest id of its group) of the links between two blocks: at most one per set, however many links."""
+    sizes = [np.array([len(x) for x in s]) for s in sets]
+    common = common_shingles(*sets)
+    linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    linked &= ids[0][:, None] != ids[1][None, :]
+    a, b = ids[0].copy(), ids[1].copy()
+    far = np.iinfo(np.int64).max
+    while True:
+        new_a = np.minimum(a, np.where(linked, b[None, :], far).min(axis=1))
+        new_b = np.minimum(b, np.where(linked, new_a[:, None], far).min(axis=0))
+        if (new_a == a).all() and (new_b == b).all():
+            edges = np.concatenate([np.stack([ids[0], a], 1), np.stack([ids[1], b], 1)])
+            return edges[edges[:, 0] != edges[:, 1]]
+        a, b = new_a, new_b
+
+
 def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, rows: int = 3,
-                         star_rounds: int = 2, block_bytes: int = 1_000_000) -> DataFrame:
+                         star_rounds: int = 1, block_shingles: int = 100_000, block_bytes: int = 1_000_000) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row: groups of texts linked by Jaccard similarity of shingle sets.
 
     Words are separated by white space, A-Z are lower-cased; whole texts count. Texts with the same set are first taken
@@ -103,10 +143,12 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
     that a pair at the threshold is missed with a chance below 0.0005. Links have 100 * intersection >= ``percent`` * union
     on the full sets (64-bit hashes of the shingles).
 
-    Within a bucket not all pairs are made: first all members are compared with one of them, then, for
-    ``star_rounds`` rounds, those of other components with another one; what is still in different components at the
-    end is compared pair by pair. So groups of thousands cost a few comparisons a text, and no candidate that could
-    join two components is left out. Members and hubs meet in joins that skew handling can split.
+    Within a bucket pairs are never rows. First all members are compared with one of them, then, for ``star_rounds``
+    rounds, those of other components with another one. Buckets that still hold different components are united to
+    clusters, whose sets are cut in blocks of about ``block_shingles`` shingles by a hash; every two blocks of a cluster are
+    compared in a task of their own by matrix products, and one edge per set leaves it. So no candidate that could
+    join two components is left out, and groups of thousands are a few blocks. Members and hubs meet in joins
+    that skew handling can split.
 
     Null text or text without words: 0 shingles, linked with nothing. Null keys: counted, linked with nothing, component
     null, kept. Rows with the same key share a component only if their sets do. component_id is the smallest key
@@ -168,18 +210,31 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
         placed = buckets.select("k", "g", "n").join(groups, "g", "left").withColumn("component", F.coalesce("component", "g"))
         mixed = placed.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                         F.min_by(F.struct("g", "n", "component"), F.xxhash64(F.lit(step), "g")).alias("h")).where("lo <> hi")
-        if step < star_rounds:
-            at = placed.join(mixed.select("k", F.col("h.g").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_c")), "k")
-            pairs = pairs_of(at.where("component <> hub_c"), "hub", "hub_n")
-        else:
-            left = fixed(placed.join(mixed.select("k"), "k"), "mixed")
-            other = left.select("k", F.col("g").alias("o"), F.col("n").alias("o_n"), F.col("component").alias("o_c"))
-            pairs = pairs_of(left.join(other, "k").where("component < o_c"), "o", "o_n")
-        pairs = fixed(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty() and step < star_rounds:
-            continue
+        if step == star_rounds:
+            break
+        at = placed.join(mixed.select("k", F.col("h.g").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_c")), "k")
+        pairs = fixed(pairs_of(at.where("component <> hub_c"), "hub", "hub_n").join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         links = fixed(links.unionByName(verified(pairs)), "text-links")
+    left = fixed(placed.join(mixed.select("k", F.col("h.g").alias("hub")), "k").select("g", "hub").distinct(), "mixed")
+    clusters = connected(left.where("g <> hub"), "g", "hub").select(F.col("id").alias("g"), F.col("component").alias("cluster"))
+    rest = fixed(clusters.join(full, "g"), "clusters")
+    blocks = rest.groupBy("cluster").agg(F.ceil(F.sum(F.size("s")) / block_shingles).alias("blocks"))
+    rest = rest.join(blocks, "cluster").groupBy("cluster", "blocks", F.pmod(F.xxhash64("g"), F.col("blocks")).alias("i")).agg(F.collect_list(F.struct("g", "s")).alias("x"))
+    one = rest.select("cluster", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), F.col("x").alias("a"))
+    two = rest.select("cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("i"))).alias("i"), F.col("i").alias("j"), F.col("x").alias("b"))
+
+    def compare(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sides = [batch.column(c)[r].values for c in "ab"]
+                lists_of = [x.field("s") for x in sides]
+                sets_of = tuple(np.split(v.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(v).to_numpy(zero_copy_only=False))[:-1]) for v in lists_of)
+                edges = block_edges(tuple(x.field("g").to_numpy() for x in sides), sets_of, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    found = one.join(two, ["cluster", "i", "j"]).select("a", "b").mapInArrow(compare, "a bigint, b bigint")
+    links = fixed(links.unionByName(found), "text-links")
     groups = connected(links, "a", "b").select(F.col("id").alias("g"), "component")
     placed = reps.select("g", "rep").join(groups, "g", "left").withColumn("component", F.coalesce("component", "g"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
