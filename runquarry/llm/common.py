@@ -82,17 +82,28 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
-# A space before a plain letter, digit or sign always begins a piece of the byte-level pattern, so a text may be
-# encoded part by part there. A space before anything else (a space, a control, rare blanks) is not cut.
-_UNSURE = re.compile(r" (?![!-~À-ʯͰ-ϿЀ-ԯ])")
-_CUT = re.compile(r"(?= [!-~À-ʯͰ-ϿЀ-ԯ])")
-#: A part without white space but a leading space.
-PLAIN = re.compile(r" ?[!-~À-ʯͰ-ϿЀ-ԯ]+")
+# Plain characters: letters, digits and signs that are surely no white space.
+_PLAIN = "!-~À-ʯͰ-ϿЀ-ԯ"
+# A space before a plain character always begins a piece of the byte-level pattern, and a single line break between
+# plain characters (or before such a space) is a piece by itself, so a text may be encoded part by part there.
+_UNSURE = re.compile(rf" (?![{_PLAIN}])|\n(?! ?[{_PLAIN}])|[^{_PLAIN}]\n")
+_CUT = re.compile(rf"(?= [{_PLAIN}])")
+#: What no plain part has.
+ODD = re.compile(rf"[^ \n{_PLAIN}]")
+
+
+_CONTROLS = [chr(c) for c in (*range(10), *range(11, 32), 127)]
+
+
+def _sure(text: str) -> bool:
+    """Whether all spaces and line breaks of a text stand between plain characters."""
+    if not text.isascii():
+        return "\0" not in text and not _UNSURE.search(text)
+    return not ("  " in text or " \n" in text or "\n\n" in text or text.endswith((" ", "\n")) or any(c in text for c in _CONTROLS))
 
 
 def parts_of(text: str) -> list[str]:
-    """A text cut before spaces at which the pieces of the byte-level pattern surely begin; joined they are the text."""
-    if _UNSURE.search(text):
-        return [p for p in _CUT.split(text) if p]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + p for p in rest]
+    """A text cut where pieces of the byte-level pattern surely begin; joined they are the text. Some may be empty."""
+    if not _sure(text):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from runquarry.llm.common import PLAIN, lists, parts_of, slices, worker_once
+from runquarry.llm.common import ODD, lists, parts_of, slices, worker_once
 
 # Selector -> (ids in a word, bits of each). Selector 15 is the escape: one id in 60 bits.
 # Selectors 0 and 1 hold runs of zeros.
@@ -17,71 +18,92 @@ _COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 _BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
-_MINI = 128  # words of a mini-block
+_MINI = 1024  # ids of a mini-block
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, list[int]]:
     """Simple-8b words of non-negative ids below 2**60, little-endian, the selector in the top four bits; and the
-    number of ids before every 128th word, from which any stretch of words can be decoded alone.
+    number of words before each mini-block of 1024 ids, any of which can be decoded alone.
 
     Every word takes the selector that holds the most ids. Whether a selector fits is found for all positions at
-    once by sliding maxima of the widths, so the only loop is over the words. The last word may have unused slots.
+    once by sliding maxima of the widths; then all mini-blocks are worked off together, one word of each a step.
+    The last word of a mini-block may have unused slots.
     """
     n = len(ids)
     if not n:
         return b"", []
-    ids = np.asarray(ids, dtype=np.uint64)
-    if ids.max() >= 1 << 53:
-        width = np.array([int(x).bit_length() for x in ids])
+    lanes = -(-n // _MINI)
+    grid = np.zeros((lanes, _MINI + 240), np.uint64)  # beyond the end anything fits
+    tail = np.zeros(lanes * _MINI, np.uint64)
+    tail[:n] = ids
+    grid[:, :_MINI] = tail.reshape(lanes, _MINI)
+    if tail.max() >= 1 << 53:
+        width = np.array([int(x).bit_length() for x in grid.ravel()]).reshape(grid.shape)
         if width.max() > 60:
             raise ValueError("ids must be below 2**60")
     else:
-        width = np.frexp(ids.astype(np.float64))[1]
-    best = np.full(n, 15, dtype=np.uint8)
-    most = np.concatenate([width.astype(np.uint8), np.zeros(240, np.uint8)])  # beyond the end anything fits
-    span = 1
+        width = np.frexp(grid.astype(np.float64))[1]
+    most, span = width.astype(np.uint8), 1
+    best = np.full((lanes, _MINI), 15, dtype=np.uint8)
     for s in range(14, -1, -1):
         while span < _COUNTS[s]:  # max over the next `span` widths
             shift = min(span, int(_COUNTS[s]) - span)
-            most[:-shift] = np.maximum(most[:-shift], most[shift:])
+            most = np.maximum(most[:, :-shift], most[:, shift:])
             span += shift
-        best[most[:n] <= _BITS[s]] = s
-    step = _COUNTS[best].tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    offsets = starts[::_MINI]
-    starts = np.array(starts)
-    chosen = best[starts]
-    words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(240, np.uint64)])
+        np.putmask(best, most[:, :_MINI] <= _BITS[s], np.uint8(s))
+    size = np.full(lanes, _MINI)
+    size[-1] = n - (lanes - 1) * _MINI
+    lane, at, found = np.arange(lanes), np.zeros(lanes, np.int64), []
+    while len(lane):
+        chosen = best[lane, at]
+        found.append((lane, at, chosen))
+        at = at + _COUNTS[chosen]
+        open_ = at < size[lane]
+        lane, at = lane[open_], at[open_]
+    lane, at, chosen = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(lane, kind="stable")
+    lane, chosen, place = lane[order], chosen[order], (lane * grid.shape[1] + at)[order]
+    words, flat = chosen.astype(np.uint64) << np.uint64(60), grid.ravel()
     for s in range(2, 16):
         rows = np.flatnonzero(chosen == s)
         for k in range(_COUNTS[s] if len(rows) else 0):
-            words[rows] |= padded[starts[rows] + k] << np.uint64(k * _BITS[s])
-    return words.astype("<u8").tobytes(), offsets
+            words[rows] |= flat[place[rows] + k] << np.uint64(k * _BITS[s])
+    return words.astype("<u8").tobytes(), np.searchsorted(lane, np.arange(lanes)).tolist()
 
 
-def unpack(data: bytes, n: int) -> np.ndarray:
-    """The first ``n`` ids of Simple-8b words, decoded selector by selector for all words at once."""
+def unpack(data: bytes, offsets: list[int], n: int) -> np.ndarray:
+    """The ``n`` ids of packed words, decoded selector by selector for all words of all mini-blocks at once."""
     words = np.frombuffer(data, dtype="<u8")
+    if not len(words):
+        return np.empty(0, np.uint64)
     chosen = (words >> np.uint64(60)).astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum(_COUNTS[chosen])])
-    out = np.zeros(int(begin[-1]), dtype=np.uint64)
+    before = np.cumsum(_COUNTS[chosen]) - _COUNTS[chosen]
+    lane = np.repeat(np.arange(len(offsets)), np.diff([*offsets, len(words)]))
+    begin = before - before[offsets][lane] + lane * _MINI
+    end = (lane + 1) * _MINI
+    out = np.zeros(len(offsets) * _MINI, dtype=np.uint64)
     for s in range(2, 16):
         rows = np.flatnonzero(chosen == s)
         mask = np.uint64((1 << int(_BITS[s])) - 1)
         for k in range(_COUNTS[s] if len(rows) else 0):
-            out[begin[rows] + k] = (words[rows] >> np.uint64(k * _BITS[s])) & mask
+            ok = rows[begin[rows] + k < end[rows]]
+            out[begin[ok] + k] = (words[ok] >> np.uint64(k * _BITS[s])) & mask
     return out[:n]
 
 
-def encoder(path: str, most: int = 500_000):
-    """A function from texts to their ids as little-endian uint32 bytes, by the tokenizers library.
+class _Numbers(dict):
+    """Numbers parts of texts in the order in which they are first met."""
 
-    Special tokens are not added. Equal parts of texts (``parts_of``) are encoded once and kept, up to ``most`` of them.
-    A text that names an added token is handed over whole.
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        return number
+
+
+def encoder(path: str, most: int = 1_500_000):
+    """A function from texts to (all ids, ids per text), by the tokenizers library.
+
+    Special tokens are not added. Equal parts of texts (``parts_of``) are encoded once and kept, up to about ``most`` of
+    them; the ids of a text are gathered from theirs. A text that names an added token is a part as a whole.
     """
     from tokenizers import Tokenizer
 
@@ -89,29 +111,51 @@ def encoder(path: str, most: int = 500_000):
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     named = re.compile("|".join(map(re.escape, added))) if added else None
     line = tokenizer.encode("\n", add_special_tokens=False).ids
-    known: dict[str, bytes] = {}
+    numbers, ids, ends = _Numbers(), np.empty(1 << 20, np.uint32), np.zeros(1 << 20, np.int64)
 
     def each(parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def joined(parts: list[str]) -> list[np.ndarray]:
-        """Plain parts as one text of lines: a line break between them is always a piece, and a token, of its own."""
-        ids = each(["\n".join(parts)])[0]
-        ends = np.flatnonzero(ids == line[0])
-        out = np.split(ids, ends)
-        return [out[0], *[x[1:] for x in out[1:]]]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > most:
-            known.clear()
-        cut = [[t] if named and named.search(t) else parts_of(t) for t in texts]
-        new = list({p for parts in cut for p in parts if p not in known})
-        plain = [p for p in new if PLAIN.fullmatch(p)] if len(line) == 1 else []
-        odd = [p for p in new if not PLAIN.fullmatch(p)] if len(line) == 1 else new
-        for i in range(0, len(plain), 2000):
-            known.update((p, x.tobytes()) for p, x in zip(plain[i:i + 2000], joined(plain[i:i + 2000]), strict=True))
-        known.update((p, x.tobytes()) for p, x in zip(odd, each(odd), strict=True))
-        return [b"".join([known[p] for p in parts]) for parts in cut]
+        return [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def fresh(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of new parts. Plain ones are joined to one text of lines: a line break between them is
+        always a piece, and a token, of its own."""
+        text = "\n".join(parts)
+        if len(line) == 1 and text.count("\n") == len(parts) - 1 and not ODD.search(text) and not (named and named.search(text)):
+            found = each([text])[0]
+            breaks = found == line[0]
+            at = np.flatnonzero(breaks)
+            return found[~breaks], np.diff(np.concatenate([[-1], at, [len(found)]])) - 1
+        several = each(parts)
+        return np.concatenate(several), np.array([len(x) for x in several])
+
+    def room(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array)), array.dtype)])
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal ids, ends
+        if len(numbers) > most:
+            numbers.clear()
+        if not numbers:
+            numbers[""] = 0  # no ids: ends[0] is 0
+        old = len(numbers)
+        cut = [list(map(numbers.__getitem__, [t] if named and named.search(t) else parts_of(t))) for t in texts]
+        new = list(islice(numbers, old, None))
+        ends = room(ends, len(numbers))
+        for i in range(0, len(new), 2000):
+            some = new[i:i + 2000]
+            found, lengths = fresh(some)
+            begin = ends[old + i - 1]
+            ids = room(ids, int(begin) + len(found))
+            ids[begin:begin + len(found)] = found
+            ends[old + i:old + i + len(some)] = begin + np.cumsum(lengths)
+        flat = np.fromiter(chain.from_iterable(cut), dtype=np.int64)
+        begins = np.where(flat > 0, ends[flat - 1], 0)
+        sizes = ends[flat] - begins
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        out = ids[np.arange(total) + np.repeat(begins - (upto - sizes), sizes)]
+        text_ends = np.concatenate([[0], upto])[np.cumsum([len(c) for c in cut])] if cut else np.empty(0, np.int64)
+        return out, np.diff(np.concatenate([[0], text_ends]))
 
     return encode
 
@@ -125,8 +169,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 
     The container is Parquet, so Spark's commit protocol makes the files safe against lost executors on any store.
     Each row is one block: ``part`` and ``block`` order the blocks, ``doc_ids`` and ``lengths`` (ids per document)
-    give its documents, ``ids`` the number of ids, ``words`` the packed ids and ``offsets`` the ids before every
-    128th word. Documents are ordered by range partitions and a sort, never in one task.
+    give its documents, ``ids`` the number of ids, ``words`` the packed ids and ``offsets`` the words before every
+    mini-block of 1024 ids. Documents are ordered by range partitions and a sort, never in one task.
 
     Null or empty text: no ids but the end id. Null keys come first; rows of one key are ordered by text. An empty
     table gives files without rows.
@@ -141,14 +185,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         run = worker_once(f"token_files {tokenizer}", lambda: encoder(tokenizer))
-        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         part, block = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in slices(batch, "_text", block_bytes):
-                raw = [b + end for b in run([t or "" for t in some.column("_text").to_pylist()])]
-                ids = np.frombuffer(b"".join(raw), dtype="<u4")
+                ids, lengths = run([t or "" for t in some.column("_text").to_pylist()])
+                if end_id is not None:
+                    ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
                 words, offsets = pack(ids)
-                row = (part, block, some.column("_key").to_pylist(), [len(b) // 4 for b in raw], len(ids), offsets, words)
+                row = (part, block, some.column("_key").to_pylist(), lengths.tolist(), len(ids), offsets, words)
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
                 block += 1
 
@@ -178,7 +222,7 @@ def read_token_files(spark, path: str, digest: bool = False) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ids = unpack(row["words"], row["ids"])
+                ids = unpack(row["words"], row["offsets"], row["ids"])
                 lengths = np.array(row["lengths"], dtype=np.int64)
                 ends = np.cumsum(lengths)
                 out = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["_start"] + ends - lengths, pa.int64())]
