@@ -150,11 +150,11 @@ def main_text(html: str, threshold: float = 0.05, outside: float = 0.02) -> str:
         return up
 
     some = smooth([float(n > 0) for n in count])
-    ratio = [a / b for a, b in zip(smooth([x / n if n else 0.0 for x, n in zip(length, count)]), some)]
-    signs = [a / b for a, b in zip(smooth([x / n if n else 0.0 for x, n in zip(marks, count)]), some)]
+    ratio = [a / b if b else 0.0 for a, b in zip(smooth([x / n if n else 0.0 for x, n in zip(length, count)]), some)]
+    signs = [a / b if b else 0.0 for a, b in zip(smooth([x / n if n else 0.0 for x, n in zip(marks, count)]), some)]
     has_main = any(inside.values())
     score = {p: ratio[p] * (1 + signs[p]) * (1 if inside[p] or not has_main else outside) for p in inside}
-    least = threshold * max(score.values())
+    least = threshold * max(score.values())  # far from any text a path's ratio may vanish; paths with text have their own
     return "\n".join(b[0] for b in blocks if score[b[1]] >= least)
 
 
