@@ -17,16 +17,16 @@ MAX_DRIVER_VALUES = 10_000
 MAX_SINGLE_TASK_ROWS = 10_000
 # A side of a join is made local, and so broadcast, only up to this many rows.
 MAX_BROADCAST_ROWS = 50_000
-# Rows of one group that one window task may sort; larger groups are cut in bins.
-MAX_WINDOW_ROWS = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a fresh local one where it is unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``. Where it is unset a local session gets a fresh one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="runquarry-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -115,47 +115,36 @@ def explode_range(df: DataFrame, size: Column, out: str, chunk: int = 10_000) ->
     return cut.withColumn(out, F.explode(F.sequence(F.col("_from"), upto))).drop("_last", "_from")
 
 
-def running_below(d: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str], bins: int = 4096,
-                  rows: DataFrame | None = None, window_rows: int | None = None) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, of which NULLs are equal; the keys come from ``left``."""
+    named = right.select(*[F.col(k).alias(f"_same_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & left[k].eqNullSafe(named[f"_same_{i}"])
+    return left.join(named, on, how).drop(*[f"_same_{i}" for i in range(len(keys))])
+
+
+def running_below(d: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
     """Per row, the sums over all rows of its group with a *lower* ``order`` value, and over the whole group.
 
-    ``d`` holds one row per (group, order value). Adds ``below_<c>`` and ``total_<c>`` for each c in ``sums``.
-    The size and value range of every group are taken first, from ``rows`` (``d``, or rows it was counted from).
-    Groups of up to ``window_rows`` rows take one window each. If there is a larger one, groups are cut into
-    equal-width bins of the order value, so no task ever sorts a whole group: rows are summed within their bin
-    and the totals of the lower bins (at most ``bins`` per group) are added.
+    ``d`` holds one row per (group, order value). Adds ``below_<c>`` and ``total_<c>`` for each c in ``sums``. Rows are
+    range-partitioned by group and value and fixed by a checkpoint; as no two rows are equal, no partition can be
+    skewed, whatever the values and the group sizes are. Rows are summed within their partition, and the sums of
+    the group's lower partitions (one row per group and partition) are added. NULL groups are groups.
     """
     groups = list(groups)
-    extent = bounded(value_bounds(d if rows is None else rows, groups, order))
-    largest = extent.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0]
+    ranged = materialize(d.repartitionByRange(*groups, order).withColumn("_part", F.spark_partition_id()))
     earlier = Window.unboundedPreceding, -1
-    if largest <= (MAX_WINDOW_ROWS if window_rows is None else window_rows):
-        before, whole = Window.partitionBy(*groups).orderBy(order).rowsBetween(*earlier), Window.partitionBy(*groups)
-        return d.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"below_{c}") for c in sums],
-                        *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums])
-    # a local side unless there are very many groups: joined by a shuffle, a hot group would meet in one task
-    d = d.join(extent.drop("_rows"), groups)
-    pos = F.floor((F.col(order).cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
-    d = d.withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(pos, F.lit(0)))).cast("int"))
-    d = d.drop("_lo", "_hi")
-    per_bin = d.groupBy(*groups, "_bin").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
-    before = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(*earlier)
-    whole = Window.partitionBy(*groups)
-    offsets = per_bin.select(*groups, "_bin",
-                             *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
-                             *[F.sum(f"_s_{c}").over(whole).alias(f"total_{c}") for c in sums])
-    inside = Window.partitionBy(*groups, "_bin").orderBy(order).rowsBetween(*earlier)
-    d = d.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in sums])
-    d = d.join(offsets, [*groups, "_bin"])
+    before, whole = Window.partitionBy(*groups).orderBy("_part").rowsBetween(*earlier), Window.partitionBy(*groups)
+    per_part = ranged.groupBy(*groups, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
+    offsets = per_part.select(*groups, "_part", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+                              *[F.sum(f"_s_{c}").over(whole).alias(f"total_{c}") for c in sums])
+    inside = Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(*earlier)
+    placed = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in sums])
+    out = same_keys(placed, offsets, [*groups, "_part"], "inner")
     for c in sums:
-        d = d.withColumn(f"below_{c}", F.col(f"_o_{c}") + F.col(f"_i_{c}"))
-    return d.drop("_bin", *[f"_o_{c}" for c in sums], *[f"_i_{c}" for c in sums])
-
-
-def value_bounds(df: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
-    """(group, _lo, _hi, _rows) of a numeric column."""
-    x = F.col(order).cast("double")
-    return df.groupBy(*groups).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count("*").alias("_rows"))
+        out = out.withColumn(f"below_{c}", F.col(f"_o_{c}") + F.col(f"_i_{c}"))
+    return out.drop("_part", *[f"_{x}_{c}" for c in sums for x in "oi"])
 
 
 def null_if_nan(column: str | Column) -> Column:

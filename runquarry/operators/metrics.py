@@ -2,7 +2,7 @@
 
 Every metric starts from an aggregate that is combined before its shuffle: moments for regression, a confusion
 matrix for labels, counts per distinct score for rankings. Hot groups therefore shrink before they travel, and
-running counts over the scores of a large group are cut in bins (see ``running_below``).
+running counts over the scores of a group are taken in range partitions (see ``running_below``).
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ def _score_counts(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     if not groups:
         return _score_counts(rows.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     counts = rows.groupBy(*groups, "score").agg(F.sum("is_pos").alias("pos"), F.sum(1 - F.col("is_pos")).alias("neg"))
-    return running_below(counts, groups, "score", ["pos", "neg"], rows=rows)
+    return running_below(counts, groups, "score", ["pos", "neg"])
 
 
 def _auc_of(rows: DataFrame, groups: Sequence[str]) -> DataFrame:

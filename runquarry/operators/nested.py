@@ -56,26 +56,35 @@ def flatten_params(df: DataFrame, ids: Sequence[str], document: str, lists: bool
     return exploded.select(*ids, "_n.path", "_n.value")
 
 
-def _unflatten(paths, values, sep: str) -> dict:
-    root: dict = {}
-    for path, value in sorted(zip(paths, values)):
-        *parents, last = path.split(sep)
-        at = root
-        for name in parents:
-            at = at.setdefault(name, {})
-            if not isinstance(at, dict):
-                raise ValueError(f"{path} continues a path that holds a value")
-        at[last] = json.loads(value)
-    return root
-
-
-def _lists(node, list_prefix: str):
-    """Objects whose keys are all ``item_<digits>`` become lists in index order (so does an empty object)."""
-    if not isinstance(node, dict):
-        return node
-    if all(k.startswith(list_prefix) and k[len(list_prefix):].isdigit() for k in node):
-        return [_lists(node[k], list_prefix) for k in sorted(node, key=lambda k: int(k[len(list_prefix):]))]
-    return {k: _lists(v, list_prefix) for k, v in node.items()}
+def flat_leaves(document: dict, sep: str = "/", list_prefix: str = "item_") -> list[tuple[str, object]]:
+    """(path, leaf) pairs of nested parameters with lists, as they are logged."""
+    return _leaves(document, True, sep, list_prefix)
+
+
+def _rebuilt(leaves: dict[tuple[str, ...], str], list_prefix: str | None = None) -> str:
+    """JSON text, keys sorted, of an object given as its leaves: path -> JSON text.
+
+    Works level by level from the deepest paths: the texts of one parent's children are joined to the parent's text.
+    With ``list_prefix`` a parent whose children are all numbered with it becomes a list, and so does an empty one.
+    """
+    empty = "{}" if list_prefix is None else "[]"
+    levels: dict[int, dict[tuple[str, ...], str]] = {}
+    for path, text in leaves.items():
+        levels.setdefault(len(path), {})[path] = empty if text == "{}" else text
+    for depth in range(max(levels, default=0), 0, -1):
+        children: dict[tuple[str, ...], dict[str, str]] = {}
+        for path, text in levels.pop(depth, {}).items():
+            children.setdefault(path[:-1], {})[path[-1]] = text
+        above = levels.setdefault(depth - 1, {})
+        for parent, named in children.items():
+            if parent in above:
+                raise ValueError(f"{sorted(named)[0]} continues a path that holds a value: {parent}")
+            numbers = [n.removeprefix(list_prefix) for n in named] if list_prefix is not None else [""]
+            if all(n.isdigit() for n in numbers) and all(n.startswith(list_prefix) for n in named):
+                above[parent] = "[" + ",".join(t for _, t in sorted(zip(map(int, numbers), named.values()))) + "]"
+            else:
+                above[parent] = "{" + ",".join(f"{_dump(n)}:{named[n]}" for n in sorted(named)) + "}"
+    return levels.get(0, {}).get((), empty)
 
 
 def _dump(node) -> str:
@@ -89,23 +98,39 @@ def unflatten_params(df: DataFrame, ids: Sequence[str], path: str = "path", valu
     One shuffle by id brings the leaves of a document, which is a single value, together.
     """
 
-    def build(paths: pa.Array, values: pa.Array) -> pa.Array:
-        roots = (_unflatten(p, v, sep) for p, v in zip(paths.to_pylist(), values.to_pylist()))
-        return pa.array([_dump(_lists(r, list_prefix) if lists else r) for r in roots], pa.string())
+    def build(rows: pa.Array) -> pa.Array:
+        out_rows = []
+        for leaves in rows.to_pylist():
+            # of several values of one path the last in order stands
+            texts = {tuple(x["p"].split(sep)): _dump(json.loads(x["v"])) for x in sorted(leaves, key=lambda x: (x["p"], x["v"]))}
+            out_rows.append(_rebuilt(texts, list_prefix if lists else None))
+        return pa.array(out_rows, pa.string())
 
-    # both lists are filled row by row, so their entries correspond
-    grouped = df.groupBy(*ids).agg(F.collect_list(F.col(path)).alias("_p"), F.collect_list(F.coalesce(F.col(value), F.lit("null"))).alias("_v"))
-    return grouped.select(*ids, F.arrow_udf(build, T.StringType())("_p", "_v").alias(out))
+    # a leaf without a path has no place
+    leaf = F.when(F.col(path).isNotNull(), F.struct(F.col(path).alias("p"), F.coalesce(F.col(value), F.lit("null")).alias("v")))
+    return df.groupBy(*ids).agg(F.collect_list(leaf).alias("_l")).select(*ids, F.arrow_udf(build, T.StringType())("_l").alias(out))
 
 
-def _override(left, right):
-    for key, value in right.items():
-        if isinstance(value, dict):
-            below = left.get(key)
-            left[key] = _override(below if isinstance(below, dict) else {}, value)
+def _leaf_texts(document) -> dict[tuple[str, ...], str]:
+    """Path -> JSON text of every leaf of an object; lists and empty objects are leaves."""
+    out, todo = {}, [((), document)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict) and (node or not path):
+            todo += [((*path, k), v) for k, v in node.items()]
         else:
-            left[key] = value
-    return left
+            out[path] = _dump(node)
+    return out
+
+
+def _merged(left: dict[tuple[str, ...], str], right: dict[tuple[str, ...], str]) -> dict[tuple[str, ...], str]:
+    """Leaves of the right object over the left one. A left leaf goes where the right side has a leaf at its path or above
+    it, or continues its path. An empty right object leaves an object on the left as it is."""
+    objects = {p[:i] for p in left for i in range(1, len(p))} | {p for p, t in left.items() if t == "{}"}
+    news = {p: t for p, t in right.items() if not (t == "{}" and p in objects)}
+    continued = {p[:i] for p in news for i in range(1, len(p))}
+    kept = {p: t for p, t in left.items() if p not in continued and not any(p[:i] in news for i in range(1, len(p) + 1))}
+    return kept | news
 
 
 def deep_merge_params(df: DataFrame, left: str, right: str, out: str = "document") -> DataFrame:
@@ -113,6 +138,6 @@ def deep_merge_params(df: DataFrame, left: str, right: str, out: str = "document
 
     def merge(a: pa.Array, b: pa.Array) -> pa.Array:
         pairs = zip(a.to_pylist(), b.to_pylist())
-        return pa.array([_dump(_override(json.loads(x) if x else {}, json.loads(y) if y else {})) for x, y in pairs], pa.string())
+        return pa.array([_rebuilt(_merged(*(_leaf_texts(json.loads(x) if x else {}) for x in pair))) for pair in pairs], pa.string())
 
     return df.withColumn(out, F.arrow_udf(merge, T.StringType())(F.col(left), F.col(right)))

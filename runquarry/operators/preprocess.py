@@ -63,20 +63,35 @@ def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], single_task
     stats = df.agg(*[f(v).alias(f"{p}{i}") for i, v in enumerate(values.values())
                      for p, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     sizes = {c: stats[f"n{i}"] for i, c in enumerate(requests)}
+    lows, highs = dict.fromkeys(requests, 0), dict.fromkeys(requests, 0)
     if max(sizes.values()) <= single_task_rows:
         row = df.agg(*[F.percentile(values[c], F.array(*[F.lit(float(q)) for q in qs])).alias(f"q{i}")
                        for i, (c, qs) in enumerate(requests.items())]).first()
         return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(qs)
                 for i, (c, qs) in enumerate(requests.items())}
 
+    ends = {i: c for i, c in enumerate(requests) if math.inf in (-(stats[f"lo{i}"] or 0.0), stats[f"hi{i}"])}
+    if ends:  # infinities are counted apart: no interval may be endless
+        inf = F.lit(math.inf)
+        seen = df.agg(*[x.alias(f"{p}{i}") for i, c in ends.items() for p, x in (
+            ("a", F.count_if(values[c] == -inf)), ("b", F.count_if(values[c] == inf)),
+            ("lo", F.min(F.when(F.abs(values[c]) < inf, values[c]))), ("hi", F.max(F.when(F.abs(values[c]) < inf, values[c]))))]).first()
+        stats = {**stats.asDict(), **{f"{p}{i}": seen[f"{p}{i}"] for i in ends for p in ("lo", "hi")}}
+        lows |= {c: seen[f"a{i}"] for i, c in ends.items()}
+        highs |= {c: seen[f"b{i}"] for i, c in ends.items()}
+    found: dict[tuple[str, int], float] = {}
     # (column, rank) -> interval that holds the rank, and the number of values below the interval
     open_ranks: dict[tuple[str, int], tuple[float, float, int]] = {}
     for i, (c, qs) in enumerate(requests.items()):
         for q in qs if sizes[c] else []:
             place = q * (sizes[c] - 1)
             for rank in {math.floor(place), math.ceil(place)}:
-                open_ranks[(c, rank)] = (stats[f"lo{i}"], stats[f"hi{i}"], 0)
-    found: dict[tuple[str, int], float] = {}
+                if rank < lows[c]:
+                    found[(c, rank)] = -math.inf
+                elif rank >= sizes[c] - highs[c]:
+                    found[(c, rank)] = math.inf
+                else:
+                    open_ranks[(c, rank)] = (stats[f"lo{i}"], stats[f"hi{i}"], lows[c])
     while True:
         found |= {key: lo for key, (lo, hi, _) in open_ranks.items() if lo == hi}
         open_ranks = {key: state for key, state in open_ranks.items() if key not in found}
@@ -108,7 +123,7 @@ def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], single_task
                 continue
             place = q * (sizes[c] - 1)
             a, b = found[(c, math.floor(place))], found[(c, math.ceil(place))]
-            out[c].append(a + (b - a) * (place - math.floor(place)))
+            out[c].append(a if a == b else a + (b - a) * (place - math.floor(place)))
     return out
 
 
@@ -120,7 +135,9 @@ def category_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     Categories are compared as text; ``sort_number`` keeps numeric features in numeric order.
     """
     numeric = {f for f, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")}
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category"),
+    kinds = dict(df.dtypes)  # NaN is missing
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), (null_if_nan(c) if kinds[c] in ("float", "double") else F.col(c)).cast(
+                                   "string").alias("category"),
                                (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("sort_number"))
                       for c in features])
     rows = df.select(F.explode(items).alias("_c")).select("_c.*").where(F.col("category").isNotNull())

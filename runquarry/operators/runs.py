@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from runquarry.operators.nested import flat_leaves
 from runquarry.functions.scale import MAX_DRIVER_VALUES
 
 EAV_TABLES = ("params", "tags", "metrics", "latest_metrics")
@@ -35,6 +36,8 @@ def pivot_key_steps(metrics: DataFrame, cells: Sequence[tuple[str, int]], id_col
     for key, step in cells:
         hit = (F.col("key") == key) & (F.col("step") == step)
         aggs.append(F.max(F.when(hit, F.struct("ts", "value")))["value"].alias(f"{key}@{step}"))
+    if not aggs:
+        return metrics.select(id_col).where(F.lit(False))
     wanted = F.col("key").isin(sorted({k for k, _ in cells}))
     return metrics.where(wanted).groupBy(id_col).agg(*aggs)
 
@@ -105,8 +108,11 @@ def successful_runs(store: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def find_existing_run(store: Mapping[str, DataFrame], experiment_name: str, params: Mapping[str, object]) -> DataFrame:
-    """The newest successful run of the experiment whose params equal all the given pairs (0 or 1 row)."""
-    pairs = {k: str(v) for k, v in params.items()}
+    """The newest successful run of the experiment whose params equal all the given pairs (0 or 1 row).
+
+    Nested objects and lists are flattened as they are when logged (``a/b``, ``a/item_0``).
+    """
+    pairs = {path: str(v) for path, v in flat_leaves(dict(params))}
     hit = F.lit(False)
     for key, value in pairs.items():
         hit = hit | ((F.col("key") == key) & (F.col("value") == value))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import hash_key
-from runquarry.functions.scale import bounded, number_rows
+from runquarry.functions.scale import bounded, number_rows, same_keys
 
 _HEX_DIGITS = 4  # 65 536 buckets
 
@@ -39,11 +39,11 @@ def _thresholds(rows: DataFrame, quotas: DataFrame | int, order: list[str]) -> D
     bucket = F.substring("_hash", 1, _HEX_DIGITS)
     per_bucket = rows.groupBy("_class", bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     counted = per_bucket.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_class").orderBy("_bucket")))
-    counted = counted.withColumn("_quota", F.lit(quotas)) if isinstance(quotas, int) else counted.join(quotas, "_class")
+    counted = counted.withColumn("_quota", F.lit(quotas)) if isinstance(quotas, int) else same_keys(counted, quotas, ["_class"], "inner")
     edges = (counted.where((F.col("_quota") <= F.col("_upto")) & (F.col("_quota") > F.col("_upto") - F.col("_n")))
              .select("_class", "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need")))
     # one bucket per class: as a local side it picks out the edge rows without moving the others
-    edge_rows = rows.withColumn("_bucket", bucket).join(bounded(edges), ["_class", "_bucket"])
+    edge_rows = same_keys(rows.withColumn("_bucket", bucket), bounded(edges), ["_class", "_bucket"], "inner")
     place = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy(*order))
     return (edge_rows.withColumn("_place", place).where(F.col("_place") == F.col("_need"))
             .select("_class", F.struct(*order).alias("_last")))
@@ -74,7 +74,7 @@ def assign_split(df: DataFrame, id_col: str, test_size: float | int, seed: int =
     if n_test < total["k"] or total["n"] - n_test < total["k"]:
         raise ValueError(f"both parts need at least one row for each of the {total['k']} classes")
     last = bounded(_thresholds(rows.select("_class", *order), _quotas(counts, total["n"], n_test), order))
-    joined = rows.join(last, "_class", "left")
+    joined = same_keys(rows, last, ["_class"])
     return joined.withColumn(out, F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))).drop("_hash", "_class", "_last")
 
 
@@ -101,7 +101,7 @@ def assign_split_forced(df: DataFrame, id_col: str, test_size: float | int, seed
         test_size = int(total["k"])
     if total["least"] < 2:
         warnings.warn("some classes have one member; their rows are repeated", stacklevel=2)
-        single = df.join(counts.where(F.col("_n") == 1).select(stratify), stratify, "left_semi")
+        single = same_keys(df, counts.where(F.col("_n") == 1).select(stratify), [stratify], "left_semi")
         df = df.unionByName(single.withColumn(copy, F.lit(1)))
     return assign_split(df, id_col, test_size, seed, stratify, out=out, tie=copy)
 

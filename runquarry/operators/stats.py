@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from runquarry.functions.scale import MAX_WINDOW_ROWS, distinct_values, largest_group, null_if_nan, running_below
+from runquarry.functions.scale import distinct_values, null_if_nan, running_below
 from runquarry.functions.special import chi2_sf, studentized_range_sf
 
 
@@ -50,33 +50,23 @@ def _average_rank(first: Column, ties: Column) -> Column:
     return first + (ties - 1) / F.lit(2.0)
 
 
-def rank_in_block(df: DataFrame, blocks: Sequence[str], metric: str, ascending: bool = False,
-                  window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
-    """Rank of the metric in its block; ties share their average rank, a missing metric has no rank.
+def rank_in_block(df: DataFrame, blocks: Sequence[str], metric: str, ascending: bool = False) -> DataFrame:
+    """Rank of the metric in its block; ties share their average rank, a missing metric or block has no rank.
 
-    Blocks are counted first. If one is too large for a single sort, ranks are computed over the distinct
-    values of a block with their row counts, cut in value bins.
+    Ranks are taken over the distinct values of a block with their row counts, in range partitions.
     """
     value = null_if_nan(metric)
     df = df.withColumn("_order", value if ascending else -value)
-    if largest_group(df, blocks) <= window_rows:
-        tied = Window.partitionBy(*blocks, "_order")
-        first = F.rank().over(Window.partitionBy(*blocks).orderBy(F.col("_order").asc_nulls_last()))
-        known = F.col("_order").isNotNull()
-        for block in blocks:
-            known = known & F.col(block).isNotNull()
-        return df.withColumn("rank", F.when(known, _average_rank(first, F.count("*").over(tied)))).drop("_order")
     counts = df.where(F.col("_order").isNotNull()).groupBy(*blocks, "_order").agg(F.count("*").alias("n"))
-    ranks = running_below(_complete_keys(counts, blocks), blocks, "_order", ["n"], window_rows=window_rows).select(
+    ranks = running_below(_complete_keys(counts, blocks), blocks, "_order", ["n"]).select(
         *blocks, "_order", _average_rank(F.col("below_n") + 1, F.col("n")).alias("rank"))
     return df.join(ranks, [*blocks, "_order"], "left").drop("_order")
 
 
-def mean_rank(df: DataFrame, model: str, blocks: Sequence[str], metric: str, ascending: bool = False,
-              window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+def mean_rank(df: DataFrame, model: str, blocks: Sequence[str], metric: str, ascending: bool = False) -> DataFrame:
     """Mean rank of each model over the blocks."""
     kept = _complete_keys(df.select(model, *blocks, metric), [model, *blocks])
-    ranked = rank_in_block(kept, blocks, metric, ascending, window_rows)
+    ranked = rank_in_block(kept, blocks, metric, ascending)
     return ranked.groupBy(model).agg(F.avg("rank").alias("mean_rank"))
 
 

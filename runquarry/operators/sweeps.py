@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import hash_int, hash_key, uniform
-from runquarry.functions.scale import MAX_WINDOW_ROWS, explode_range, materialize, running_below
+from runquarry.functions.scale import explode_range, materialize, running_below, same_keys
 
 SEED_BOUND = 2**31 - 1
 
@@ -138,7 +138,7 @@ def effective_trials(trials: DataFrame, keys: Sequence[str], timeout_total: floa
         return trials
     spent = running_below(trials.groupBy(*keys, "trial").agg(F.sum(elapsed).alias("_e")), keys, "trial", ["_e"])
     started = spent.where(F.col("below__e") <= timeout_total).select(*keys, "trial")
-    return trials.join(started, [*keys, "trial"], "left_semi")
+    return same_keys(trials, started, [*keys, "trial"], "left_semi")
 
 
 def best_trial(trials: DataFrame, keys: Sequence[str], direction: str = "minimize") -> DataFrame:
@@ -208,7 +208,7 @@ def close_scheduled_children(runs: DataFrame, links: DataFrame, stopped: DataFra
 # ---- early stopping
 
 def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "maximize", reduction_factor: int = 4,
-                      min_resource: int = 10, bracket: str | None = None, window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+                      min_resource: int = 10, bracket: str | None = None) -> DataFrame:
     """(keys, trial, rung, value, survived) of successive halving over a log of (keys, trial, step, value).
 
     At step ``min_resource * factor^rung`` the runs still alive that got there are compared by their last value up
@@ -220,7 +220,7 @@ def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "max
     later = F.col(bracket) if bracket else F.lit(0)
     reach = F.ln(F.max("_end") / F.lit(min_resource)) / F.lit(math.log(reduction_factor))
     ends = log.groupBy(*group, "trial").agg(F.max("step").alias("_end"))
-    sizes = ends.groupBy(*group).agg(F.count("*").alias("n"), reach.alias("r")).agg(F.max("n").alias("n"), F.max(F.col("r") - later).alias("r")).first()
+    sizes = ends.groupBy(*group).agg(reach.alias("r")).agg(F.max(F.col("r") - later).alias("r")).first()
     rungs = 0 if sizes["r"] is None or sizes["r"] < 0 else int(math.floor(sizes["r"] + 1e-9)) + 1
     if not rungs:
         return log.select(*group, "trial", F.lit(0).alias("rung"), "value", F.lit(True).alias("survived")).where(F.lit(False))
@@ -229,22 +229,17 @@ def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "max
     last = [F.max(F.when(F.col("step") <= at, F.struct("step", "value")))["value"].alias(f"_v{rung}") for rung, at in enumerate(steps)]
     trials = log.groupBy(*group, "trial").agg(F.max("step").alias("_end"), *last)
     trials = trials.select(*group, "trial", *[F.when(F.col("_end") >= at, F.col(f"_v{rung}")).alias(f"_v{rung}") for rung, at in enumerate(steps)])
-    small = sizes["n"] <= window_rows
     trials = trials.withColumn("_alive", F.lit(True))
     for rung in range(rungs):
         # those out of the race keep their row: the log is read once, each rung adds a rank
         taking_part = F.col("_alive") & F.col(f"_v{rung}").isNotNull()
         here = trials.withColumns({"_in": taking_part, "_order": F.col(f"_v{rung}") * sign})
-        if small:
-            place = F.row_number().over(Window.partitionBy(*group, "_in").orderBy("_order", "trial"))
-            size = F.count("*").over(Window.partitionBy(*group, "_in"))
-        else:
-            here = materialize(here)  # used three times below
-            counts = here.where("_in").groupBy(*group, "_order").agg(F.count("*").alias("n"))
-            below = running_below(counts, group, "_order", ["n"], window_rows=window_rows).select(*group, "_order", F.lit(True).alias("_in"), "below_n", "total_n")
-            here = here.join(below, [*group, "_order", "_in"], "left")
-            place = F.col("below_n") + F.row_number().over(Window.partitionBy(*group, "_order", "_in").orderBy("trial"))
-            size = F.col("total_n")
+        here = materialize(here)  # used three times below
+        counts = here.where("_in").groupBy(*group, "_order").agg(F.count("*").alias("n"))
+        below = running_below(counts, group, "_order", ["n"]).select(*group, "_order", F.lit(True).alias("_in"), "below_n", "total_n")
+        here = same_keys(here, below, [*group, "_order", "_in"])
+        place = F.col("below_n") + F.row_number().over(Window.partitionBy(*group, "_order", "_in").orderBy("trial"))
+        size = F.col("total_n")
         quota = F.greatest(F.lit(1), F.floor(size / F.lit(reduction_factor)))
         trials = here.withColumn(f"_s{rung}", F.when(F.col("_in"), place <= quota))
         trials = trials.withColumn("_alive", F.coalesce(F.col(f"_s{rung}"), F.lit(False))).select(

@@ -62,8 +62,8 @@ def read_run_store(spark: SparkSession, location: str, tables: Iterable[str] | N
     for name in _wanted(tables or STORE_SCHEMAS, tables, exclude_tables):
         if format == "jdbc":
             keyed = any(f.name == "run_uuid" for f in STORE_SCHEMAS[name].fields) if name in STORE_SCHEMAS else False
-            df = (spark.read.jdbc(location, name, predicates=hex_prefix_predicates(), properties=options) if keyed
-                  else spark.read.jdbc(location, name, properties=options))
+            df = (spark.read.jdbc(location, name, predicates=hex_prefix_predicates(), properties={"fetchsize": "100000", **options}) if keyed
+                  else spark.read.jdbc(location, name, properties={"fetchsize": "100000", **options}))
         else:
             path = f"{location.rstrip('/')}/{name}"
             if not tables and not _exists(spark, path):
@@ -92,7 +92,7 @@ def append_table(df: DataFrame, location: str, format: str = "parquet") -> DataF
 def error_report(errors: DataFrame, location: str) -> DataFrame:
     """Write (db1_url, error) as CSV with a header and read it back."""
     errors.select("db1_url", "error").write.mode("overwrite").csv(location, header=True, escape='"')
-    return errors.sparkSession.read.csv(location, header=True, schema="db1_url string, error string", escape='"')
+    return errors.sparkSession.read.csv(location, header=True, schema="db1_url string, error string", escape='"', multiLine=True)
 
 
 def search_runs(store: Mapping[str, DataFrame], param_keys=None, metric_keys=None, tag_keys=None) -> DataFrame:
@@ -101,6 +101,8 @@ def search_runs(store: Mapping[str, DataFrame], param_keys=None, metric_keys=Non
     parts = [("params", store["params"], param_keys), ("tags", store["tags"], tag_keys),
              ("metrics", latest_metrics(store["metrics"]), metric_keys)]
     for name, eav, keys in parts:
-        keys = distinct_values(eav, "key") if keys is None else keys
+        keys = distinct_values(store[name], "key") if keys is None else keys
+        if not keys:
+            continue
         wide = wide.join(pivot_keys(eav, keys, prefix=f"{name}."), "run_uuid", "left")
     return wide

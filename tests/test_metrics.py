@@ -2,7 +2,6 @@ import math
 
 import pytest
 
-from runquarry.functions import scale
 from runquarry.operators.metrics import METRICS, get_metric_fn
 
 
@@ -27,11 +26,6 @@ def test_registry_flags():
         get_metric_fn("nope")
 
 
-@pytest.fixture(params=[0, 10**6], ids=["bins", "windows"], autouse=True)
-def window_rows(request, monkeypatch):
-    monkeypatch.setattr(scale, "MAX_WINDOW_ROWS", request.param)
-
-
 def test_auc_counts_ties_as_half(binary):
     rows = {r["g"]: r["auc_binary"] for r in get_metric_fn("auc_binary")[0](binary, "y", "s", ["g"]).collect()}
     pairs = [(p, n) for p in (0.9, 0.8, 0.1) for n in (0.8, 0.1)]
