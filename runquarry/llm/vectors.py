@@ -89,8 +89,8 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vector: str = "em
     the driver holds and are sent to the tasks. They set the cost, not the result.
 
     Vectors that are null, empty, zero or hold null or non-finite components, null labels and null keys link with nothing:
-    0 links, component_id their own key, kept. Vectors of different lengths never link. Rows that repeat a key are
-    each counted as a vector. An empty table gives no rows.
+    0 links, component_id their own key, kept. Vectors of different lengths never link. Rows that repeat key and vector
+    are counted each; different vectors of one key are in one component. An empty table gives no rows.
     """
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf"))
     ok = F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda v: v != 0)
