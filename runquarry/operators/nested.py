@@ -87,8 +87,7 @@ def _rebuilt(leaves: dict[tuple[str, ...], str], list_prefix: str | None = None)
     return levels.get(0, {}).get((), empty)
 
 
-def _dump(node) -> str:
-    return json.dumps(node, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+_dump = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
 
 
 def unflatten_params(df: DataFrame, ids: Sequence[str], path: str = "path", value: str = "value", lists: bool = False,
@@ -129,7 +128,8 @@ def _merged(left: dict[tuple[str, ...], str], right: dict[tuple[str, ...], str])
     objects = {p[:i] for p in left for i in range(1, len(p))} | {p for p, t in left.items() if t == "{}"}
     news = {p: t for p, t in right.items() if not (t == "{}" and p in objects)}
     continued = {p[:i] for p in news for i in range(1, len(p))}
-    kept = {p: t for p, t in left.items() if p not in continued and not any(p[:i] in news for i in range(1, len(p) + 1))}
+    depths = {len(p) for p in news}
+    kept = {p: t for p, t in left.items() if p not in continued and not any(p[:i] in news for i in depths if i <= len(p))}
     return kept | news
 
 
