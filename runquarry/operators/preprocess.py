@@ -15,9 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runquarry.functions.scale import MAX_DRIVER_VALUES, bounded, local_frame, materialize, null_if_nan, number_rows
 
-# Up to this many rows a column's exact quantile is taken by one aggregate.
-MAX_PERCENTILE_ROWS = 200_000
-
 # Type names and the Spark types they stand for.
 TYPE_NAMES: dict[str, str] = {
     "int": "bigint", "float": "double", "str": "string", "bool": "boolean", "category": "string",
@@ -49,81 +46,82 @@ def _identity(features: Sequence[str]) -> Fitted:
 
 # ---- exact quantiles
 
-def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], single_task_rows: int = MAX_PERCENTILE_ROWS,
-                    bins: int = 1024) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of numeric columns, at any size.
+def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], accuracy: int = 10_000, rounds: int = 64) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of numeric columns, found the same way at every size.
 
-    Small columns (counted first) take one aggregate. For larger ones every wanted rank is narrowed down by
-    histograms: count the values per bin of the current interval, keep the bin that holds the rank, repeat
-    until that bin holds a single value. Each pass is a scan with map-side counts, whatever the skew.
+    Approximate quantiles around each wanted rank serve as edges; the rows below and up to every edge are counted. An
+    edge whose rows span the rank is its value, otherwise the rank lies between two edges and the next round looks
+    only there. Edges are values of the column, so a round leaves a few ``1 / accuracy`` of the rows whatever the values
+    are, infinities included: two rounds serve a hundred million rows. NULL and NaN are left out.
     """
     if not requests:
         return {}
-    values = {c: null_if_nan(c) for c in requests}
-    stats = df.agg(*[f(v).alias(f"{p}{i}") for i, v in enumerate(values.values())
-                     for p, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    sizes = {c: stats[f"n{i}"] for i, c in enumerate(requests)}
-    lows, highs = dict.fromkeys(requests, 0), dict.fromkeys(requests, 0)
-    if max(sizes.values()) <= single_task_rows:
-        row = df.agg(*[F.percentile(values[c], F.array(*[F.lit(float(q)) for q in qs])).alias(f"q{i}")
-                       for i, (c, qs) in enumerate(requests.items())]).first()
-        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(qs)
-                for i, (c, qs) in enumerate(requests.items())}
-
-    ends = {i: c for i, c in enumerate(requests) if math.inf in (-(stats[f"lo{i}"] or 0.0), stats[f"hi{i}"])}
-    if ends:  # infinities are counted apart: no interval may be endless
-        inf = F.lit(math.inf)
-        seen = df.agg(*[x.alias(f"{p}{i}") for i, c in ends.items() for p, x in (
-            ("a", F.count_if(values[c] == -inf)), ("b", F.count_if(values[c] == inf)),
-            ("lo", F.min(F.when(F.abs(values[c]) < inf, values[c]))), ("hi", F.max(F.when(F.abs(values[c]) < inf, values[c]))))]).first()
-        stats = {**stats.asDict(), **{f"{p}{i}": seen[f"{p}{i}"] for i in ends for p in ("lo", "hi")}}
-        lows |= {c: seen[f"a{i}"] for i, c in ends.items()}
-        highs |= {c: seen[f"b{i}"] for i, c in ends.items()}
+    values, step = {c: null_if_nan(c) for c in requests}, 2.0 / accuracy
+
+    def around(v: Column, places: Sequence[float]) -> Column:
+        marks = {min(1.0, max(0.0, p + d)) for p in places for d in (-step, 0.0, step)}
+        return F.percentile_approx(v, sorted(marks), accuracy)
+
+    first = df.agg(*[x.alias(f"{p}{i}") for i, (c, qs) in enumerate(requests.items())
+                     for p, x in (("n", F.count(values[c])), ("e", around(values[c], qs)))]).first()
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(requests)}
+    edges = {c: first[f"e{i}"] for i, c in enumerate(requests) if sizes[c]}
+    wanted = {(c, q): q * (sizes[c] - 1) for c, qs in requests.items() for q in qs if sizes[c]}
+    open_ranks = {(c, rank) for (c, _), place in wanted.items() for rank in (math.floor(place), math.ceil(place))}
     found: dict[tuple[str, int], float] = {}
-    # (column, rank) -> interval that holds the rank, and the number of values below the interval
-    open_ranks: dict[tuple[str, int], tuple[float, float, int]] = {}
-    for i, (c, qs) in enumerate(requests.items()):
-        for q in qs if sizes[c] else []:
-            place = q * (sizes[c] - 1)
-            for rank in {math.floor(place), math.ceil(place)}:
-                if rank < lows[c]:
-                    found[(c, rank)] = -math.inf
-                elif rank >= sizes[c] - highs[c]:
-                    found[(c, rank)] = math.inf
-                else:
-                    open_ranks[(c, rank)] = (stats[f"lo{i}"], stats[f"hi{i}"], lows[c])
-    while True:
-        found |= {key: lo for key, (lo, hi, _) in open_ranks.items() if lo == hi}
-        open_ranks = {key: state for key, state in open_ranks.items() if key not in found}
+    counted: dict[str, dict[float, tuple[int, int]]] = {c: {} for c in requests}
+    for _ in range(rounds):
+        for c, new in _rows_around(df, values, edges).items():
+            counted[c] |= new
+        between: dict[tuple, list[int]] = {}
+        for c, rank in sorted(open_ranks):
+            hit = [e for e, (below, upto) in counted[c].items() if below <= rank < upto]
+            if hit:
+                found[c, rank] = hit[0]
+            else:
+                lo = max((e for e, (_, upto) in counted[c].items() if upto <= rank), default=None)
+                hi = min((e for e, (below, _) in counted[c].items() if below > rank), default=None)
+                between.setdefault((c, lo, hi), []).append(rank)
+        open_ranks -= found.keys()
         if not open_ranks:
             break
-        intervals = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_ranks.items()})
-        hits = []
-        for i, (c, lo, hi) in enumerate(intervals):
-            v = values[c]
-            b = F.least(F.lit(bins - 1), F.floor((v - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int"))
-            hits.append(F.when((v >= lo) & (v <= hi), F.struct(F.lit(i).alias("i"), b.alias("b"), v.alias("v"))))
-        rows = (df.select(F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h")).groupBy("h.i", "h.b")
-                .agg(F.count("*").alias("n"), F.min("h.v").alias("lo"), F.max("h.v").alias("hi")).collect())
-        by_interval: dict[int, list] = {}
-        for r in sorted(rows, key=lambda r: (r["i"], r["b"])):
-            by_interval.setdefault(r["i"], []).append(r)
-        for (c, rank), (lo, hi, below) in list(open_ranks.items()):
-            for r in by_interval[intervals.index((c, lo, hi))]:
-                if rank < below + r["n"]:
-                    open_ranks[(c, rank)] = (r["lo"], r["hi"], below)
-                    break
-                below += r["n"]
-    out: dict[str, list[float | None]] = {}
-    for c, qs in requests.items():
-        out[c] = []
-        for q in qs:
-            if not sizes[c]:
-                out[c].append(None)
-                continue
-            place = q * (sizes[c] - 1)
-            a, b = found[(c, math.floor(place))], found[(c, math.ceil(place))]
-            out[c].append(a if a == b else a + (b - a) * (place - math.floor(place)))
+        asked = []
+        for i, ((c, lo, hi), ranks) in enumerate(between.items()):
+            start, end = 0 if lo is None else counted[c][lo][1], sizes[c] if hi is None else counted[c][hi][0]
+            inside = (F.lit(True) if lo is None else values[c] > lo) & (F.lit(True) if hi is None else values[c] < hi)
+            asked.append(around(F.when(inside, values[c]), [(rank - start + 0.5) / (end - start) for rank in ranks]).alias(f"e{i}"))
+        row, edges = df.agg(*asked).first(), {}
+        for i, (c, _, _) in enumerate(between):
+            edges.setdefault(c, []).extend(row[f"e{i}"])
+    else:
+        raise RuntimeError("the rows changed while their quantiles were looked for")
+
+    def value(c: str, q: float) -> float | None:
+        if (c, q) not in wanted:
+            return None
+        place = wanted[c, q]
+        low, high = math.floor(place), math.ceil(place)
+        a, b = found[c, low], found[c, high]
+        return a if a == b else (high - place) * a + (place - low) * b
+
+    return {c: [value(c, q) for q in qs] for c, qs in requests.items()}
+
+
+def _rows_around(df: DataFrame, values: dict[str, Column], edges: dict[str, Sequence[float]]) -> dict[str, dict[float, tuple[int, int]]]:
+    """column -> edge -> (rows below it, rows up to it); one pass, counted before the shuffle."""
+    edges = {c: sorted(set(e)) for c, e in edges.items()}
+    places = []
+    for i, (c, es) in enumerate(edges.items()):
+        passed = sum((((values[c] >= e).cast("int") + (values[c] > e).cast("int")) for e in es), F.lit(0))
+        places.append(F.when(values[c].isNotNull(), F.struct(F.lit(i).alias("i"), passed.alias("passed"))))
+    if not places:
+        return {}
+    rows = (df.select(F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("h")).groupBy("h.i", "h.passed")
+            .agg(F.count("*").alias("n")).collect())
+    out: dict[str, dict[float, tuple[int, int]]] = {}
+    for i, (c, es) in enumerate(edges.items()):
+        mine = [(r["passed"], r["n"]) for r in rows if r["i"] == i]
+        out[c] = {e: (sum(n for k, n in mine if k <= 2 * j), sum(n for k, n in mine if k <= 2 * j + 1)) for j, e in enumerate(es)}
     return out
 
 

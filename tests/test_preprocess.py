@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.ml.feature import Imputer, StringIndexer
+from pyspark.sql import functions as F
 
 from runquarry.operators import preprocess as P
 from runquarry.operators import split as SP
@@ -15,15 +16,17 @@ def _column(df, name="x"):
     return [r[name] for r in df.collect()]
 
 
-def test_exact_quantiles_by_histograms(spark):
+@pytest.mark.parametrize("accuracy", [5, 100, 10_000])
+def test_exact_quantiles_are_those_of_percentile(spark, accuracy):
     rng = random.Random(3)
-    x = [rng.choice([rng.gauss(0, 1e6), 7.25, rng.random() * 1e-9]) for _ in range(2001)]
-    df = spark.createDataFrame([(v, None if i % 4 else v, float("nan")) for i, v in enumerate(x)], "a double, b double, c double")
-    wanted = {"a": [0.0, 0.25, 0.5, 0.9, 1.0], "b": [0.5], "c": [0.5]}
-    small = P.exact_quantiles(df, wanted)
-    for bins in (2, 16, 1024):
-        big = P.exact_quantiles(df, wanted, single_task_rows=10, bins=bins)
-        assert big["a"] == pytest.approx(small["a"]) and big["b"] == pytest.approx(small["b"]) and big["c"] == [None]
+    x = [rng.choice([rng.gauss(0, 1e6), 7.25, rng.random() * 1e-9, 10.0 ** rng.uniform(-300, 300)]) for _ in range(2001)]
+    df = spark.createDataFrame([(v, None if i % 4 else v, float("nan"), 1.5, float("inf") if i % 3 else -v) for i, v in enumerate(x)],
+                               "a double, b double, c double, d double, e double")
+    asked = [0.0, 0.2, 0.25, 0.5, 0.9, 1.0]
+    got = P.exact_quantiles(df, dict.fromkeys("abcde", asked), accuracy=accuracy)
+    want = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "abcde"]).agg(*[F.percentile(c, asked).alias(c) for c in "abcde"]).first()
+    assert got == {c: want[c] or [None] * len(asked) for c in "abcde"}
+    assert P.exact_quantiles(df.limit(0), {"a": [0.5]}) == {"a": [None]} and P.exact_quantiles(df, {}) == {}
 
 
 def test_imputers(spark):
