@@ -52,7 +52,7 @@ def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], accuracy: i
     Approximate quantiles around each wanted rank serve as edges; the rows below and up to every edge are counted. An
     edge whose rows span the rank is its value, otherwise the rank lies between two edges and the next round looks
     only there. Edges are values of the column, so a round leaves a few ``1 / accuracy`` of the rows whatever the values
-    are, infinities included: two rounds serve a hundred million rows. NULL and NaN are left out.
+    are, infinities included: three rounds serve a hundred million rows. NULL and NaN are left out.
     """
     if not requests:
         return {}

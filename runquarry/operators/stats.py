@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from runquarry.functions.scale import distinct_values, null_if_nan, running_below
+from runquarry.functions.scale import distinct_values, materialize, null_if_nan, number_rows, running_below
 from runquarry.functions.special import chi2_sf, studentized_range_sf
 
 
@@ -88,11 +88,14 @@ def complete_block_ranks(df: DataFrame, model: str, block: Sequence[str], metric
         *block, model, _average_rank(F.col("_first"), F.col("ties")).alias("rank"), "ties")
 
 
-def friedman(df: DataFrame, model: str, block: Sequence[str], metric: str, digits: int | None = None) -> DataFrame:
-    """One row (statistic, k, n, p_value): Friedman chi-square with tie correction, blocks matched by key."""
+def _model_ranks(df: DataFrame, model: str, block: Sequence[str], metric: str) -> DataFrame:
+    """One row (model, rank sum, blocks, tie sum) per model: all that the tests need."""
     ranks = complete_block_ranks(df, model, block, metric, ascending=True)
-    per_model = ranks.groupBy(model).agg(F.sum("rank").alias("_r"), F.count("*").alias("_n"),
-                                         F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("_t"))
+    return ranks.groupBy(model).agg(F.sum("rank").alias("_r"), F.count("*").alias("_n"),
+                                    F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("_t"))
+
+
+def _friedman_row(per_model: DataFrame, digits: int | None) -> DataFrame:
     one = per_model.agg(F.count("*").alias("k"), F.max("_n").alias("n"), F.sum(F.col("_r") * F.col("_r")).alias("_rr"),
                         F.sum("_t").alias("_tt"))
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
@@ -106,27 +109,48 @@ def friedman(df: DataFrame, model: str, block: Sequence[str], metric: str, digit
                       _rounded(F.col("p_value"), digits).alias("p_value"))
 
 
+def _pairs(per_model: DataFrame, model: str, digits: int | None) -> DataFrame:
+    """Every pair of models once, decoded from its number so that pairs are spread over the cluster, then mirrored."""
+    k = per_model.count()
+    means = number_rows(per_model.select(F.col(model).alias("m"), (F.col("_r") / F.col("_n")).alias("r"), F.col("_n").alias("n")), ["m"], out="no")
+    high = F.floor((F.sqrt(8.0 * F.col("id") + 1) + 1) / 2)  # at most one off for very large numbers
+    high = high + F.when(high * (high - 1) / 2 > F.col("id"), -1).when(high * (high + 1) / 2 <= F.col("id"), 1).otherwise(0)
+    numbers = per_model.sparkSession.range(k * (k - 1) // 2).select("id", high.cast("bigint").alias("j"))
+    numbers = numbers.select((F.col("id") - (F.col("j") * (F.col("j") - 1) / 2).cast("bigint")).alias("i"), "j")
+
+    def side(no: str) -> DataFrame:
+        return means.select(F.struct("m", "r", "n").alias(f"at_{no}"), F.col("no").alias(no))
+
+    both = numbers.join(side("i"), "i").join(side("j"), "j")
+    q = F.abs(F.col("at_i.r") - F.col("at_j.r")) / F.sqrt(F.lit(k * (k + 1.0)) / (F.lit(6.0) * F.col("at_i.n")))
+    both = both.select(F.col("at_i.m").alias("a"), F.col("at_j.m").alias("b"), q.alias("q"))
+    both = both.select("a", "b", "q", studentized_range_sf(F.col("q") * F.sqrt(F.lit(2.0)), F.lit(float(k))).alias("p"))
+    return both.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("pair"),
+                       "q", "p").select(F.col("pair.x").alias("model_a"), F.col("pair.y").alias("model_b"), _rounded(F.col("q"), digits).alias("q"),
+                                        _rounded(F.col("p"), digits).alias("p_value"))
+
+
+def friedman(df: DataFrame, model: str, block: Sequence[str], metric: str, digits: int | None = None) -> DataFrame:
+    """One row (statistic, k, n, p_value): Friedman chi-square with tie correction, blocks matched by key."""
+    return _friedman_row(_model_ranks(df, model, block, metric), digits)
+
+
 def nemenyi(df: DataFrame, model: str, block: Sequence[str], metric: str, digits: int | None = None) -> DataFrame:
     """(model_a, model_b, q, p_value) for every pair of models, both ways round as in a square matrix.
 
-    Works on one mean rank per model; the pairs are the result itself.
+    Works on one rank sum per model; the pairs are the result itself.
     """
-    ranks = complete_block_ranks(df, model, block, metric, ascending=True)
-    means = ranks.groupBy(model).agg(F.avg("rank").alias("r"), F.count("*").alias("n"))
-    one = means.agg(F.sort_array(F.collect_list(F.struct(F.col(model).alias("m"), "r", "n"))).alias("all"))
-    pairs = (one.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"), F.size("all").alias("k"))
-             .where(F.col("a.m") != F.col("b.m")))
-    k = F.col("k").cast("double")
-    q = F.abs(F.col("a.r") - F.col("b.r")) / F.sqrt(k * (k + 1) / (F.lit(6.0) * F.col("a.n")))
-    pairs = pairs.select(F.col("a.m").alias("model_a"), F.col("b.m").alias("model_b"), q.alias("q"), "k")
-    return pairs.select("model_a", "model_b", _rounded(F.col("q"), digits).alias("q"),
-                        _rounded(studentized_range_sf(F.col("q") * F.sqrt(F.lit(2.0)), F.col("k")), digits).alias("p_value"))
+    return _pairs(materialize(_model_ranks(df, model, block, metric)), model, digits)
 
 
 def friedman_nemenyi(df: DataFrame, model: str, block: Sequence[str], metric: str, ascending_rank: bool = False,
                      alpha: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(test, pairwise, mean ranks); the last two are empty unless the test's p-value is below 1 - alpha."""
-    test = friedman(df, model, block, metric)
-    significant = test.select(F.coalesce(F.col("p_value") < 1 - alpha, F.lit(False))).scalar()
-    return (test, nemenyi(df, model, block, metric).where(significant),
-            mean_rank(df, model, block, metric, ascending_rank).where(significant))
+    """(test, pairwise, mean ranks); the last two are empty unless the test's p-value is below 1 - alpha.
+
+    The ranks are taken once; test, gate and pairs come from one row per model.
+    """
+    per_model = materialize(_model_ranks(df, model, block, metric))
+    test = _friedman_row(per_model, None)
+    significant = test.select(F.coalesce(F.col("p_value") < 1 - alpha, F.lit(False))).first()[0]
+    return (test, _pairs(per_model, model, None).where(F.lit(significant)),
+            mean_rank(df, model, block, metric, ascending_rank).where(F.lit(significant)))

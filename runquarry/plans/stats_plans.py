@@ -1,6 +1,8 @@
 """Means, ranks and significance tests. Metrics are fed in hundredths: their sums are then exact in a double."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from runquarry.operators import stats as S
 from runquarry.plans.registry import query
@@ -69,26 +71,51 @@ def _(t):
     return S.friedman(_results(t), "model", ["task_id"], "metric", digits=6)
 
 
+# The normal distribution by the rational approximation 26.2.17 of Abramowitz and Stegun (error below 1e-7), the integral
+# over a fixed grid. Its six constants.
+_TAIL = """grid AS (SELECT -9 + 0.01E0 * i AS z FROM range(1801) AS g(i)),
+pairs AS (SELECT a.model AS model_a, b.model AS model_b, one.k AS k,
+    abs(a.mean_rank - b.mean_rank) / sqrt(one.k * (one.k + 1) / (6.0E0 * one.n)) AS q
+    FROM per_model a JOIN per_model b ON a.model <> b.model CROSS JOIN one),
+points AS (SELECT model_a, model_b, k, q, z, x, 1 / (1 + 0.2316419E0 * abs(x)) AS u, lower
+    FROM (SELECT *, unnest([z, z - q * sqrt(2.0E0)]) AS x, unnest([1, -1]) AS lower FROM pairs, grid)),
+cdf AS (SELECT *, CASE WHEN x < 0 THEN t ELSE 1 - t END AS c FROM (SELECT *, exp(-x * x / 2) / sqrt(2 * pi())
+    * u * (0.319381530E0 + u * (-0.356563782E0 + u * (1.781477937E0 + u * (-1.821255978E0 + u * 1.330274429E0)))) AS t FROM points)),
+spans AS (SELECT model_a, model_b, k, q, z, greatest(sum(lower * c), 0) AS span FROM cdf GROUP BY ALL),
+p_values AS (SELECT model_a, model_b, q, 1 - k * 0.01E0 * sum(exp(-z * z / 2) / sqrt(2 * pi()) * pow(span, k - 1)) AS p FROM spans GROUP BY model_a, model_b, k, q)"""
+
+
 @query("nemenyi", f"""
-WITH {_RES}, {_CELLS}
-SELECT a.model AS model_a, b.model AS model_b,
-       round(abs(a.mean_rank - b.mean_rank) / sqrt(one.k * (one.k + 1) / (6.0E0 * one.n)), 6) AS q
-FROM per_model a JOIN per_model b ON a.model <> b.model CROSS JOIN one""")
+WITH {_RES}, {_CELLS}, {_TAIL}
+SELECT model_a, model_b, round(q, 6) AS q, round(p, 4) AS p_value FROM p_values""")
 def _(t):
-    return S.nemenyi(_results(t), "model", ["task_id"], "metric", digits=6).drop("p_value")
+    return S.nemenyi(_results(t), "model", ["task_id"], "metric", digits=6).withColumn("p_value", F.round("p_value", 4))
 
 
-@query("nemenyi_p_values")
+@query("nemenyi_p_values", f"""
+WITH {_RES}, {_CELLS.replace("task_id", "dataset")}, {_TAIL}
+SELECT model_a, model_b, round(p, 4) AS p_value FROM p_values""")
 def _(t):
-    return S.nemenyi(_results(t), "model", ["task_id"], "metric", digits=6)
+    return S.nemenyi(_results(t), "model", ["dataset"], "metric").select("model_a", "model_b", F.round("p_value", 4).alias("p_value"))
+
+
+_ALPHAS = (0.05, 0.95)
+_PLACES = _ranked("DESC", "task_id").replace("ranked AS", "places AS", 1)
 
 
-@query("friedman_nemenyi")
+@query("friedman_nemenyi", f"""
+WITH {_RES}, {_CELLS}, {_TAIL},
+shown AS (SELECT alpha, exp(-statistic / 2) AS p, exp(-statistic / 2) < bound AS significant
+          FROM test, (VALUES (0.05E0, 0.95E0), (0.95E0, 0.05E0)) AS gates(alpha, bound)),
+{_PLACES}
+SELECT alpha, 'friedman' AS kind, NULL::VARCHAR AS model_a, NULL::VARCHAR AS model_b, round(p, 4) AS value FROM shown
+UNION ALL SELECT alpha, 'nemenyi', model_a, model_b, round(p_values.p, 4) FROM shown, p_values WHERE significant
+UNION ALL SELECT alpha, 'mean_rank', model, NULL, round(avg(rank), 4) FROM shown, places WHERE significant GROUP BY alpha, model""")
 def _(t):
-    test, pairs, means = S.friedman_nemenyi(_results(t), "model", ["task_id"], "metric", alpha=0.05)
-    rows = [test.select(F.lit("friedman").alias("kind"), F.lit(None).cast("string").alias("model_a"),
-                        F.lit(None).cast("string").alias("model_b"), F.col("p_value").alias("value")),
-            pairs.select(F.lit("nemenyi").alias("kind"), "model_a", "model_b", F.col("p_value").alias("value")),
-            means.select(F.lit("mean_rank").alias("kind"), F.col("model").alias("model_a"),
-                         F.lit(None).cast("string").alias("model_b"), F.col("mean_rank").alias("value"))]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    parts, none = [], F.lit(None).cast("string")
+    for alpha in _ALPHAS:
+        test, pairs, means = S.friedman_nemenyi(_results(t), "model", ["task_id"], "metric", alpha=alpha)
+        parts += [test.select(F.lit("friedman").alias("kind"), none.alias("model_a"), none.alias("model_b"), F.col("p_value").alias("value"), F.lit(alpha).alias("alpha")),
+                  pairs.select(F.lit("nemenyi").alias("kind"), "model_a", "model_b", F.col("p_value").alias("value"), F.lit(alpha).alias("alpha")),
+                  means.select(F.lit("mean_rank").alias("kind"), F.col("model").alias("model_a"), none.alias("model_b"), F.col("mean_rank").alias("value"), F.lit(alpha).alias("alpha"))]
+    return reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 4))

@@ -8,7 +8,7 @@ from runquarry.plans import registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-ROWS_ONLY = {"nemenyi_p_values", "friedman_nemenyi", "sweep_ml_estimator"}
+ROWS_ONLY = {"sweep_ml_estimator"}
 
 
 @pytest.fixture(scope="module")
