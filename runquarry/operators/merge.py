@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runquarry.functions.scale import bounded, number_rows
+from runquarry.functions.scale import bounded, materialize, number_rows
 from runquarry.schemas import DEFAULT_EXCLUDED, DELETED, PRIMARY_KEYS, STORE_SCHEMAS
 
 # Tables that point to an experiment / to a run.
@@ -36,9 +36,12 @@ def full_experiment_map(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def merge_experiments(source: DataFrame, target: DataFrame) -> DataFrame:
     """Target rows, plus the new names under their new ids."""
-    ids = allocate_experiment_ids(source, target).select("experiment_id", "new_experiment_id")
-    new = source.join(ids, "experiment_id").withColumn("experiment_id", F.col("new_experiment_id"))
-    return _append(target, new)
+    return _append(target, _under_new_ids(source, allocate_experiment_ids(source, target)))
+
+
+def _under_new_ids(source: DataFrame, ids: DataFrame) -> DataFrame:
+    new = source.join(ids.select("experiment_id", "new_experiment_id"), "experiment_id")
+    return new.withColumn("experiment_id", F.col("new_experiment_id")).select(*source.columns)
 
 
 def remap_experiment_fk(df: DataFrame, id_map: DataFrame) -> DataFrame:
@@ -60,23 +63,28 @@ def _append(target: DataFrame, new: DataFrame) -> DataFrame:
 
 def merge_insert_new(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("run_uuid",)) -> DataFrame:
     """Target plus the source rows whose run (or whole key, with ``keys``) the target does not have."""
+    return _append(target, _unknown(source, target, keys))
+
+
+def _unknown(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     for key in keys:
         if key not in source.columns:
             raise ValueError(f"the table does not have a {key} column")
-    return _append(target, source.join(target.select(*keys).distinct(), list(keys), "left_anti"))
+    return source.join(target.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def merge_stores(spark: SparkSession, target: Mapping[str, DataFrame],
                  sources: Mapping[str, Mapping[str, DataFrame] | Callable[[], Mapping[str, DataFrame]]],
                  tables: Iterable[str] | None = None, exclude_tables: Iterable[str] | None = None,
-                 try_to_insert_new: bool = False, cut: Callable[[DataFrame], DataFrame] | None = None,
+                 try_to_insert_new: bool = False, cut: Callable[[DataFrame], DataFrame] = materialize,
                  ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Merge several stores into ``target``; returns the merged tables and (db1_url, error) of what failed.
 
     A source is a store or a function that loads one; a source that cannot be loaded is recorded and
     skipped. A table with a key the target already has is left out and recorded, unless
-    ``try_to_insert_new`` is set: then the rows of unknown runs are added. ``cut`` (e.g. a checkpoint) is
-    applied to every merged table, to keep plans short when there are many sources.
+    ``try_to_insert_new`` is set: then the rows of unknown runs are added. What a source adds is fixed by ``cut``
+    (a reliable checkpoint) before the next source is looked at, so every source is evaluated once, and a merged table is
+    the target's rows and one fixed part per source.
     """
     skip = set(DEFAULT_EXCLUDED if exclude_tables is None else exclude_tables)
     merged, errors = dict(target), []
@@ -86,25 +94,28 @@ def merge_stores(spark: SparkSession, target: Mapping[str, DataFrame],
         try:
             store = source() if callable(source) else source
             known, incoming = merged["experiments"], store["experiments"]
-            id_map = full_experiment_map(incoming, known)
+            fresh = cut(allocate_experiment_ids(incoming, known))
+            id_map = cut(experiment_id_map(incoming, known).unionByName(fresh.drop("name")))
             result = dict(merged)
             for name in order:
                 if name not in store:
                     continue
                 if name == "experiments":
-                    result[name] = merge_experiments(incoming, known)
+                    result[name] = _append(known, cut(_under_new_ids(incoming, fresh)))
                     continue
                 rows = remap_experiment_fk(store[name], id_map) if name in EXPERIMENT_CHILDREN else store[name]
-                keys = [k for k in PRIMARY_KEYS.get(name, []) if k in rows.columns and k in merged[name].columns]
                 if try_to_insert_new and "run_uuid" in rows.columns:
-                    result[name] = merge_insert_new(rows, merged[name])
-                elif keys and not merge_conflicts(rows, merged[name], keys).isEmpty():
+                    result[name] = _append(merged[name], cut(_unknown(rows, merged[name], ["run_uuid"])))
+                    continue
+                rows = cut(rows)
+                keys = [k for k in PRIMARY_KEYS.get(name, []) if k in rows.columns and k in merged[name].columns]
+                if keys and not merge_conflicts(rows, merged[name], keys).isEmpty():
                     if try_to_insert_new:
                         raise ValueError(f"table {name} does not have a run_uuid column")
                     errors.append((url, f"table {name}: some keys already exist in the target"))
                 else:
                     result[name] = _append(merged[name], rows)
-            merged = {name: cut(df) if cut and df is not merged[name] else df for name, df in result.items()}
+            merged = result
         except Exception as error:  # noqa: BLE001 - one bad source must not stop the others
             errors.append((url, f"{type(error).__name__}: {error}"))
     return merged, spark.createDataFrame(errors, "db1_url string, error string")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from runquarry.operators.nested import flat_leaves
-from runquarry.functions.scale import MAX_DRIVER_VALUES
+from runquarry.functions.scale import MAX_DRIVER_VALUES, materialize
 
 EAV_TABLES = ("params", "tags", "metrics", "latest_metrics")
 
@@ -47,10 +47,10 @@ def latest_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("run_uuid", "key").agg(F.max(F.struct("step", "ts", "value"))["value"].alias("value"))
 
 
-def _key_steps(metrics: DataFrame, keys: Sequence[str]) -> list[tuple[str, int]]:
-    rows = (metrics.where(F.col("key").isin(list(keys))).select("key", "step").distinct()
-            .limit(MAX_DRIVER_VALUES + 1).collect())
-    if len(rows) > MAX_DRIVER_VALUES:
+def _key_steps(metrics: DataFrame, keys: Sequence[str], max_columns: int) -> list[tuple[str, int]]:
+    rows = (metrics.where(F.col("key").isin(list(keys)) & F.col("step").isNotNull()).select("key", "step").distinct()
+            .limit(max_columns + 1).collect())
+    if len(rows) > max_columns:
         raise ValueError("too many (key, step) columns; use pivot_other_table=False")
     return sorted((r["key"], r["step"]) for r in rows)
 
@@ -58,23 +58,24 @@ def _key_steps(metrics: DataFrame, keys: Sequence[str]) -> list[tuple[str, int]]
 def query_runs(store: Mapping[str, DataFrame], runs_columns: Sequence[str],
                experiments_columns: Sequence[str] | None = None, experiments_names: Sequence[str] | None = None,
                other_table: str | None = None, other_table_keys: Sequence[str] | None = None,
-               pivot_other_table: bool = True) -> DataFrame:
+               pivot_other_table: bool = True, max_columns: int = MAX_DRIVER_VALUES) -> DataFrame:
     """Run columns, optionally next to experiment columns and one of params / tags / metrics / latest_metrics.
 
     With keys the result is wide (one column per key, ``<key>@<step>`` for ``metrics``) unless
-    ``pivot_other_table`` is off, and runs with none of the keys are dropped. Without keys it is long.
+    ``pivot_other_table`` is off, and runs with none of the keys are dropped. Without keys it is long. An experiment column
+    named like a chosen run column becomes ``experiments.<name>``. Metric rows without a step have no cell.
     """
     if other_table is not None and other_table not in EAV_TABLES:
         raise ValueError(f"unknown table {other_table}")
     columns = list(runs_columns) + ([] if "run_uuid" in runs_columns else ["run_uuid"])
-    extra = [c for c in (experiments_columns or []) if c not in columns]
+    named = {c: f"experiments.{c}" if c in columns and c != "experiment_id" else c for c in experiments_columns or []}
+    extra = [f"`{n}`" for n in named.values() if n not in columns]
     df = store["runs"]
     if experiments_columns or experiments_names:
-        experiments = store["experiments"].select(
-            "experiment_id", F.col("name").alias("_experiment_name"),
-            *[F.col(c) for c in extra if c != "experiment_id"])
+        experiments = store["experiments"].select("experiment_id", F.col("name").alias("_experiment_name"),
+                                                  *[F.col(c).alias(n) for c, n in named.items() if c != "experiment_id"])
         clash = [c for c in experiments.columns if c in df.columns and c != "experiment_id"]
-        df = df.drop(*[c for c in clash if c not in columns]).join(experiments, "experiment_id", "left")
+        df = df.drop(*clash).join(experiments, "experiment_id", "left")
         if experiments_names:
             df = df.where(F.col("_experiment_name").isin(list(experiments_names)))
     df = df.select(*columns, *extra)
@@ -89,7 +90,7 @@ def query_runs(store: Mapping[str, DataFrame], runs_columns: Sequence[str],
         other = other.where(F.col("key").isin(list(other_table_keys))).select("run_uuid", *value_columns)
         return df.join(other, "run_uuid").select(*columns, *extra, *value_columns)
     if other_table == "metrics":
-        wide = pivot_key_steps(other, _key_steps(other, other_table_keys))
+        wide = pivot_key_steps(other, _key_steps(other, other_table_keys, max_columns))
     else:
         wide = pivot_keys(other, other_table_keys)
     return df.join(wide, "run_uuid").select(*columns, *extra, *[F.col(f"`{c}`") for c in wide.columns if c != "run_uuid"])
@@ -122,7 +123,7 @@ def find_existing_run(store: Mapping[str, DataFrame], experiment_name: str, para
         full = (store["params"].where(hit).groupBy("run_uuid").agg(F.count_distinct("key").alias("_n"))
                 .where(F.col("_n") == len(pairs)).select("run_uuid"))
         runs = runs.join(full, "run_uuid", "left_semi")
-    return runs.orderBy(F.col("start_time").desc(), "run_uuid").limit(1)
+    return runs.orderBy(F.col("start_time").desc_nulls_last(), "run_uuid").limit(1)
 
 
 def match_existing_runs(store: Mapping[str, DataFrame], wanted: DataFrame, id_col: str, names: Sequence[str]) -> DataFrame:
@@ -135,7 +136,7 @@ def match_existing_runs(store: Mapping[str, DataFrame], wanted: DataFrame, id_co
         done = done.where(F.col(name).isNotNull())
     # newest run per combination first, so popular combinations shrink to one row before they meet the wanted ones
     newest = done.groupBy(*names).agg(
-        F.min_by("run_uuid", F.struct(-F.unix_micros(F.col("start_time").cast("timestamp")), F.col("run_uuid"))).alias("run_uuid"))
+        F.min_by("run_uuid", F.struct(F.col("start_time").isNull(), -F.unix_micros(F.col("start_time").cast("timestamp")), F.col("run_uuid"))).alias("run_uuid"))
     text = wanted.select(id_col, *[F.col(n).cast("string").alias(n) for n in names])
     return text.join(newest, list(names)).select(id_col, "run_uuid")
 
@@ -143,8 +144,10 @@ def match_existing_runs(store: Mapping[str, DataFrame], wanted: DataFrame, id_co
 def copy_cached_results(store: Mapping[str, DataFrame], hits: DataFrame) -> dict[str, DataFrame]:
     """Rows that give each new run the results of the old one; ``hits`` is (new_run, old_run).
 
-    Returns params, metrics, tags (with ``existent_run_id``) and the new runs' status.
+    Returns params, metrics, tags (with ``existent_run_id``) and the new runs' status. The pairs are fixed once, so each
+    table is read once.
     """
+    hits = materialize(hits.select("new_run", "old_run"))
     old = hits.select("new_run", F.col("old_run").alias("run_uuid"))
 
     def copied(table: str) -> DataFrame:

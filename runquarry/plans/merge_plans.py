@@ -1,6 +1,8 @@
 """Store merge and cleanup."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from runquarry.operators import merge as M
 from runquarry.plans.registry import query
@@ -55,34 +57,72 @@ def _(t):
     return M.merge_insert_new(M.remap_experiment_fk(t["src_runs"], _map(t)), t["dst_runs"])
 
 
-@query("merge_stores", f"""
-WITH {_IDS}, merged_params AS (
-    SELECT p.* FROM params p WHERE p.run_uuid IN (SELECT run_uuid FROM dst_runs) UNION ALL
-    SELECT p.* FROM params p WHERE p.run_uuid IN (SELECT run_uuid FROM src_runs)
-                               AND p.run_uuid NOT IN (SELECT run_uuid FROM dst_runs))
-SELECT 'experiments' AS table_name, name AS id, cast(experiment_id AS string) AS value FROM merged_experiments
-UNION ALL SELECT 'runs', run_uuid, concat(cast(experiment_id AS string), ' ', status) FROM merged_runs
-UNION ALL SELECT 'params', run_uuid, concat(key, '=', value) FROM merged_params
-UNION ALL SELECT 'errors', 'store-lost', 'KeyError'""")
+# Three stores come in: one that cannot be loaded, the second store of the fixtures, and a late one with one more experiment.
+_OWN = "SELECT * FROM {0} WHERE run_uuid IN (SELECT run_uuid FROM dst_runs)"
+_NEW = "SELECT * FROM {0} WHERE run_uuid IN (SELECT run_uuid FROM src_runs) AND run_uuid NOT IN (SELECT run_uuid FROM dst_runs)"
+_LATE = "SELECT concat('late-', run_uuid) AS run_uuid, * EXCLUDE (run_uuid) FROM {0} WHERE run_uuid IN (SELECT run_uuid FROM src_runs WHERE status = 'FAILED')"
+
+
+def _merged_rows(try_to_insert_new: bool) -> str:
+    parts = []
+    for name, text in (("params", "concat(key, '=', value)"), ("tags", "concat(key, '=', value)"), ("metrics", "concat(key, ' ', cast(step AS string), ' ', cast(ts AS string))")):
+        rows = [_OWN, _NEW, _LATE] if try_to_insert_new else [_OWN, _LATE]
+        parts += [f"SELECT '{name}' AS table_name, run_uuid AS id, {text} AS value FROM ({r.format(name)})" for r in rows]
+    runs = "merged_runs" if try_to_insert_new else "dst_runs"
+    return " UNION ALL ".join([*parts,
+        f"SELECT 'experiments', name, cast(experiment_id AS string) FROM (FROM merged_experiments UNION ALL FROM late)",
+        f"SELECT 'experiment_tags', cast(experiment_id AS string), concat(key, '=', value) FROM (FROM experiment_tags UNION ALL "
+        "SELECT new_experiment_id, 'owner', name FROM fresh UNION ALL SELECT experiment_id, 'owner', name FROM late)",
+        f"SELECT 'runs', run_uuid, concat(cast(experiment_id AS string), ' ', status) FROM {runs}",
+        f"SELECT 'runs', concat('late-', run_uuid), concat(cast(late.experiment_id AS string), ' FAILED') FROM src_runs, late WHERE status = 'FAILED'",
+        f"SELECT 'errors', 'store-lost', 'KeyError'",
+        *([] if try_to_insert_new else [f"SELECT 'errors', 'store-1', 'table {t}' FROM (SELECT count(*) AS n FROM src_runs WHERE run_uuid IN (SELECT run_uuid FROM dst_runs)) WHERE n > 0"
+                                        for t in ("runs", "params", "tags", "metrics")])])
+
+
+_LATE_IDS = "late AS (SELECT cast(max(experiment_id) + 1 AS int) AS experiment_id, 'LATE' AS name, 'active' AS lifecycle_stage FROM merged_experiments)"
+
+
+@query("merge_stores", f"WITH {_IDS}, {_LATE_IDS} {_merged_rows(True)}")
 def _(t):
-    def of(runs):
-        return t["params"].join(t[runs].select("run_uuid"), "run_uuid", "left_semi")
+    return _merge_all(t, try_to_insert_new=True)
+
+
+@query("merge_stores_conflicts", f"WITH {_IDS}, {_LATE_IDS} {_merged_rows(False)}")
+def _(t):
+    return _merge_all(t, try_to_insert_new=False)
+
+
+def _merge_all(t, try_to_insert_new):
+    def of(name, runs):
+        return t[name].join(runs.select("run_uuid"), "run_uuid", "left_semi")
+
+    def eav(runs):
+        return {name: of(name, runs) for name in ("params", "tags", "metrics")}
 
     def lost():
         raise KeyError("experiments")
 
-    target = {"experiments": t["experiments"], "runs": t["dst_runs"], "params": of("dst_runs")}
-    source = {"experiments": t["src_experiments"], "runs": t["src_runs"], "params": of("src_runs")}
-    merged, errors = M.merge_stores(t.spark, target, {"store-lost": lost, "store-1": source}, try_to_insert_new=True)
-    parts = [merged["experiments"].select(F.lit("experiments").alias("table_name"), F.col("name").alias("id"),
-                                          F.col("experiment_id").cast("string").alias("value")),
-             merged["runs"].select(F.lit("runs").alias("table_name"), F.col("run_uuid").alias("id"),
-                                   F.concat_ws(" ", F.col("experiment_id").cast("string"), "status").alias("value")),
-             merged["params"].select(F.lit("params").alias("table_name"), F.col("run_uuid").alias("id"),
-                                     F.concat_ws("=", "key", "value").alias("value")),
-             errors.select(F.lit("errors").alias("table_name"), F.col("db1_url").alias("id"),
-                           F.substring_index("error", ":", 1).alias("value"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    def renamed(df):
+        return df.withColumn("run_uuid", F.concat(F.lit("late-"), "run_uuid"))
+
+    def owners(experiments):
+        return experiments.select("experiment_id", F.lit("owner").alias("key"), F.col("name").alias("value"))
+
+    failed = t["src_runs"].where("status = 'FAILED'")
+    extra = t["experiments"].limit(1).select(F.lit(7).alias("experiment_id"), F.lit("LATE").alias("name"), F.lit("active").alias("lifecycle_stage"))
+    target = {"experiments": t["experiments"], "experiment_tags": t["experiment_tags"], "runs": t["dst_runs"], **eav(t["dst_runs"])}
+    first = {"experiments": t["src_experiments"], "experiment_tags": owners(t["src_experiments"].where("name LIKE '%_B'")), "runs": t["src_runs"], **eav(t["src_runs"])}
+    late = {"experiments": extra, "experiment_tags": owners(extra), "runs": renamed(failed).withColumn("experiment_id", F.lit(7)),
+            **{name: renamed(df) for name, df in eav(failed).items()}}
+    merged, errors = M.merge_stores(t.spark, target, {"store-lost": lost, "store-1": first, "store-2": late}, try_to_insert_new=try_to_insert_new)
+    pair = F.concat_ws("=", "key", "value")
+    shown = [("experiments", F.col("name"), F.col("experiment_id").cast("string")), ("experiment_tags", F.col("experiment_id").cast("string"), pair),
+             ("runs", F.col("run_uuid"), F.concat_ws(" ", F.col("experiment_id").cast("string"), "status")), ("params", F.col("run_uuid"), pair),
+             ("tags", F.col("run_uuid"), pair), ("metrics", F.col("run_uuid"), F.concat_ws(" ", "key", F.col("step").cast("string"), F.col("ts").cast("string")))]
+    parts = [merged[name].select(F.lit(name).alias("table_name"), i.alias("id"), v.alias("value")) for name, i, v in shown]
+    parts.append(errors.select(F.lit("errors").alias("table_name"), F.col("db1_url").alias("id"), F.substring_index("error", ":", 1).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 _GONE = "WHERE run_uuid NOT IN (SELECT run_uuid FROM runs WHERE lifecycle_stage = 'deleted')"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from runquarry.functions.scale import scratch_path
 from runquarry.operators import runs as R, stats as S
 from runquarry.plans.registry import query
-from runquarry.sources import append_table, error_report, search_runs, sql_source
+from runquarry.sources import append_table, error_report, read_run_store, search_runs, sql_source
 
 _NAMES = ["ASIA", "EUROPE"]
 _PARAM_KEYS = ["model_nickname", "dataset_name", "seed_dataset", "fold", "random_seed"]
@@ -25,7 +25,11 @@ _LATEST = """latest AS (SELECT run_uuid, key, value FROM (
     f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
     for t in ("experiments", "experiment_tags", "runs", "params", "tags", "metrics")))
 def _(t):
-    return t.store.row_counts()
+    folder = scratch_path(t.spark, "store")
+    for name, df in t.store.items():
+        df.write.parquet(f"{folder}/{'notes' if name == 'experiment_tags' else name}")  # one name that no schema knows
+    counts = read_run_store(t.spark, folder).row_counts()
+    return counts.withColumn("table_name", F.when(F.col("table_name") == "notes", "experiment_tags").otherwise(F.col("table_name")))
 
 
 @query("sql_source", """
@@ -75,9 +79,10 @@ def _(t):
 
 
 @query("runs_join_experiments", """
-SELECT r.run_uuid, r.status, e.name FROM runs r LEFT JOIN experiments e ON r.experiment_id = e.experiment_id""")
+SELECT r.run_uuid, r.lifecycle_stage, e.name, e.lifecycle_stage AS "experiments.lifecycle_stage"
+FROM runs r LEFT JOIN experiments e ON r.experiment_id = e.experiment_id""")
 def _(t):
-    return R.query_runs(t.store, ["run_uuid", "status"], experiments_columns=["name"])
+    return R.query_runs(t.store, ["run_uuid", "lifecycle_stage"], experiments_columns=["name", "lifecycle_stage"])
 
 
 @query("runs_join_eav", """
@@ -172,21 +177,22 @@ hits AS (SELECT r.run_uuid AS new_run, n.run_uuid AS old_run FROM runs r
     JOIN params f ON f.run_uuid = r.run_uuid AND f.key = 'fold'
     JOIN newest n ON n.model = p.value AND n.ds = q.value AND n.fold = f.value
     WHERE r.status = 'SCHEDULED')
-SELECT 'params' AS kind, h.new_run AS run_uuid, p.key, p.value FROM hits h JOIN params p ON p.run_uuid = h.old_run
-UNION ALL SELECT 'metrics', h.new_run, m.key, cast(m.step AS string) FROM hits h JOIN metrics m ON m.run_uuid = h.old_run
-UNION ALL SELECT 'tags', h.new_run, g.key, g.value FROM hits h JOIN tags g ON g.run_uuid = h.old_run
-UNION ALL SELECT 'tags', new_run, 'existent_run_id', old_run FROM hits
-UNION ALL SELECT 'runs', new_run, 'status', 'FINISHED' FROM hits""")
+SELECT 'params' AS kind, h.new_run AS run_uuid, p.key, p.value, NULL::DOUBLE AS number, NULL::VARCHAR AS at FROM hits h JOIN params p ON p.run_uuid = h.old_run
+UNION ALL SELECT 'metrics', h.new_run, m.key, cast(m.step AS string), m.value, cast(cast(m.ts AS date) AS string) FROM hits h JOIN metrics m ON m.run_uuid = h.old_run
+UNION ALL SELECT 'tags', h.new_run, g.key, g.value, NULL, NULL FROM hits h JOIN tags g ON g.run_uuid = h.old_run
+UNION ALL SELECT 'tags', new_run, 'existent_run_id', old_run, NULL, NULL FROM hits
+UNION ALL SELECT 'runs', new_run, 'status', 'FINISHED', NULL, NULL FROM hits""")
 def _(t):
     names = ["model_nickname", "dataset_name", "fold"]
     waiting = t["runs"].where("status = 'SCHEDULED'").select("run_uuid").join(R.pivot_keys(t["params"], names), "run_uuid")
     hits = R.match_existing_runs(t.store, waiting.withColumnRenamed("run_uuid", "new_run"), "new_run", names)
     out = R.copy_cached_results(t.store, hits.select("new_run", F.col("run_uuid").alias("old_run")))
     rows = [out["params"].select(F.lit("params").alias("kind"), "run_uuid", "key", "value"),
-            out["metrics"].select(F.lit("metrics").alias("kind"), "run_uuid", "key", F.col("step").cast("string").alias("value")),
+            out["metrics"].select(F.lit("metrics").alias("kind"), "run_uuid", "key", F.col("step").cast("string").alias("value"),
+                                  F.col("value").alias("number"), F.col("ts").cast("date").cast("string").alias("at")),
             out["tags"].select(F.lit("tags").alias("kind"), "run_uuid", "key", "value"),
             out["runs"].select(F.lit("runs").alias("kind"), "run_uuid", F.lit("status").alias("key"), F.col("status").alias("value"))]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return rows[1].unionByName(rows[0], True).unionByName(rows[2], True).unionByName(rows[3], True)
 
 
 @query("child_runs", """

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runquarry.functions.scale import distinct_values
+from runquarry.functions.scale import MAX_DRIVER_VALUES, distinct_values
 from runquarry.operators.runs import latest_metrics, pivot_keys
 from runquarry.schemas import DEFAULT_EXCLUDED, STORE_SCHEMAS, with_store_schema
 
@@ -55,27 +55,29 @@ def read_run_store(spark: SparkSession, location: str, tables: Iterable[str] | N
                    options: Mapping[str, str] | None = None) -> RunStore:
     """Load a store: files below ``location`` (one folder or file per table), or a database for ``format="jdbc"``.
 
-    A database table with a run id is read in parallel, one partition per id prefix.
+    Without ``tables`` everything found below ``location`` is a table, whatever its name; of a database the tables with a
+    known schema are read, name others. A database table with a run id is read in parallel, one partition per id prefix.
     """
     options = dict(options or {})
     loaded: dict[str, DataFrame] = {}
-    for name in _wanted(tables or STORE_SCHEMAS, tables, exclude_tables):
+    files = {} if format == "jdbc" else _tables_below(spark, location, format)
+    for name in _wanted(tables or (STORE_SCHEMAS if format == "jdbc" else files), tables, exclude_tables):
         if format == "jdbc":
             keyed = any(f.name == "run_uuid" for f in STORE_SCHEMAS[name].fields) if name in STORE_SCHEMAS else False
             df = (spark.read.jdbc(location, name, predicates=hex_prefix_predicates(), properties={"fetchsize": "100000", **options}) if keyed
                   else spark.read.jdbc(location, name, properties={"fetchsize": "100000", **options}))
         else:
-            path = f"{location.rstrip('/')}/{name}"
-            if not tables and not _exists(spark, path):
-                continue
-            df = spark.read.format(format).options(**options).load(path)
+            df = spark.read.format(format).options(**options).load(files.get(name, f"{location.rstrip('/')}/{name}"))
         loaded[name] = with_store_schema(name, df)
     return RunStore(loaded)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def _tables_below(spark: SparkSession, location: str, format: str) -> dict[str, str]:
+    """Table name -> path of the folders and files of a store; hidden ones and those beginning with ``_`` are none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(location)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = {status.getPath().getName(): status.getPath().toString() for status in found}
+    return {n.removesuffix(f".{format}"): path for n, path in sorted(names.items()) if n[0] not in "._"}
 
 
 def sql_source(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -95,13 +97,16 @@ def error_report(errors: DataFrame, location: str) -> DataFrame:
     return errors.sparkSession.read.csv(location, header=True, schema="db1_url string, error string", escape='"', multiLine=True)
 
 
-def search_runs(store: Mapping[str, DataFrame], param_keys=None, metric_keys=None, tag_keys=None) -> DataFrame:
-    """Run columns plus ``params.<key>``, ``metrics.<key>`` (last value) and ``tags.<key>``; all runs are kept."""
+def search_runs(store: Mapping[str, DataFrame], param_keys=None, metric_keys=None, tag_keys=None, max_columns: int = MAX_DRIVER_VALUES) -> DataFrame:
+    """Run columns plus ``params.<key>``, ``metrics.<key>`` (last value) and ``tags.<key>``; all runs are kept.
+
+    Keys that are not given are all those of the table, up to ``max_columns`` of them.
+    """
     wide = store["runs"]
     parts = [("params", store["params"], param_keys), ("tags", store["tags"], tag_keys),
              ("metrics", latest_metrics(store["metrics"]), metric_keys)]
     for name, eav, keys in parts:
-        keys = distinct_values(store[name], "key") if keys is None else keys
+        keys = distinct_values(store[name], "key", max_columns) if keys is None else keys
         if not keys:
             continue
         wide = wide.join(pivot_keys(eav, keys, prefix=f"{name}."), "run_uuid", "left")

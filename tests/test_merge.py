@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from runquarry.operators import merge as M
 from runquarry.schemas import PRIMARY_KEYS
@@ -79,6 +80,20 @@ def test_two_sources_see_each_other(spark, stores):
     assert merged["runs"].where("run_uuid = 'r9'").first()["experiment_id"] == 9
 
 
+def test_every_source_adds_one_fixed_part(spark, stores):
+    target, source = stores
+
+    def scans(n):
+        more = {f"u{i}": {name: df.withColumn("run_uuid", F.concat(F.col("run_uuid"), F.lit(f"-{i}"))) if "run_uuid" in df.columns else df for name, df in source.items()}
+                for i in range(n)}
+        merged, errors = M.merge_stores(spark, target, more, try_to_insert_new=True)
+        assert errors.isEmpty() and merged["runs"].count() == 1 + 3 * n
+        return merged["runs"]._jdf.queryExecution().executedPlan().toString().count("Scan")
+
+    one, two, three = (scans(n) for n in (1, 2, 3))
+    assert two - one == three - two <= 1
+
+
 def test_gc(spark):
     store = {"experiments": spark.createDataFrame([(1, "a", "active"), (2, "b", "deleted"), (3, "c", None)], EXP),
              "experiment_tags": spark.createDataFrame([(1, "k", "v"), (2, "k", "v"), (5, "k", "v")], "experiment_id int, key string, value string"),

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from runquarry.operators import runs as R
 from runquarry.sources import append_table, error_report, hex_prefix_predicates, read_run_store, search_runs, sql_source
@@ -54,6 +55,16 @@ def test_without_names_all_runs_stay(store):
     assert {r["run_uuid"]: r["name"] for r in rows} == {"a": "one", "b": "one", "c": "two", "d": None}
 
 
+def test_same_named_experiment_column_and_missing_step(spark, store):
+    rows = {r["run_uuid"]: r for r in R.query_runs(store, ["run_uuid", "lifecycle_stage"], experiments_columns=["lifecycle_stage"]).collect()}
+    assert (rows["c"]["lifecycle_stage"], rows["c"]["experiments.lifecycle_stage"]) == ("active", "deleted")
+    metrics = store["metrics"].unionByName(store["metrics"].limit(1).withColumn("step", F.lit(None).cast("bigint")))
+    wide = R.query_runs({**store, "metrics": metrics}, ["status"], other_table="metrics", other_table_keys=["rmse"])
+    assert wide.columns == ["status", "run_uuid", "rmse@0", "rmse@1"]
+    with pytest.raises(ValueError, match="too many"):
+        R.query_runs(store, ["status"], other_table="metrics", other_table_keys=["rmse"], max_columns=1)
+
+
 def test_unknown_table(store):
     with pytest.raises(ValueError):
         R.query_runs(store, [], other_table="nope")
@@ -96,6 +107,8 @@ def test_store_round_trip_and_lists(spark, store, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}")
     found = read_run_store(spark, str(tmp_path))
     assert list(found) == ["experiments", "runs", "params", "tags", "metrics"]
+    store["tags"].write.parquet(f"{tmp_path}/notes.parquet")
+    assert list(read_run_store(spark, str(tmp_path)))[-1] == "notes"
     assert {r["table_name"]: r["n_rows"] for r in found.row_counts().collect()}["metrics"] == 5
     assert list(read_run_store(spark, str(tmp_path), tables=["params", "runs"], exclude_tables=["runs"])) == ["params"]
     assert "start_time" in found["runs"].columns  # unknown columns are kept
