@@ -12,6 +12,7 @@ import traceback
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
@@ -305,22 +306,31 @@ def sweep_grouped_udf(df: DataFrame, combination: Sequence[str], summarise: Call
 
     ``summarise`` turns any part of a combination's rows into sums (named in ``summary``); Spark adds the sums
     up, so no task ever holds a whole combination. ``train`` gets the totals and the combination and returns
-    metrics. An exception in ``train`` becomes a FAILED row, or is raised again with ``raise_on_error``.
+    metrics. An exception in either becomes a FAILED row, or is raised again with ``raise_on_error``.
 
     Result: combination, status, exception, elapsed, metrics (a map).
     """
     combination, summary = list(combination), list(summary)
     fields = {f.name: f for f in df.schema.fields}
     key_fields = [fields[c] for c in combination]
-    part_schema = T.StructType(key_fields + [T.StructField(s, T.DoubleType()) for s in summary])
+    part_schema = T.StructType(key_fields + [T.StructField(s, T.DoubleType()) for s in summary] + [T.StructField("_failure", T.StringType())])
+
+    def failure(error: Exception) -> str:
+        return traceback.format_exception_only(error)[-1].strip()
 
     def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for values, part in batch.groupby(combination, dropna=False, sort=False):
-                sums = summarise(part)
-                rows.append([*values, *[float(sums[s]) for s in summary]])
-            yield pd.DataFrame(rows, columns=combination + summary)
+                try:
+                    sums, failed = summarise(part), None
+                    sums = [float(sums[s]) for s in summary]
+                except Exception as error:  # noqa: BLE001 - a failed part fails its combination only
+                    if raise_on_error:
+                        raise
+                    sums, failed = [None] * len(summary), failure(error)
+                rows.append([*values, *sums, failed])
+            yield pd.DataFrame(rows, columns=[f.name for f in part_schema.fields])
 
     out_schema = T.StructType(key_fields + [T.StructField("status", T.StringType()), T.StructField("exception", T.StringType()),
                                             T.StructField("elapsed", T.DoubleType()),
@@ -331,17 +341,20 @@ def sweep_grouped_udf(df: DataFrame, combination: Sequence[str], summarise: Call
             rows = []
             for record in batch.to_dict("records"):
                 start = time.perf_counter()
+                if record["_failure"] is not None:
+                    rows.append([*[record[c] for c in combination], "FAILED", record["_failure"], time.perf_counter() - start, {}])
+                    continue
                 try:
                     metrics = train({s: record[s] for s in summary}, {c: record[c] for c in combination})
                     result = ["FINISHED", None, {k: float(v) for k, v in metrics.items()}]
                 except Exception as error:  # noqa: BLE001 - a failed combination is a result
                     if raise_on_error:
                         raise
-                    result = ["FAILED", traceback.format_exception_only(error)[-1].strip(), {}]
+                    result = ["FAILED", failure(error), {}]
                 rows.append([*[record[c] for c in combination], result[0], result[1], time.perf_counter() - start, result[2]])
             yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
 
-    sums = df.mapInPandas(partial_sums, part_schema).groupBy(*combination).agg(*[F.sum(s).alias(s) for s in summary])
+    sums = df.mapInPandas(partial_sums, part_schema).groupBy(*combination).agg(*[F.sum(s).alias(s) for s in summary], F.min("_failure").alias("_failure"))
     return sums.mapInPandas(fit_rows, out_schema)
 
 
@@ -350,9 +363,22 @@ def sweep_ml_estimator(df: DataFrame, estimator: Estimator, grid: Sequence[Mappi
                        raise_on_error: bool = False) -> DataFrame:
     """Fit a ``pyspark.ml`` estimator for each parameter setting of a (short) grid and evaluate it.
 
-    Every fit and evaluation is itself a distributed job; ``evaluate`` turns predictions into one row of metrics.
+    Every fit and evaluation is itself a distributed job; ``evaluate`` turns predictions into one row of metrics. The
+    rows are kept in memory, or on disk where that is full, during the loop. Without ``test`` the training rows are evaluated.
     """
-    spark, test = df.sparkSession, df if test is None else test
+    spark = df.sparkSession
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    test = df if test is None else test.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = _fit_each(df, test, estimator, grid, evaluate, raise_on_error)
+    finally:
+        test.unpersist()
+        df.unpersist()
+    schema = ("trial int, params map<string,string>, status string, exception string, elapsed double, metrics map<string,double>")
+    return spark.createDataFrame(rows, schema)
+
+
+def _fit_each(df: DataFrame, test: DataFrame, estimator: Estimator, grid, evaluate, raise_on_error: bool) -> list[tuple]:
     rows = []
     for trial, setting in enumerate(grid):
         start = time.perf_counter()
@@ -366,5 +392,4 @@ def sweep_ml_estimator(df: DataFrame, estimator: Estimator, grid: Sequence[Mappi
             if raise_on_error:
                 raise
             rows.append((trial, params, "FAILED", f"{type(error).__name__}: {error}", time.perf_counter() - start, {}))
-    schema = ("trial int, params map<string,string>, status string, exception string, elapsed double, metrics map<string,double>")
-    return spark.createDataFrame(rows, schema)
+    return rows

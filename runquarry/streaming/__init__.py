@@ -1,3 +1,3 @@
-from runquarry.streaming.latest import current_latest_metrics, start_latest_metrics
+from runquarry.streaming.latest import current_latest_metrics, fold_latest_metrics, start_latest_metrics
 
-__all__ = ["current_latest_metrics", "start_latest_metrics"]
+__all__ = ["current_latest_metrics", "fold_latest_metrics", "start_latest_metrics"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,8 +23,31 @@ def start_latest_metrics(log: DataFrame, location: str, checkpoint: str, **trigg
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def fold_latest_metrics(spark: SparkSession, location: str) -> None:
+    """Replace all batch folders written so far by one of the last values, so that a look reads no long history.
+
+    Call it between batches (the stream stopped, or from its ``foreachBatch``). The view is written next to the batches
+    first and they are removed afterwards: where this is cut short, some rows stand twice and the view is the same.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(location)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in files.listStatus(folder)] if files.exists(folder) else []
+    if len(old) < 2:
+        return
+    number = max(int(p.getName().split("=")[1].split("-")[0]) for p in old)
+    _last_values(spark.read.parquet(location)).write.parquet(f"{location}/batch={number}-{uuid.uuid4().hex}")
+    for path in old:
+        files.delete(path, True)
+
+
+def _last_values(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("run_uuid", "key").agg(F.max("last").alias("last"))
+
+
 def current_latest_metrics(spark: SparkSession, location: str) -> DataFrame:
-    """The standing view: the highest (step, ts, value) written for each (run, key)."""
-    changes = spark.read.parquet(location)
-    best = changes.groupBy("run_uuid", "key").agg(F.max("last").alias("last"))
+    """The standing view: the highest (step, ts, value) written for each (run, key); no rows before the first batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(location)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "run_uuid string, key string, value double")
+    best = _last_values(spark.read.parquet(location))
     return best.select("run_uuid", "key", F.col("last.value").alias("value"))

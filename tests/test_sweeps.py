@@ -180,6 +180,18 @@ def test_user_functions(spark):
         W.sweep_grouped_udf(df, ["g"], _count, ["n", "total"], _mean, raise_on_error=True).collect()
 
 
+def test_a_failing_summary_fails_its_combination_only(spark):
+    def _count(part):
+        if (part["g"] == "bad").any():
+            raise RuntimeError("no sums")
+        return {"n": len(part)}
+
+    df = spark.createDataFrame([("ok", float(i)) for i in range(100)] + [("bad", 1.0), (None, 2.0)], "g string, x double").repartition(6)
+    rows = {r["g"]: r for r in W.sweep_grouped_udf(df, ["g"], _count, ["n"], lambda sums, _: {"n": sums["n"]}).collect()}
+    assert rows["ok"]["metrics"] == {"n": 100.0} and rows[None]["metrics"] == {"n": 1.0}
+    assert (rows["bad"]["status"], rows["bad"]["exception"]) == ("FAILED", "RuntimeError: no sums")
+
+
 def test_ml_estimator(spark):
     df = VectorAssembler(inputCols=["x"], outputCol="features").transform(
         spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)], "x double, label double"))
