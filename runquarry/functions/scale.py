@@ -45,6 +45,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: fixed like a checkpoint, and later reads take only their columns."""
+    path = scratch_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A few rows as a local relation: unlike a parallelised list its size is known, so joins broadcast it."""
     parsed = T.StructType.fromDDL(schema)

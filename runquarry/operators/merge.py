@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runquarry.functions.scale import bounded, materialize, number_rows
+from runquarry.functions.scale import bounded, number_rows, written
 from runquarry.schemas import DEFAULT_EXCLUDED, DELETED, PRIMARY_KEYS, STORE_SCHEMAS
 
 # Tables that point to an experiment / to a run.
@@ -76,14 +76,14 @@ def _unknown(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataF
 def merge_stores(spark: SparkSession, target: Mapping[str, DataFrame],
                  sources: Mapping[str, Mapping[str, DataFrame] | Callable[[], Mapping[str, DataFrame]]],
                  tables: Iterable[str] | None = None, exclude_tables: Iterable[str] | None = None,
-                 try_to_insert_new: bool = False, cut: Callable[[DataFrame], DataFrame] = materialize,
+                 try_to_insert_new: bool = False, cut: Callable[[DataFrame], DataFrame] = written,
                  ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Merge several stores into ``target``; returns the merged tables and (db1_url, error) of what failed.
 
     A source is a store or a function that loads one; a source that cannot be loaded is recorded and
     skipped. A table with a key the target already has is left out and recorded, unless
     ``try_to_insert_new`` is set: then the rows of unknown runs are added. What a source adds is fixed by ``cut``
-    (a reliable checkpoint) before the next source is looked at, so every source is evaluated once, and a merged table is
+    (a table written to the shared folder) before the next source is looked at, so every source is evaluated once, and a merged table is
     the target's rows and one fixed part per source.
     """
     skip = set(DEFAULT_EXCLUDED if exclude_tables is None else exclude_tables)
