@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runquarry.operators import nested, preprocess, runs, split, sweeps
+from runquarry.streaming import latest
 
 
 def test_quantiles_with_infinities(spark):
@@ -45,3 +46,16 @@ def test_existing_run_by_nested_arguments(spark):
              "params": spark.createDataFrame([("r", "opt/lr", "0.1"), ("r", "sizes/item_0", "3")], "run_uuid string, key string, value string")}
     assert runs.find_existing_run(store, "e", {"opt": {"lr": 0.1}, "sizes": [3]}).count() == 1
     assert runs.find_existing_run(store, "e", {"opt": {"lr": 0.2}}).count() == 0
+
+
+def test_folded_view_is_the_same(spark, tmp_path):
+    rows = f"{tmp_path}/rows"
+    assert latest.current_latest_metrics(spark, rows).isEmpty()
+    latest.fold_latest_metrics(spark, rows)
+    for batch, (step, value) in enumerate([(1, 5.0), (3, 7.0), (2, 9.0)]):
+        last = F.struct(F.lit(step).alias("step"), F.lit(0).alias("ts"), F.lit(value).alias("value"))
+        spark.range(2).select(F.concat(F.lit("r"), "id").alias("run_uuid"), F.lit("k").alias("key"), last.alias("last")).write.parquet(f"{rows}/batch={batch}")
+    before = sorted(map(tuple, latest.current_latest_metrics(spark, rows).collect()))
+    latest.fold_latest_metrics(spark, rows)
+    assert before == sorted(map(tuple, latest.current_latest_metrics(spark, rows).collect())) == [("r0", "k", 7.0), ("r1", "k", 7.0)]
+    assert len([p for p in (tmp_path / "rows").iterdir() if not p.name.startswith((".", "_"))]) == 1
