@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runquarry.llm.common import mix64, slices
+from runquarry.llm.common import lists, mix64, slices
 
 _SIZES = (3, 4, 5, 6, 7, 8)
 _BITS = 20
@@ -59,7 +59,7 @@ class ToxicityModel:
     bias: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Probability of label 1. A feature counts once per text, so a text's length alone does not move its score."""
+        """Probability of label 1. A feature that a text has c times weighs log2(1 + c) times as much as one that it has once."""
         table = np.full(1 << _BITS, -1, dtype=np.int32)
         table[self.buckets] = np.arange(len(self.buckets))
         keys = []
@@ -67,9 +67,9 @@ class ToxicityModel:
             f = table[bucket]
             hit = np.flatnonzero((f >= 0) & ok)
             keys.append(owner[hit].astype(np.int64) * len(self.buckets) + f[hit])
-        pairs = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        pairs, counts = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
         m = max(len(self.buckets), 1)
-        sums = np.bincount(pairs // m, weights=self.weights[pairs % m], minlength=len(texts)) if len(pairs) else np.zeros(len(texts))
+        sums = np.bincount(pairs // m, weights=self.weights[pairs % m] * np.log2(1 + counts), minlength=len(texts)) if len(pairs) else np.zeros(len(texts))
         return 1 / (1 + np.exp(-np.clip(sums + self.bias, -500, 500)))
 
 
@@ -96,15 +96,15 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> t
     return wo, bo
 
 
-def fit_toxicity(rows: DataFrame, key: str, text: str, label: str, max_rows: int = 20_000, features: int = 1024, least: int = 4,
+def fit_toxicity(rows: DataFrame, key: str, text: str, label: str, max_rows: int = 20_000, features: int = 2048, least: int = 4,
                  penalty: float = 1e-3, steps: int = 400) -> ToxicityModel:
     """Train on a bounded sample of labelled rows: at most about ``max_rows`` of them, chosen by a hash of the key.
 
     The texts that have an n-gram (3 to 8 characters, hashed to 2**20 buckets) are counted per class on the
     cluster. The log-count ratio of a bucket is log((p + 1) / (|p| + 2)) - log((q + 1) / (|q| + 2)) of these counts.
     The ``features`` buckets that part the classes most surely (difference of the shares over its standard error)
-    are kept; the driver gets these and, for every sampled row, which of them it has. The logistic regression runs
-    on presence times ratio.
+    are kept; the driver gets these and, for every sampled row, how often it has which of them. The logistic regression
+    runs on log2(1 + occurrences) times ratio: damped, so that neither one word nor the length of a text decides.
 
     Null labels, and keys that are null, are left out; a null text is empty. Without rows of both classes every score is
     the smoothed share of label 1.
@@ -148,17 +148,17 @@ def fit_toxicity(rows: DataFrame, key: str, text: str, label: str, max_rows: int
         table[buckets] = np.arange(len(buckets))
         for batch in batches:
             for some in slices(batch, "t", 400_000):
-                owner, bucket, _ = _distinct(some.column("t").to_pylist())
+                owner, bucket, times = _distinct(some.column("t").to_pylist())
                 f = table[bucket]
-                owner, f = owner[f >= 0], f[f >= 0]
+                owner, times, f = owner[f >= 0], times[f >= 0], f[f >= 0]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=some.num_rows))])
-                yield pa.RecordBatch.from_arrays([some.column("y"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(f))], names=["y", "f"])
+                yield pa.RecordBatch.from_arrays([some.column("y"), lists(f, ends, pa.int32()), lists(times, ends, pa.int64())], names=["y", "f", "c"])
 
-    data = rows.mapInArrow(present, "y int, f array<int>").toArrow().combine_chunks()
+    data = rows.mapInArrow(present, "y int, f array<int>, c array<bigint>").toArrow().combine_chunks()
     y = data.column("y").to_numpy().astype(np.float32)
     x = np.zeros((len(y), len(buckets)), dtype=np.float32)
-    f = data.column("f").combine_chunks()
-    x[np.repeat(np.arange(len(y)), np.diff(f.offsets.to_numpy())), f.values.to_numpy()] = 1
+    f, c = data.column("f").combine_chunks(), data.column("c").combine_chunks()
+    x[np.repeat(np.arange(len(y)), np.diff(f.offsets.to_numpy())), f.values.to_numpy()] = np.log2(1 + c.values.to_numpy())
     x *= ratio.astype(np.float32)
     w, bias = _fit_logistic(x, y, penalty, steps)
     return ToxicityModel(buckets, w * ratio, bias)
