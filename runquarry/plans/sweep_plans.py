@@ -277,12 +277,22 @@ def _(t):
                       F.round(F.try_element_at(m, F.lit("slope")), 4).alias("slope"))
 
 
-@query("sweep_ml_estimator")
+# Ridge regression in closed form: the estimator scales features and label to deviation 1 and divides the penalty by the label's.
+@query("sweep_ml_estimator", """
+WITH d AS (SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS v12,
+             covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, stddev_pop(y) AS sy FROM d),
+g AS (SELECT * FROM (VALUES (0, '0.0'), (1, '10.0'), (2, '10000.0'), (3, '-1.0')) AS v(trial, reg_param)),
+a AS (SELECT g.*, m.*, v1 * (1 + cast(reg_param AS double) / sy) AS a1, v2 * (1 + cast(reg_param AS double) / sy) AS a2 FROM g, m),
+b AS (SELECT *, (a2 * c1 - v12 * c2) / (a1 * a2 - v12 * v12) AS b1, (a1 * c2 - v12 * c1) / (a1 * a2 - v12 * v12) AS b2 FROM a)
+SELECT cast(trial AS int) AS trial, reg_param, CASE WHEN trial = 3 THEN 'FAILED' ELSE 'FINISHED' END AS status,
+       CASE WHEN trial <> 3 THEN round(sqrt(avg((y - my - b1 * (x1 - m1) - b2 * (x2 - m2)) ** 2)), 4) END AS rmse
+FROM b, d GROUP BY trial, reg_param""")
 def _(t):
     data = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(
         t["lineitem"].select("l_quantity", "l_discount", F.col("l_extendedprice").alias("label")))
     estimator = LinearRegression(solver="normal")
-    out = W.sweep_ml_estimator(data, estimator, [{"regParam": 0.0}, {"regParam": 10.0}, {"regParam": -1.0}],
+    out = W.sweep_ml_estimator(data, estimator, [{"regParam": 0.0}, {"regParam": 10.0}, {"regParam": 10000.0}, {"regParam": -1.0}],
                                lambda p: p.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("rmse")))
     return out.select("trial", F.col("params")["regParam"].alias("reg_param"), "status",
                       F.round(F.try_element_at("metrics", F.lit("rmse")), 4).alias("rmse"))

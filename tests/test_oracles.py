@@ -8,7 +8,6 @@ from runquarry.plans import registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-ROWS_ONLY = {"sweep_ml_estimator"}
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +21,8 @@ def test_query_matches_sql(spark, duck, name):
     assert same, message
 
 
-def test_only_these_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_runs(spark):
