@@ -216,6 +216,23 @@ def test_html_short_blocks_beside_long_paragraphs(length, marks, holder):
     assert got == want or holder.startswith("div") and length == 100 and got == [*want, "aloof"]
 
 
+def test_html_marked_wrappers():
+    text = "<h2>T</h2><p>" + "Some words, and more. " * 20 + "</p>"
+    want = "T\n" + " ".join("Some words, and more. ".split() * 20)
+    around = '<nav>a b</nav><div class="sidebar">c d</div><div class="comments"><p>' + "No, never. " * 20 + "</p></div>"
+    for before, after in [('<div class="layout has-sidebar">', "</div>"), ('<div id="page" class="nav-open">', "</div>"), ("<form>", "</form>"), ('<div class="comments-open">', "</div>")]:
+        for inner in ("article", "main", "div"):
+            page = f"{before}<{inner}>{text}</{inner}>{around}{after}<footer>e</footer>"
+            assert html.main_text(page) == want, page
+    assert html.main_text(f'<form><div class="has-sidebar"><div class="nav-open">{text}</div>{around}</div></form>') == want
+    assert html.main_text(f'<aside><article>{text}</article></aside>') == want
+    assert html.main_text(f'<article>{text}</article><div class="comments"><article>{text}</article></div><aside><article>x</article></aside>') == want
+    head = '<div class="entry-header"><h1>Head</h1></div>'
+    for page in (f"<article>{head}{text}</article>", f'<main><h1 class="banner">Head</h1>{text}</main>', f'<main><div class="banner"><h1>Head</h1></div>{text}</main>'):
+        assert html.main_text(page) == "Head\n" + want, page
+    assert html.main_text(f'<article>{text}<div class="newsletter"><h3>No</h3></div><div class="related"><h1>No</h1></div><form>f</form></article>') == want
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op9_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     bad, good = ([r for r in rows if r["toxic"] == y] for y in (1, 0))
