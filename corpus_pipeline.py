@@ -1,7 +1,8 @@
 """The training-data pipeline over ``documents``: filter, deduplicate, cut repeats, mix, encode.
 
-Every stage is (spark, docs, sf_dir) -> DataFrame over all rows of ``docs``; all but the last keep its columns. Rows that
-repeat a doc_id count as one document where a stage decides by id. An empty table passes through as empty.
+Every stage is (spark, docs, sf_dir) -> DataFrame over all rows of ``docs``; all but the last keep its columns. Duplicates
+are decided row by row, so of rows that repeat a doc_id or have none one stays too; where the mix decides by id, such
+rows count as one document. An empty table passes through as empty.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runquarry.llm import bpe, minhash, queries, repeats
-from runquarry.llm.common import fixed, read
+from runquarry.llm.common import WORD, fixed, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +21,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    judged = minhash.near_duplicate_texts(docs, words=5, percent=80)
-    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("_rq_kept")).where("not _rq_kept").select(F.col("doc_id").alias("_rq_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_rq_id"), "left_anti")
+    """One row of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows are told apart by a number that is fixed before use, so repeated and null ids link like any others. The row of
+    the smallest doc_id stays, null last. Texts without words link with nothing; of these, one of each doc_id and text stays.
+    """
+    rows = fixed(docs.withColumn("_rq_row", F.monotonically_increasing_id()), "rows")
+    judged = minhash.near_duplicate_texts(rows, key="_rq_row", words=5, percent=80)
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_rq")))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.xxhash64(rest).alias("d"), F.col("_rq_row").alias("row"))
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(WORD)
+    group = F.when(wordless, F.struct(F.col("doc_id").alias("i"), F.col("text").alias("t")))
+    named = rows.select(F.col("_rq_row").alias("_rq_id"), order.alias("_rq_order"), group.alias("_rq_wordless"))
+    named = judged.join(named, F.col("_rq_row") == F.col("_rq_id"))
+    component = F.when(F.col("_rq_wordless").isNull(), F.col("component_id"))
+    stay = named.groupBy(component.alias("_rq_component"), "_rq_wordless").agg(F.min("_rq_order").alias("_rq_least")).select(F.col("_rq_least.row").alias("_rq_stays"))
+    return rows.join(stay, F.col("_rq_row") == F.col("_rq_stays"), "left_semi").select(*[rows[c] for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

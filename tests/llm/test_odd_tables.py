@@ -72,3 +72,14 @@ def test_stages(spark, docs, tmp_path):
         out.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() == now.count()
+
+
+def test_repeated_rows_stay_once(spark, docs, tmp_path):
+    text, now = docs.where("doc_id = 1").first()["text"], docs
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        stage(spark, now, SF).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        if name != "mixing":
+            assert [r["text"] for r in now.where("doc_id = 1").collect()] == [text], name
+            assert sorted(r["doc_id"] or 0 for r in now.collect()) == [0, 1, 3, 4, 5, 6, 8], name
+    assert [r["text"] for r in now.where("doc_id = 1").distinct().collect()] == [text]
