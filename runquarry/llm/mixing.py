@@ -108,7 +108,7 @@ def mix_sources(docs: DataFrame, members: Column, size: Column, quota, passes: i
     """``docs`` with ``rounds``: how often the mix takes each document (0 to ``passes``), whole each time.
 
     ``members`` is the array of sources a document belongs to, ``size`` its tokens; ``quota`` maps a source to its
-    wanted tokens, or is a function from the sizes of the membership patterns to such a map. Documents are summed by
+    wanted tokens, or is a function from the sizes of the membership patterns, 0 included, to such a map. Documents are summed by
     membership pattern; the flow over patterns and sources gives the tokens a pattern delivers. These are full passes
     over all its documents and a rest, for which documents are taken in a seeded order until the rest is reached;
     then, up to ``flips`` times, the one document is added or left out that brings the sum nearest to the rest.
@@ -123,12 +123,12 @@ def mix_sources(docs: DataFrame, members: Column, size: Column, quota, passes: i
     """
     h = F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit((1 << 62) - 1))
     work = docs.select(F.array_sort(F.array_distinct(members)).alias("_pattern"), F.coalesce(size, F.lit(0)).cast("bigint").alias("_size"), h.alias("_hash"))
-    work = work.where("_size > 0 and size(_pattern) > 0")
-    found = work.groupBy("_pattern").agg(F.sum("_size").alias("n")).limit(max_patterns + 1).collect()
+    found = work.where("size(_pattern) > 0").groupBy("_pattern").agg(F.sum(F.greatest("_size", F.lit(0))).alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    capacity = {tuple(r["_pattern"]): r["n"] for r in sorted(found, key=lambda r: str(r["_pattern"]))}
-    wanted = quota(capacity) if callable(quota) else quota
+    sizes = {tuple(r["_pattern"]): r["n"] for r in sorted(found, key=lambda r: str(r["_pattern"]))}
+    wanted = quota(sizes) if callable(quota) else quota
+    work, capacity = work.where("_size > 0 and size(_pattern) > 0"), {p: n for p, n in sizes.items() if n > 0}
     flow = route(capacity, wanted, passes)
     total = dict.fromkeys(capacity, 0.0)
     for (p, _), v in flow.items():

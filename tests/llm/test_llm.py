@@ -60,6 +60,15 @@ def test_mix_takes_near_the_target(spark):
     assert all(abs(total[s] - targets[s]) <= 0.05 * targets[s] for s in total)
 
 
+def test_source_without_words_keeps_its_place(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \n", "a")] + [(10 + i, "one two three four five", s) for i in range(400) for s in "bcd"]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["source"]: r for r in queries.mixed(df).groupBy("source").agg(F.max("_rq_source_size").alias("size"), F.max("_rq_target").alias("target"),
+                                                                          F.sum(F.col("_rq_size") * F.col("_rq_rounds")).alias("taken")).collect()}
+    assert {s: (r["size"], round(r["target"])) for s, r in got.items()} == {"a": (0, 0), "b": (2000, 3333), "c": (2000, 1667), "d": (2000, 4000)}  # weights 5, 2, 1, 5
+    assert got["a"]["taken"] == 0 and all(abs(got[s]["taken"] - got[s]["target"]) <= 5 for s in "bcd")
+
+
 def test_mix_of_odd_rows(spark, odd_docs):
     out = mixing.mix_sources(odd_docs, F.array("source"), F.length("text"), {"a": 300.0, "b": 10.0, None: 3.0, "none": 9.0})
     assert out.columns == [*odd_docs.columns, "rounds"] and out.count() == odd_docs.count()
