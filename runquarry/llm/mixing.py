@@ -39,16 +39,30 @@ def route(capacity: Mapping[tuple, float], quota: Mapping[str | None, float], pa
 
     A pattern can give its capacity ``passes`` times; the n-th pass costs n - 1 a token, so a token is repeated only
     where no unread one can fill a quota. Paths of least cost are filled one after the other (Dijkstra with
-    potentials, over patterns and sources only, so its size does not depend on the number of documents). Patterns
-    that share no source with others are independent and are solved apart.
+    potentials, over patterns and sources only, so its size does not depend on the number of documents). Every set of
+    patterns that sources connect is solved apart, a pattern that shares no source with others too.
     """
+    root: dict[str | None, str | None] = {s: s for p in capacity for s in p}
+
+    def top(s: str | None) -> str | None:
+        while root[s] != s:
+            root[s] = root[root[s]]
+            s = root[s]
+        return s
+
+    for p in capacity:
+        for s in p[1:]:
+            root[top(s)] = top(p[0])
+    apart: dict[str | None, list[tuple]] = {}
+    for p in capacity:
+        if p:
+            apart.setdefault(top(p[0]), []).append(p)
+    return {k: v for patterns in apart.values() for k, v in _route_connected(patterns, capacity, quota, passes).items()}
+
+
+def _route_connected(patterns: Sequence[tuple], capacity: Mapping[tuple, float], quota: Mapping[str | None, float], passes: int) -> dict[tuple[tuple, str | None], float]:
+    """:func:`route` of patterns that are connected by their sources."""
     flow: dict[tuple[tuple, str | None], float] = {}
-    lonely = {p for p in capacity if len(p) == 1}
-    shared = {s for p in capacity if p not in lonely for s in p}
-    for p in lonely:
-        if p[0] not in shared:
-            flow[p, p[0]] = min(quota.get(p[0], 0.0), passes * capacity[p])
-    patterns = [p for p in capacity if (p, p[0] if p else None) not in flow and p]
     members: dict[str | None, list[tuple]] = {}
     for p in patterns:
         for s in p:

@@ -49,6 +49,17 @@ def test_targets_and_flow():
     assert sum(v for (_, s), v in flow.items() if s == "a") == 25 and sum(v for (_, s), v in flow.items() if s == "b") == 5
 
 
+def test_disjoint_sources_take_the_flow(monkeypatch):
+    solved, solve = [], mixing._route_connected
+    monkeypatch.setattr(mixing, "_route_connected", lambda patterns, *rest: solved.append(sorted(map(str, patterns))) or solve(patterns, *rest))
+    capacity = {("a",): 10, ("b",): 7, (None,): 4, ("c", "d"): 5, ("d", "e"): 5, (): 3}
+    flow = mixing.route(capacity, {"a": 15.5, "b": 30, None: 0, "c": 4, "e": 9}, 2)
+    assert flow == {(("a",), "a"): 15.5, (("b",), "b"): 14.0, (("c", "d"), "c"): 4, (("d", "e"), "e"): 9}
+    assert sorted(solved) == [["('a',)"], ["('b',)"], ["('c', 'd')", "('d', 'e')"], ["(None,)"]]
+    many = {(f"s{i}",): i for i in range(20000)}
+    assert mixing.route(many, {f"s{i}": 1.5 * i for i in range(20000)}, 2) == {((f"s{i}",), f"s{i}"): 1.5 * i for i in range(1, 20000)}
+
+
 def test_mix_takes_near_the_target(spark):
     rows = queries.op1_mix_sources(spark, SF)
     docs = by(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
