@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runquarry.functions.scale import scratch_path
-from runquarry.llm import bpe, html, minhash, mixing, repeats, token_files, topk, toxicity, urls, vectors
+from runquarry.llm import bpe, html, minhash, mixing, rank_bpe, repeats, token_files, topk, toxicity, urls, vectors
 from runquarry.llm.common import read, word_count
 
 SOURCE_WEIGHTS, SOURCE_SHARE = (5, 2, 1), 1.5
@@ -92,7 +92,12 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"), length=200)
 
 
-_QUERIES = [op1_mix_sources, op2_embedding_neardup, op3_exact_topk, op4_bpe_roundtrip, op5_minhash_neardup, op6_url_filter, op7_token_files, op8_html_text, op9_toxicity, op10_repeated_passages]
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.encode_words(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+_QUERIES = [op1_mix_sources, op2_embedding_neardup, op3_exact_topk, op4_bpe_roundtrip, op5_minhash_neardup, op6_url_filter, op7_token_files, op8_html_text, op9_toxicity, op10_repeated_passages,
+            op11_rank_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
