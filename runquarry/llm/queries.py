@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runquarry.functions.scale import scratch_path
-from runquarry.llm import bpe, html, minhash, mixing, rank_bpe, repeats, token_files, topk, toxicity, urls, vectors
+from runquarry.llm import alignment, bpe, conversations, html, minhash, mixing, rank_bpe, repeats, token_files, topk, toxicity, urls, vectors
 from runquarry.llm.common import read, word_count
 
 SOURCE_WEIGHTS, SOURCE_SHARE = (5, 2, 1), 1.5
@@ -96,8 +96,18 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.encode_words(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(read(spark, sf_dir, "conversations"))
+    return conversations.repair_conversations(damaged, copies="copies")[0]
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                                      public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 _QUERIES = [op1_mix_sources, op2_embedding_neardup, op3_exact_topk, op4_bpe_roundtrip, op5_minhash_neardup, op6_url_filter, op7_token_files, op8_html_text, op9_toxicity, op10_repeated_passages,
-            op11_rank_bpe]
+            op11_rank_bpe, op12_conversation_repair, op13_tokenizer_alignment]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
