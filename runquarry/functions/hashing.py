@@ -12,12 +12,18 @@ _TWO_POW_48 = float(2**48)
 
 
 def _joined(*parts) -> Column:
-    cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.concat_ws(":", *[c.cast("string") for c in cols])
+    def escaped(text: Column) -> Column:
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+        return F.coalesce(text, F.lit("\\N"))
+
+    return F.concat_ws(":", *[escaped(p.cast("string")) if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
 def hash_key(*parts) -> Column:
-    """md5 of the parts joined by ``:`` (strings and numbers are literals, columns are columns)."""
+    """md5 of the parts joined by ``:`` (strings and numbers are literals, columns are columns).
+
+    Different parts give different texts: in a column ``:`` and a backslash are escaped by one, and NULL is ``\\N``.
+    """
     return F.md5(_joined(*parts))
 
 

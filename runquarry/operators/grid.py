@@ -7,7 +7,7 @@ from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from runquarry.functions.scale import number_rows
+from runquarry.functions.scale import number_rows, same_keys
 from runquarry.operators.runs import match_existing_runs
 
 # Longer value lists are joined by position instead of being written into the plan.
@@ -76,9 +76,9 @@ def grid_batches(grid: DataFrame, batch_size: int, start: int = 0, end: int | No
 
 
 def missing_entries(df: DataFrame, names: Sequence[str], required: DataFrame) -> DataFrame:
-    """Required combinations with no row in ``df``."""
+    """Required combinations with no row in ``df``; NULL is a value like any other."""
     present = df.select(*names).distinct()  # popular combinations shrink before the join
-    return required.select(*names).join(present, list(names), "left_anti")
+    return same_keys(required.select(*names), present, list(names), "left_anti")
 
 
 def common_combinations(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
@@ -89,12 +89,12 @@ def common_combinations(df: DataFrame, column: str, names: Sequence[str]) -> Dat
 
 
 def filter_combinations(df: DataFrame, names: Sequence[str], combinations: DataFrame) -> DataFrame:
-    """Rows whose combination is in the set."""
-    return df.join(combinations.select(*names).distinct(), list(names), "left_semi")
+    """Rows whose combination is in the set; NULL is a value like any other."""
+    return same_keys(df, combinations.select(*names), list(names), "left_semi")
 
 
 def pending_combinations(store: Mapping[str, DataFrame], grid: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Grid rows without a successful run of the same parameters (compared as text)."""
+    """Grid rows without a successful run of the same parameters, compared as they are logged (``functions/text.py``)."""
     numbered = grid if "position" in grid.columns else number_rows(grid, list(names), out="position")
     done = match_existing_runs(store, numbered, "position", names).select("position")
     return numbered.join(done, "position", "left_anti")

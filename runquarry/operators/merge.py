@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runquarry.functions.scale import bounded, number_rows, written
+from runquarry.functions.keyfilter import known_rows
+from runquarry.functions.scale import bounded, local_frame, number_rows, written
 from runquarry.schemas import DEFAULT_EXCLUDED, DELETED, PRIMARY_KEYS, STORE_SCHEMAS
 
 # Tables that point to an experiment / to a run.
@@ -45,15 +48,21 @@ def _under_new_ids(source: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def remap_experiment_fk(df: DataFrame, id_map: DataFrame) -> DataFrame:
-    """Replace ``experiment_id`` by the target's; an id without a match becomes NULL."""
+    """Replace ``experiment_id`` by the target's; an id without a match becomes NULL (``unknown_experiments`` names those)."""
     columns = df.columns
     mapped = df.join(bounded(id_map.select("experiment_id", "new_experiment_id")), "experiment_id", "left")
     return mapped.withColumn("experiment_id", F.col("new_experiment_id")).select(*columns)
 
 
+def unknown_experiments(df: DataFrame, id_map: DataFrame) -> DataFrame:
+    """(experiment_id, n_rows) of the ids that the map does not have; rows without an id are not among them."""
+    counted = df.where(F.col("experiment_id").isNotNull()).groupBy("experiment_id").agg(F.count("*").alias("n_rows"))
+    return counted.join(bounded(id_map.select("experiment_id")), "experiment_id", "left_anti")
+
+
 def merge_conflicts(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Source rows whose key the target already has."""
-    return source.join(target.select(*keys).distinct(), list(keys), "left_semi")
+    """Source rows whose key the target already has. The target is not shuffled for a source that is small beside it."""
+    return known_rows(source, target, keys)
 
 
 def _append(target: DataFrame, new: DataFrame) -> DataFrame:
@@ -70,7 +79,7 @@ def _unknown(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataF
     for key in keys:
         if key not in source.columns:
             raise ValueError(f"the table does not have a {key} column")
-    return source.join(target.select(*keys).distinct(), list(keys), "left_anti")
+    return known_rows(source, target, keys, known=False)
 
 
 def merge_stores(spark: SparkSession, target: Mapping[str, DataFrame],
@@ -82,43 +91,83 @@ def merge_stores(spark: SparkSession, target: Mapping[str, DataFrame],
 
     A source is a store or a function that loads one; a source that cannot be loaded is recorded and
     skipped. A table with a key the target already has is left out and recorded, unless
-    ``try_to_insert_new`` is set: then the rows of unknown runs are added. What a source adds is fixed by ``cut``
-    (a table written to the shared folder) before the next source is looked at, so every source is evaluated once, and a merged table is
+    ``try_to_insert_new`` is set: then the rows of unknown runs are added. Rows of an experiment that the source itself
+    does not have are left out and recorded. What a source adds is fixed by ``cut``
+    (a table written to the shared folder) before the next source is looked at, and a merged table is
     the target's rows and one fixed part per source.
     """
+    added, errors = merge_added(spark, target, sources, tables, exclude_tables, try_to_insert_new, lambda _, df: cut(df))
+    merged = dict(target)
+    for name, parts in added.items():
+        for part in parts:
+            merged[name] = _append(merged[name], part)
+    return merged, errors
+
+
+def merge_added(spark: SparkSession, target: Mapping[str, DataFrame], sources, tables: Iterable[str] | None, exclude_tables: Iterable[str] | None,
+                try_to_insert_new: bool, fix: Callable[[str, DataFrame], DataFrame]) -> tuple[dict[str, list[DataFrame]], DataFrame]:
+    """(new rows of each table, one part per source; errors) of ``merge_stores``; ``fix(table, rows)`` writes a part.
+
+    The tables of a source do not depend on each other once the experiments are mapped, so their jobs run side by side.
+    """
     skip = set(DEFAULT_EXCLUDED if exclude_tables is None else exclude_tables)
-    merged, errors = dict(target), []
-    order = [t for t in STORE_SCHEMAS if t in merged] + [t for t in merged if t not in STORE_SCHEMAS]
+    errors: list[tuple[str, str]] = []
+    order = [t for t in STORE_SCHEMAS if t in target] + [t for t in target if t not in STORE_SCHEMAS]
     order = [t for t in order if t not in skip and (tables is None or t in set(tables))]
+    merged = dict(target)
+    added: dict[str, list[DataFrame]] = {}
+
+    def new_rows(name: str, store, id_map: DataFrame, known: Mapping[str, DataFrame]) -> tuple[DataFrame | None, list[str]]:
+        """What one table of a source adds, and what is wrong with it."""
+        rows, wrong = store[name], []
+        if name in EXPERIMENT_CHILDREN:
+            lost = unknown_experiments(rows, id_map).orderBy("experiment_id").limit(11).collect()
+            if lost:
+                named = ", ".join(f"{r['experiment_id']} ({r['n_rows']} rows)" for r in lost[:10]) + (", ..." if len(lost) > 10 else "")
+                wrong.append(f"table {name}: rows of unknown experiments are left out: {named}")
+                rows = rows.join(bounded(id_map.select("experiment_id")), "experiment_id", "left_semi").unionByName(rows.where(F.col("experiment_id").isNull()))
+            rows = remap_experiment_fk(rows, id_map)
+        if try_to_insert_new and "run_uuid" in rows.columns:
+            return fix(name, _unknown(rows, known[name], ["run_uuid"])), wrong
+        keys = [k for k in PRIMARY_KEYS.get(name, []) if k in rows.columns and k in known[name].columns]
+        if keys and not merge_conflicts(rows, known[name], keys).isEmpty():
+            if try_to_insert_new:
+                raise ValueError(f"table {name} does not have a run_uuid column")
+            return None, [*wrong, f"table {name}: some keys already exist in the target"]
+        return fix(name, rows), wrong
+
     for url, source in sources.items():
         try:
             store = source() if callable(source) else source
             known, incoming = merged["experiments"], store["experiments"]
-            fresh = cut(allocate_experiment_ids(incoming, known))
-            id_map = cut(experiment_id_map(incoming, known).unionByName(fresh.drop("name")))
-            result = dict(merged)
-            for name in order:
-                if name not in store:
-                    continue
-                if name == "experiments":
-                    result[name] = _append(known, cut(_under_new_ids(incoming, fresh)))
-                    continue
-                rows = remap_experiment_fk(store[name], id_map) if name in EXPERIMENT_CHILDREN else store[name]
-                if try_to_insert_new and "run_uuid" in rows.columns:
-                    result[name] = _append(merged[name], cut(_unknown(rows, merged[name], ["run_uuid"])))
-                    continue
-                rows = cut(rows)
-                keys = [k for k in PRIMARY_KEYS.get(name, []) if k in rows.columns and k in merged[name].columns]
-                if keys and not merge_conflicts(rows, merged[name], keys).isEmpty():
-                    if try_to_insert_new:
-                        raise ValueError(f"table {name} does not have a run_uuid column")
-                    errors.append((url, f"table {name}: some keys already exist in the target"))
-                else:
-                    result[name] = _append(merged[name], rows)
-            merged = result
+            # one row per new or common experiment, read by every table that follows
+            fresh = _evaluated(allocate_experiment_ids(incoming, known))
+            id_map = _evaluated(experiment_id_map(incoming, known).unionByName(fresh.drop("name")))
+            names = [n for n in order if n in store and n != "experiments"]
+            parts: dict[str, DataFrame] = {}
+            if "experiments" in order:
+                parts["experiments"] = fix("experiments", _under_new_ids(incoming, fresh))
+            with ThreadPoolExecutor(4) as pool:
+                known_now = dict(merged)
+                jobs = {n: pool.submit(inheritable_thread_target(spark)(new_rows), n, store, id_map, known_now) for n in names}
+            found, wrong = {n: j.result() for n, j in jobs.items()}, []
+            for name, (part, said) in found.items():
+                wrong += [(url, text) for text in said]
+                if part is not None:
+                    parts[name] = part
+            for name, part in parts.items():
+                merged[name] = _append(merged[name], part)
+                added.setdefault(name, []).append(part)
+            errors += wrong
         except Exception as error:  # noqa: BLE001 - one bad source must not stop the others
             errors.append((url, f"{type(error).__name__}: {error}"))
-    return merged, spark.createDataFrame(errors, "db1_url string, error string")
+    return added, local_frame(spark, errors, "db1_url string, error string")
+
+
+def _evaluated(df: DataFrame) -> DataFrame:
+    """The rows, evaluated once: local if they are few, else as a written table."""
+    few = bounded(df)
+    return written(df) if few is df else few
 
 
 def gc_table(store: Mapping[str, DataFrame], table: str) -> DataFrame:

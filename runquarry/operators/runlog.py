@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runquarry.functions.text import column_text
 from runquarry.operators.nested import flatten_params
 
 # Names of the step results and of the run-level numbers that are logged.
@@ -85,9 +86,12 @@ def log_start_params(runs: DataFrame, documents: Sequence[str], constants: Mappi
     return out
 
 
-def run_hash(names: Sequence[str]) -> Column:
-    """First 10 hex digits of the sha256 of ``name_value`` pairs joined by ``_``."""
-    pairs = [F.concat(F.lit(f"{n}_"), F.coalesce(F.col(n).cast("string"), F.lit("None"))) for n in names]
+def run_hash(names: Sequence[str], df: DataFrame | None = None) -> Column:
+    """First 10 hex digits of the sha256 of ``name_value`` pairs joined by ``_``.
+
+    Values of ``df`` count as they are logged (a boolean or double needs it, as its text follows from the column's type).
+    """
+    pairs = [F.concat(F.lit(f"{n}_"), F.coalesce(F.col(n).cast("string"), F.lit("None")) if df is None else column_text(df, n)) for n in names]
     return F.substring(F.sha2(F.concat_ws("_", *pairs), 256), 1, 10)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from runquarry.functions.scale import MAX_DRIVER_VALUES, materialize, same_keys
+from runquarry.functions.text import NONE, column_text
 from runquarry.operators.nested import flat_leaves
-from runquarry.functions.scale import MAX_DRIVER_VALUES, materialize
 
 EAV_TABLES = ("params", "tags", "metrics", "latest_metrics")
 
@@ -129,16 +130,26 @@ def find_existing_run(store: Mapping[str, DataFrame], experiment_name: str, para
 def match_existing_runs(store: Mapping[str, DataFrame], wanted: DataFrame, id_col: str, names: Sequence[str]) -> DataFrame:
     """For many wanted combinations at once: (id_col, run_uuid) of the newest successful run with the same params.
 
-    ``wanted`` has one row per combination with a column per name; values are compared as text.
+    ``wanted`` has one row per combination with a column per name; doubles are compared as numbers, all else by the text
+    it is logged as (``True``, ``3``), and NULL equals a logged ``None``.
     """
     done = successful_runs(store).select("run_uuid", "start_time").join(pivot_keys(store["params"], names), "run_uuid")
     for name in names:
         done = done.where(F.col(name).isNotNull())
+    here = {n: (logged_number(F.col(n)), F.col(n).cast("double")) if isinstance(wanted.schema[n].dataType, (T.DoubleType, T.FloatType)) else
+            (F.col(n), column_text(wanted, n, none=None)) for n in names}
+    # NULL was logged as a text too
+    done = done.select("run_uuid", "start_time", *[F.when(F.col(n) != NONE, there).alias(n) for n, (there, _) in here.items()])
     # newest run per combination first, so popular combinations shrink to one row before they meet the wanted ones
     newest = done.groupBy(*names).agg(
         F.min_by("run_uuid", F.struct(F.col("start_time").isNull(), -F.unix_micros(F.col("start_time").cast("timestamp")), F.col("run_uuid"))).alias("run_uuid"))
-    text = wanted.select(id_col, *[F.col(n).cast("string").alias(n) for n in names])
-    return text.join(newest, list(names)).select(id_col, "run_uuid")
+    asked = wanted.select(id_col, *[F.when(wanted_value.cast("string") != NONE, wanted_value).alias(n) for n, (_, wanted_value) in here.items()])
+    return same_keys(asked, newest, list(names), "inner").select(id_col, "run_uuid")
+
+
+def logged_number(text: Column) -> Column:
+    """The double that was logged as ``text``; NULL for the text of an integer or of anything else."""
+    return F.when(text.rlike("[.a-zA-Z]"), text.try_cast("double"))
 
 
 def copy_cached_results(store: Mapping[str, DataFrame], hits: DataFrame) -> dict[str, DataFrame]:

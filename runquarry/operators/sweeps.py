@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import hash_int, hash_key, uniform
 from runquarry.functions.scale import explode_range, materialize, running_below, same_keys
+from runquarry.functions.text import column_text, double_text
 
 SEED_BOUND = 2**31 - 1
 
@@ -66,7 +67,7 @@ def grid_candidates(spec: DataFrame, keys: Sequence[str]) -> DataFrame:
     large grid is spread over the cluster without a join.
     """
     points = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1), lambda i: _grid_number(i, F.col("_n")))
-    as_text = F.transform(points, lambda x: F.when(F.col("kind") == "int", x.cast("bigint").cast("string")).otherwise(x.cast("string")))
+    as_text = F.transform(points, lambda x: F.when(F.col("kind") == "int", x.cast("bigint").cast("string")).otherwise(double_text(x)))
     options = F.when(F.col("kind") == "categorical", F.col("choices")).otherwise(as_text)
     per_param = spec.withColumn("_n", _grid_size()).select(*keys, F.struct(F.col("param"), options.alias("options")).alias("_p"))
     studies = per_param.groupBy(*keys).agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
@@ -107,14 +108,17 @@ def candidate_queue(defaults: DataFrame, sampled: DataFrame, n_trials: int, keys
     if sampler == "grid":
         return sampled.where(F.col("trial") < n_trials)
     counts = defaults.groupBy(*keys).agg(F.count("*").alias("_d"))
-    shifted = sampled.join(counts, list(keys), "left").withColumn("trial", F.col("trial") + F.coalesce(F.col("_d"), F.lit(0))).drop("_d")
+    shifted = same_keys(sampled, counts, keys).withColumn("trial", F.col("trial") + F.coalesce(F.col("_d"), F.lit(0))).drop("_d")
     return defaults.unionByName(shifted.select(*defaults.columns)).where(F.col("trial") < n_trials)
 
 
 def trial_seeds_keys(trials: DataFrame, combination: Sequence[str], hpo_seed: int = 0) -> DataFrame:
-    """Add ``random_seed`` (below 2^31-1) and ``trial_key`` (combination values joined by ``_``, then ``-<trial>``)."""
-    joined = F.concat_ws("_", *[F.col(c).cast("string") for c in combination])
-    return trials.withColumns({"random_seed": hash_int(SEED_BOUND, hpo_seed, *[F.col(c) for c in combination], F.col("trial")),
+    """Add ``random_seed`` (below 2^31-1) and ``trial_key`` (combination values joined by ``_``, then ``-<trial>``).
+
+    Values count as they are logged (``functions/text.py``): ``True``, ``0.0001``, ``None``.
+    """
+    joined = F.concat_ws("_", *[column_text(trials, c) for c in combination])
+    return trials.withColumns({"random_seed": hash_int(SEED_BOUND, hpo_seed, *[column_text(trials, c, none=None) for c in combination], F.col("trial")),
                                "trial_key": F.concat(joined, F.lit("-"), F.col("trial").cast("string"))})
 
 
@@ -308,12 +312,25 @@ def sweep_grouped_udf(df: DataFrame, combination: Sequence[str], summarise: Call
     up, so no task ever holds a whole combination. ``train`` gets the totals and the combination and returns
     metrics. An exception in either becomes a FAILED row, or is raised again with ``raise_on_error``.
 
-    Result: combination, status, exception, elapsed, metrics (a map).
+    Result: combination, status, exception, elapsed, metrics (a map). NULL is a value of a combination like any other, and
+    reaches ``train`` as None. For models that need all rows at once see ``fits.fit_combinations``.
     """
     combination, summary = list(combination), list(summary)
     fields = {f.name: f for f in df.schema.fields}
-    key_fields = [fields[c] for c in combination]
-    part_schema = T.StructType(key_fields + [T.StructField(s, T.DoubleType()) for s in summary] + [T.StructField("_failure", T.StringType())])
+    key_fields = [T.StructField(c, fields[c].dataType) for c in combination]
+    flagged = [c for c in combination if isinstance(fields[c].dataType, (T.FloatType, T.DoubleType))]  # pandas holds NULL as NaN
+    flag_fields = [T.StructField(f"_null_{c}", T.BooleanType()) for c in flagged]
+    part_schema = T.StructType(key_fields + [T.StructField(s, T.DoubleType()) for s in summary] + [T.StructField("_failure", T.StringType())] + flag_fields)
+
+    def frame(rows: list[list], schema: T.StructType) -> pd.DataFrame:
+        """Columns of plain objects: pandas would guess another type where a batch has nothing but NULL."""
+        columns = zip(*rows) if rows else [[] for _ in schema.fields]
+        return pd.DataFrame({f.name: pd.Series(list(c), dtype=object) for f, c in zip(schema.fields, columns)})
+
+    def key_values(values: tuple, nulls: tuple) -> list:
+        """A group's values without pandas' stand-ins for NULL."""
+        flags = dict(zip(flagged, nulls))
+        return [None if flags.get(c, c not in flags and pd.isna(v)) else v for c, v in zip(combination, values)]
 
     def failure(error: Exception) -> str:
         return traceback.format_exception_only(error)[-1].strip()
@@ -321,7 +338,8 @@ def sweep_grouped_udf(df: DataFrame, combination: Sequence[str], summarise: Call
     def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for values, part in batch.groupby(combination, dropna=False, sort=False):
+            for values, part in batch.groupby([*combination, *[f"_null_{c}" for c in flagged]], dropna=False, sort=False):
+                values, part = key_values(values[:len(combination)], values[len(combination):]), part.drop(columns=[f"_null_{c}" for c in flagged])
                 try:
                     sums, failed = summarise(part), None
                     sums = [float(sums[s]) for s in summary]
@@ -329,20 +347,22 @@ def sweep_grouped_udf(df: DataFrame, combination: Sequence[str], summarise: Call
                     if raise_on_error:
                         raise
                     sums, failed = [None] * len(summary), failure(error)
-                rows.append([*values, *sums, failed])
-            yield pd.DataFrame(rows, columns=[f.name for f in part_schema.fields])
+                rows.append([*values, *sums, failed, *[v is None for c, v in zip(combination, values) if c in flagged]])
+            yield frame(rows, part_schema)
 
     out_schema = T.StructType(key_fields + [T.StructField("status", T.StringType()), T.StructField("exception", T.StringType()),
                                             T.StructField("elapsed", T.DoubleType()),
-                                            T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()))])
+                                            T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()))] + flag_fields)
 
     def fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
                 start = time.perf_counter()
-                if record["_failure"] is not None:
-                    rows.append([*[record[c] for c in combination], "FAILED", record["_failure"], time.perf_counter() - start, {}])
+                flags = [record[f"_null_{c}"] for c in flagged]
+                record |= zip(combination, key_values([record[c] for c in combination], flags))
+                if not pd.isna(record["_failure"]):
+                    rows.append([*[record[c] for c in combination], "FAILED", record["_failure"], time.perf_counter() - start, {}, *flags])
                     continue
                 try:
                     metrics = train({s: record[s] for s in summary}, {c: record[c] for c in combination})
@@ -351,11 +371,20 @@ def sweep_grouped_udf(df: DataFrame, combination: Sequence[str], summarise: Call
                     if raise_on_error:
                         raise
                     result = ["FAILED", failure(error), {}]
-                rows.append([*[record[c] for c in combination], result[0], result[1], time.perf_counter() - start, result[2]])
-            yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
+                rows.append([*[record[c] for c in combination], result[0], result[1], time.perf_counter() - start, result[2], *flags])
+            yield frame(rows, out_schema)
+
+    def with_flags(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f"_null_{c}": F.col(c).isNull() for c in flagged}) if flagged else rows
+
+    def without_flags(rows: DataFrame) -> DataFrame:
+        """NaN comes back from pandas as NULL."""
+        nan = F.lit(float("nan"))
+        return rows.withColumns({c: F.when(F.col(c).isNull() & ~F.col(f"_null_{c}"), nan).otherwise(F.col(c)) for c in flagged}).drop(*[f.name for f in flag_fields]) if flagged else rows
 
-    sums = df.mapInPandas(partial_sums, part_schema).groupBy(*combination).agg(*[F.sum(s).alias(s) for s in summary], F.min("_failure").alias("_failure"))
-    return sums.mapInPandas(fit_rows, out_schema)
+    parts = without_flags(with_flags(df).mapInPandas(partial_sums, part_schema))
+    sums = parts.groupBy(*combination).agg(*[F.sum(s).alias(s) for s in summary], F.min("_failure").alias("_failure"))
+    return without_flags(with_flags(sums).mapInPandas(fit_rows, out_schema))
 
 
 def sweep_ml_estimator(df: DataFrame, estimator: Estimator, grid: Sequence[Mapping[str, object]],

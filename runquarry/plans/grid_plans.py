@@ -71,6 +71,31 @@ def _(t):
     return G.filter_combinations(rows, ["l_suppkey", "l_quantity"], combinations)
 
 
+# With NULL in the combination: what is common to both splits, its rows, and what of it is missing elsewhere.
+_NULLS = """n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, nullif(p_size, 7) AS size,
+    CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS brand FROM part),
+c AS (SELECT size, brand FROM (SELECT DISTINCT split, size, brand FROM n) GROUP BY ALL HAVING count(*) = 2)"""
+
+
+def _with_nulls(t):
+    return t.spark.sql("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, nullif(p_size, 7) AS size, "
+                       "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS brand FROM {part}", part=t["part"])
+
+
+@query("filter_combinations_nulls", f"WITH {_NULLS} SELECT n.* FROM n JOIN c ON n.size IS NOT DISTINCT FROM c.size AND n.brand IS NOT DISTINCT FROM c.brand")
+def _(t):
+    df = _with_nulls(t)
+    return G.filter_combinations(df, ["size", "brand"], G.common_combinations(df, "split", ["size", "brand"]))
+
+
+@query("missing_entries_nulls", f"""
+WITH {_NULLS} SELECT size, brand FROM (SELECT DISTINCT size, brand FROM n) g WHERE NOT EXISTS (
+    SELECT 1 FROM n WHERE split = 'test' AND n.size IS NOT DISTINCT FROM g.size AND n.brand IS NOT DISTINCT FROM g.brand)""")
+def _(t):
+    df = _with_nulls(t)
+    return G.missing_entries(df.where("split = 'test'"), ["size", "brand"], df.select("size", "brand").distinct())
+
+
 _NAMES = ["model_nickname", "dataset_name", "seed_dataset", "fold", "random_seed"]
 
 

@@ -4,9 +4,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from runquarry.functions.keyfilter import known_rows
+from runquarry.functions.scale import scratch_path
 from runquarry.operators import merge as M
 from runquarry.plans.registry import query
 from runquarry.schemas import PRIMARY_KEYS
+from runquarry.sources.versions import VersionedStore
 
 _IDS = """known AS (SELECT s.experiment_id, d.experiment_id AS new_experiment_id FROM src_experiments s JOIN experiments d ON s.name = d.name),
 fresh AS (SELECT s.experiment_id, cast(row_number() OVER (ORDER BY s.name) + (SELECT max(experiment_id) FROM experiments) AS int) AS new_experiment_id,
@@ -125,6 +128,65 @@ def _merge_all(t, try_to_insert_new):
     return reduce(DataFrame.unionByName, parts)
 
 
+# Every tenth run of the second store names an experiment that this store does not have.
+@query("merge_unknown_experiments", f"""
+WITH {_IDS}, new AS (SELECT * FROM src_runs WHERE run_uuid NOT IN (SELECT run_uuid FROM dst_runs)),
+lost AS (SELECT run_uuid FROM src_runs WHERE cast(replace(run_uuid, 'run-', '') AS bigint) % 10 = 7)
+SELECT run_uuid, experiment_id, cast(NULL AS string) AS error FROM dst_runs
+UNION ALL SELECT n.run_uuid, i.new_experiment_id, NULL FROM new n JOIN ids i ON i.experiment_id = n.experiment_id WHERE n.run_uuid NOT IN (SELECT run_uuid FROM lost)
+UNION ALL SELECT 'store-1', NULL, concat('table runs: rows of unknown experiments are left out: 900 (', cast(count(*) AS string), ' rows)') FROM lost HAVING count(*) > 0""")
+def _(t):
+    odd = F.expr("cast(replace(run_uuid, 'run-', '') AS bigint) % 10 = 7")
+    runs = t["src_runs"].withColumn("experiment_id", F.when(odd, 900).otherwise(F.col("experiment_id")))
+    merged, errors = M.merge_stores(t.spark, {"experiments": t["experiments"], "runs": t["dst_runs"]},
+                                    {"store-1": {"experiments": t["src_experiments"], "runs": runs}}, try_to_insert_new=True)
+    rows = merged["runs"].select("run_uuid", "experiment_id", F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(errors.select(F.col("db1_url").alias("run_uuid"), F.lit(None).cast("int").alias("experiment_id"), "error"))
+
+
+def _stores(t):
+    def of(runs):
+        return t["params"].join(runs.select("run_uuid"), "run_uuid", "left_semi")
+
+    return ({"experiments": t["experiments"], "runs": t["dst_runs"], "params": of(t["dst_runs"])},
+            {"experiments": t["src_experiments"], "runs": t["src_runs"], "params": of(t["src_runs"])})
+
+
+# Version 1 is the target, 2 the merge, 3 the clean-up; the merge is done twice and the clean-up too, without another version.
+@query("merge_stores_committed", f"""
+WITH {_IDS}, v2_params AS (SELECT * FROM params WHERE run_uuid IN (SELECT run_uuid FROM merged_runs)),
+gone AS (SELECT run_uuid FROM merged_runs WHERE lifecycle_stage = 'deleted')
+SELECT 1 AS version, 'experiments' AS table_name, count(*) AS n_rows FROM experiments
+UNION ALL SELECT 1, 'runs', count(*) FROM dst_runs UNION ALL SELECT 1, 'params', count(*) FROM params WHERE run_uuid IN (SELECT run_uuid FROM dst_runs)
+UNION ALL SELECT 2, 'experiments', count(*) FROM merged_experiments UNION ALL SELECT 2, 'runs', count(*) FROM merged_runs UNION ALL SELECT 2, 'params', count(*) FROM v2_params
+UNION ALL SELECT 3, 'experiments', count(*) FROM merged_experiments WHERE lifecycle_stage <> 'deleted'
+UNION ALL SELECT 3, 'runs', count(*) FROM merged_runs WHERE lifecycle_stage <> 'deleted'
+UNION ALL SELECT 3, 'params', count(*) FROM v2_params WHERE run_uuid NOT IN (SELECT run_uuid FROM gone)""")
+def _(t):
+    store, (target, source) = VersionedStore(t.spark, scratch_path(t.spark, "versions")), _stores(t)
+    store.append(target, writer="first load")
+    for _ in range(2):
+        store.merge({"store-1": source}, try_to_insert_new=True)
+    for _ in range(2):
+        store.collect_garbage()
+    return store.row_counts()
+
+
+@query("append_table_repeated", """
+SELECT run_uuid, experiment_id, status, lifecycle_stage FROM dst_runs UNION ALL SELECT run_uuid, experiment_id, status, lifecycle_stage FROM src_runs""")
+def _(t):
+    store = VersionedStore(t.spark, scratch_path(t.spark, "versions"))
+    for batch, rows in ((0, "dst_runs"), (0, "dst_runs"), (1, "src_runs"), (1, "src_runs"), (0, "dst_runs")):
+        store.append({"runs": t[rows]}, writer="nightly", batch=batch)
+    return store.read()["runs"]
+
+
+# Through a Bloom filter, as for a source with more keys than are broadcast themselves.
+@query("merge_conflicts_filtered", "SELECT * FROM src_runs WHERE run_uuid IN (SELECT run_uuid FROM dst_runs)")
+def _(t):
+    return known_rows(t["src_runs"], t["dst_runs"], PRIMARY_KEYS["runs"], max_local=0)
+
+
 _GONE = "WHERE run_uuid NOT IN (SELECT run_uuid FROM runs WHERE lifecycle_stage = 'deleted')"
 
 

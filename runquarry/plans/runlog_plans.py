@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runquarry.operators import runlog as L
+from runquarry.operators.grid import pending_combinations
 from runquarry.plans.registry import query
 
 _RUN = "concat('run-', cast(o_orderkey AS string))"
@@ -88,7 +89,45 @@ def _(t):
 SELECT {_RUN} AS run_uuid, substring(sha256(concat('o_orderpriority_', o_orderpriority, '_o_custkey_', cast(o_custkey AS string),
        '_o_orderkey_', cast(o_orderkey AS string))), 1, 10) AS hash FROM orders""")
 def _(t):
-    return t["orders"].select(_run(), L.run_hash(["o_orderpriority", "o_custkey", "o_orderkey"]).alias("hash"))
+    return t["orders"].select(_run(), L.run_hash(["o_orderpriority", "o_custkey", "o_orderkey"], t["orders"]).alias("hash"))
+
+
+# Parameters of every kind: doubles that Spark and Python lay out differently, booleans, NULL.
+TYPED = """SELECT concat('run-', cast(o_orderkey AS string)) AS run_uuid, o_orderstatus, o_custkey % 500 / 1.0E7 AS rate, o_totalprice * 1000 AS budget,
+       o_custkey % 2 = 0 AS warm, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 5 > 2 END AS early, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS model FROM {0}"""
+TYPED_NAMES = ["rate", "budget", "warm", "early", "model"]
+_TYPED_TEXT = {"rate": "cast(rate AS string)", "budget": "cast(budget AS string)", "warm": "CASE WHEN warm THEN 'True' ELSE 'False' END",
+               "early": "CASE WHEN early THEN 'True' WHEN NOT early THEN 'False' ELSE 'None' END", "model": "coalesce(model, 'None')"}
+
+
+def typed(t):
+    return t.spark.sql(TYPED.format("{orders}"), orders=t["orders"])
+
+
+@query("run_hash_typed", f"""
+WITH typed AS ({TYPED.format("orders")}) SELECT run_uuid, substring(sha256(concat({", '_', ".join(f"'{n}_', {_TYPED_TEXT[n]}" for n in TYPED_NAMES)})), 1, 10) AS hash FROM typed""")
+def _(t):
+    df = typed(t)
+    return df.select("run_uuid", L.run_hash(TYPED_NAMES, df).alias("hash"))
+
+
+@query("log_start_params_typed", f"WITH typed AS ({TYPED.format('orders')}) " + " UNION ALL ".join(f"SELECT run_uuid, '{n}' AS key, {_TYPED_TEXT[n]} AS value FROM typed" for n in TYPED_NAMES))
+def _(t):
+    return L.log_start_params(_typed_documents(t), ["combination"])
+
+
+def _typed_documents(t):
+    return typed(t).select("run_uuid", F.to_json(F.struct(*TYPED_NAMES), {"ignoreNullFields": "false"}).alias("combination"))
+
+
+# What the runs of all orders have logged, looked up by the values themselves: only those without a finished run are pending.
+@query("pending_combinations_typed", f"""
+WITH typed AS ({TYPED.format("orders")}) SELECT DISTINCT rate, warm, early, model FROM typed w WHERE NOT EXISTS (SELECT 1 FROM typed d WHERE d.o_orderstatus = 'F'
+  AND d.rate = w.rate AND d.warm = w.warm AND d.early IS NOT DISTINCT FROM w.early AND d.model IS NOT DISTINCT FROM w.model)""")
+def _(t):
+    names = ["rate", "warm", "early", "model"]
+    store = t.store.replace(params=L.log_start_params(_typed_documents(t), ["combination"]))
+    return pending_combinations(store, typed(t).select(*names).distinct(), names).select(*names)
 
 
 @query("last_step_finished", """

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from runquarry.operators import sweeps as W
+from runquarry.operators.fits import fit_combinations
 from runquarry.plans.registry import query
+from runquarry.plans.runlog_plans import TYPED, typed
 
 
 def _round(df, digits):
@@ -104,6 +106,18 @@ def _(t):
     return _round(W.candidate_queue(first.unionByName(second), sampled, 20, ["study"]), 9)
 
 
+# The studies of every ninth supplier are NULL: they are one study.
+@query("candidate_queue_null_study", """
+WITH d AS (SELECT nullif(s_suppkey % 9, 0) AS study FROM supplier GROUP BY ALL),
+all_trials AS (SELECT study, 0 AS trial, 'default' AS origin FROM d UNION ALL SELECT study, 1 + i, 'sampled' FROM d, (SELECT unnest(range(20)) AS i))
+SELECT study, trial, origin FROM all_trials WHERE trial < 20""")
+def _(t):
+    studies = t["supplier"].select(F.expr("nullif(s_suppkey % 9, 0)").alias("study")).distinct()
+    defaults = studies.select("study", F.lit(0).cast("bigint").alias("trial"), F.lit("default").alias("origin"))
+    sampled = studies.select("study", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))).alias("trial"), F.lit("sampled").alias("origin"))
+    return W.candidate_queue(defaults, sampled, 20, ["study"])
+
+
 @query("trial_seeds_keys", """
 SELECT o_orderpriority, o_custkey, o_orderkey AS trial,
        cast(cast('0x' || substr(md5(concat('3:', o_orderpriority, ':', cast(o_custkey AS string), ':', cast(o_orderkey AS string))), 1, 12) AS ubigint)
@@ -114,6 +128,17 @@ def _(t):
     return W.trial_seeds_keys(trials, ["o_orderpriority", "o_custkey"], hpo_seed=3)
 
 
+@query("trial_seeds_keys_typed", f"""
+WITH typed AS ({TYPED.format("orders")}), texts AS (SELECT run_uuid, cast(rate AS string) AS rate, CASE WHEN warm THEN 'True' ELSE 'False' END AS warm,
+    CASE WHEN early THEN 'True' WHEN NOT early THEN 'False' END AS early, cast(replace(run_uuid, 'run-', '') AS bigint) AS trial FROM typed)
+SELECT trial, cast(cast('0x' || substr(md5(concat('3:', rate, ':', warm, ':', coalesce(early, '\\N'), ':', cast(trial AS string))), 1, 12) AS ubigint)
+            % 2147483647 AS bigint) AS random_seed,
+       concat(rate, '_', warm, '_', coalesce(early, 'None'), '-', cast(trial AS string)) AS trial_key FROM texts""")
+def _(t):
+    trials = typed(t).select("rate", "warm", "early", F.expr("cast(replace(run_uuid, 'run-', '') AS bigint)").alias("trial"))
+    return W.trial_seeds_keys(trials, ["rate", "warm", "early"], hpo_seed=3).select("trial", "random_seed", "trial_key")
+
+
 def _trials(t):
     """Failed orders lack the metric, pending ones have no result."""
     result = (F.when(F.col("o_orderstatus") == "F", F.create_map(F.lit("rmse"), F.col("o_totalprice")))
@@ -277,6 +302,57 @@ def _(t):
                       F.round(F.try_element_at(m, F.lit("slope")), 4).alias("slope"))
 
 
+@query("sweep_grouped_udf_nulls", """
+SELECT nullif(l_returnflag, 'A') AS flag, CASE WHEN l_linenumber > 2 THEN l_linenumber / 2 END AS half, 'FINISHED' AS status,
+       cast(count(*) AS double) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY ALL""")
+def _(t):
+    d = t["lineitem"].select(F.expr("nullif(l_returnflag, 'A')").alias("flag"), F.when(F.col("l_linenumber") > 2, F.col("l_linenumber") / 2).alias("half"),
+                             "l_quantity", "l_extendedprice")
+
+    def fit(sums, combination):
+        assert combination["half"] is None or combination["half"] > 1
+        return _least_squares(sums, {"l_returnflag": combination["flag"] and "N"})
+
+    out = W.sweep_grouped_udf(d, ["flag", "half"], _sums, ["n", "x", "y", "xx", "xy"], fit)
+    return out.select("flag", "half", "status", F.col("metrics")["n"].alias("n"), F.round(F.col("metrics")["slope"], 4).alias("slope"))
+
+
+def _stump(rows, combination):
+    """The best single split of a regression tree: no sum over rows can give it."""
+    if combination["l_returnflag"] == "R" and combination["l_suppkey"] % 2:
+        raise ValueError("no stump for odd R")
+    x, y = rows["l_quantity"].to_numpy(), (rows["l_extendedprice"] * 100).round().to_numpy()
+    order = x.argsort(kind="stable")
+    x, below = x[order], y[order].cumsum()
+    at = (x[1:] != x[:-1]).nonzero()[0]
+    n, left, total = len(x), below[at], below[-1]
+    gain = left * left / (at + 1) + (total - left) * (total - left) / (n - at - 1)
+    best = gain.argmax()
+    return {"n": n, "threshold": x[at[best]], "gain": gain[best]}
+
+
+# The limit of rows is low, so that some combinations are too large for a task.
+@query("sweep_grouped_fit", """
+WITH d AS (SELECT l_suppkey, CASE WHEN l_linenumber <> 4 THEN l_returnflag END AS l_returnflag, l_quantity AS x, round(l_extendedprice * 100) AS y FROM lineitem),
+g AS (SELECT l_suppkey, l_returnflag, count(*) AS n, sum(y) AS total FROM d GROUP BY ALL),
+v AS (SELECT l_suppkey, l_returnflag, x, count(*) AS c, sum(y) AS s FROM d GROUP BY ALL),
+w AS (SELECT l_suppkey, l_returnflag, x, sum(c) OVER p AS nl, sum(s) OVER p AS sl FROM v WINDOW p AS (PARTITION BY l_suppkey, l_returnflag ORDER BY x)),
+r AS (SELECT w.l_suppkey, w.l_returnflag, x, sl * sl / nl + (total - sl) * (total - sl) / (n - nl) AS gain
+      FROM w JOIN g ON g.l_suppkey = w.l_suppkey AND g.l_returnflag IS NOT DISTINCT FROM w.l_returnflag WHERE nl < n),
+b AS (SELECT l_suppkey, l_returnflag, x, gain FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY gain DESC, x) AS k FROM r) WHERE k = 1),
+o AS (SELECT g.l_suppkey, g.l_returnflag, n, coalesce(g.l_returnflag, '') = 'R' AND g.l_suppkey % 2 = 1 AS odd, n > 260 AS large, x, gain
+      FROM g JOIN b ON g.l_suppkey = b.l_suppkey AND g.l_returnflag IS NOT DISTINCT FROM b.l_returnflag)
+SELECT l_suppkey, l_returnflag, n AS n_rows, CASE WHEN large OR odd THEN 'FAILED' ELSE 'FINISHED' END AS status,
+       CASE WHEN large THEN 'TooLarge' WHEN odd THEN 'ValueError' END AS error, CASE WHEN NOT large AND NOT odd THEN x END AS threshold,
+       CASE WHEN NOT large AND NOT odd THEN round(gain / 1.0E6, 3) END AS gain FROM o""")
+def _(t):
+    d = t["lineitem"].select("l_suppkey", F.when(F.col("l_linenumber") != 4, F.col("l_returnflag")).alias("l_returnflag"), "l_quantity", "l_extendedprice")
+    out = fit_combinations(d, ["l_suppkey", "l_returnflag"], _stump, timeout=60, max_rows=260)
+    m = F.col("metrics")
+    return out.select("l_suppkey", "l_returnflag", "n_rows", "status", F.substring_index("exception", ":", 1).alias("error"), m["threshold"].alias("threshold"),
+                      F.round(m["gain"] / 1.0e6, 3).alias("gain"))
+
+
 # Ridge regression in closed form: the estimator scales features and label to deviation 1 and divides the penalty by the label's.
 @query("sweep_ml_estimator", """
 WITH d AS (SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem),
