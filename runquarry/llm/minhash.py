@@ -134,7 +134,7 @@ def block_edges(ids: tuple[np.ndarray, np.ndarray], sets: tuple[list[np.ndarray]
 
 
 def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, rows: int = 3,
-                         star_rounds: int = 1, block_shingles: int = 100_000, block_bytes: int = 1_000_000) -> DataFrame:
+                         star_rounds: int = 1, block_shingles: int = 100_000, block_bytes: int = 1_000_000, unique: bool = False) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row: groups of texts linked by Jaccard similarity of shingle sets.
 
     Words are separated by white space, A-Z are lower-cased; whole texts count. Texts with the same set are first taken
@@ -152,7 +152,8 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Null text or text without words: 0 shingles, linked with nothing. Null keys: counted, linked with nothing, component
     null, kept. Rows with the same key share a component only if their sets do. component_id is the smallest key
-    of the group; an empty table gives no rows.
+    of the group; an empty table gives no rows. ``unique``: keys are known to be distinct, so full sets need no shuffle
+    that takes copies out.
     """
     m = collections_for(percent / 100, rows)
     kind = pa.list_(pa.int64())
@@ -181,13 +182,14 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
     reps = signed.where("n > 0 and id is not null").groupBy("g", "d", "n").agg(F.min("id").alias("rep"), F.first("c").alias("c"))
     reps = fixed(reps, "sets")
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("c")[i], F.col("c")[j]) for t, (i, j) in enumerate(combinations(range(m), 2))])
-    tables = reps.select("g", "n", F.explode(keys).alias("k"))
-    shared = tables.groupBy("k").agg(F.count("*").alias("size"), F.min("g").alias("hub")).where("size > 1").drop("size")
-    buckets = fixed(tables.join(shared, "k"), "buckets")  # (k, g, n, hub) of keys that several sets have
+    tables = reps.select("g", F.explode(keys).alias("k"))
+    shared = tables.groupBy("k").agg(F.min("g").alias("hub"), F.max("g").alias("last")).where("hub <> last").drop("last")
+    # (k, g, n, hub) of keys that several sets have; a set's size joins the few rows that are left
+    buckets = fixed(tables.join(shared, "k").join(reps.select("g", "n"), "g").select("k", "g", "n", "hub"), "buckets")
 
     wanted = buckets.select("g").distinct().join(reps.select("g", "rep"), "g").select(F.col("rep").alias("id")).distinct()
     full = rows_in.where("id is not null").join(wanted, "id", "left_semi").mapInArrow(sets, "g bigint, s array<bigint>")
-    full = fixed(full.groupBy("g").agg(F.first("s").alias("s")), "full-sets")
+    full = fixed(full if unique else full.groupBy("g").agg(F.first("s").alias("s")), "full-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,19 +90,12 @@ def unpack(data: bytes, offsets: list[int], n: int) -> np.ndarray:
     return out[:n]
 
 
-class _Numbers(dict):
-    """Numbers parts of texts in the order in which they are first met."""
-
-    def __missing__(self, part: str) -> int:
-        self[part] = number = len(self)
-        return number
-
-
-def encoder(path: str, most: int = 1_500_000):
+def encoder(path: str, most: int = 200_000_000, longest: int = 100):
     """A function from texts to (all ids, ids per text), by the tokenizers library.
 
-    Special tokens are not added. Equal parts of texts (``parts_of``) are encoded once and kept, up to about ``most`` of
-    them; the ids of a text are gathered from theirs. A text that names an added token is a part as a whole.
+    Special tokens are not added. Equal parts of texts (``parts_of``) of up to ``longest`` characters are encoded once and their
+    ids kept as bytes, which the ids of a text are joined from; beyond ``most`` bytes the table is emptied. A text that
+    names an added token is a part as a whole.
     """
     from tokenizers import Tokenizer
 
@@ -111,10 +103,11 @@ def encoder(path: str, most: int = 1_500_000):
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     named = re.compile("|".join(map(re.escape, added))) if added else None
     line = tokenizer.encode("\n", add_special_tokens=False).ids
-    numbers, ids, ends = _Numbers(), np.empty(1 << 20, np.uint32), np.zeros(1 << 20, np.int64)
+    known: dict[str, bytes] = {"": b""}
+    held = 0
 
     def each(parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def fresh(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of new parts. Plain ones are joined to one text of lines: a line break between them is
@@ -128,34 +121,28 @@ def encoder(path: str, most: int = 1_500_000):
         several = each(parts)
         return np.concatenate(several), np.array([len(x) for x in several])
 
-    def room(array: np.ndarray, size: int) -> np.ndarray:
-        return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array)), array.dtype)])
-
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal ids, ends
-        if len(numbers) > most:
-            numbers.clear()
-        if not numbers:
-            numbers[""] = 0  # no ids: ends[0] is 0
-        old = len(numbers)
-        cut = [list(map(numbers.__getitem__, [t] if named and named.search(t) else parts_of(t))) for t in texts]
-        new = list(islice(numbers, old, None))
-        ends = room(ends, len(numbers))
+        nonlocal held
+        if held > most:
+            known.clear()
+            known[""], held = b"", 0
+        cut = [[t] if named and named.search(t) else parts_of(t) for t in texts]
+        raw = [list(map(known.get, parts)) for parts in cut]
+        new = list(dict.fromkeys(p for parts, found in zip(cut, raw) if None in found for p, x in zip(parts, found) if x is None))
+        now: dict[str, bytes] = {}
         for i in range(0, len(new), 2000):
             some = new[i:i + 2000]
-            found, lengths = fresh(some)
-            begin = ends[old + i - 1]
-            ids = room(ids, int(begin) + len(found))
-            ids[begin:begin + len(found)] = found
-            ends[old + i:old + i + len(some)] = begin + np.cumsum(lengths)
-        flat = np.fromiter(chain.from_iterable(cut), dtype=np.int64)
-        begins = np.where(flat > 0, ends[flat - 1], 0)
-        sizes = ends[flat] - begins
-        upto = np.cumsum(sizes)
-        total = int(upto[-1]) if len(upto) else 0
-        out = ids[np.arange(total) + np.repeat(begins - (upto - sizes), sizes)]
-        text_ends = np.concatenate([[0], upto])[np.cumsum([len(c) for c in cut])] if cut else np.empty(0, np.int64)
-        return out, np.diff(np.concatenate([[0], text_ends]))
+            ids, lengths = fresh(some)
+            data, ends = ids.tobytes(), (4 * np.cumsum(lengths)).tolist()
+            now.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends))))
+        for k, (parts, found) in enumerate(zip(cut, raw)):
+            if None in found:
+                raw[k] = [now[p] if x is None else x for p, x in zip(parts, found)]
+        kept = {p: x for p, x in now.items() if len(p) <= longest}
+        known.update(kept)
+        held += sum(200 + 2 * len(p) + len(x) for p, x in kept.items())  # with what Python adds to a string, a bytes object and an entry
+        joined = [b"".join(found) for found in raw]
+        return np.frombuffer(b"".join(joined), "<u4"), np.array([len(x) // 4 for x in joined], dtype=np.int64)
 
     return encode
 
