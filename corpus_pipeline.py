@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the smallest doc_id stays, null last. Texts without words link with nothing; of these, one of each doc_id and text stays.
     """
     rows = fixed(docs.withColumn("_rq_row", F.monotonically_increasing_id()), "rows")
-    judged = minhash.near_duplicate_texts(rows, key="_rq_row", words=5, percent=80)
+    judged = minhash.near_duplicate_texts(rows, key="_rq_row", words=5, percent=80, unique=True)
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_rq")))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.xxhash64(rest).alias("d"), F.col("_rq_row").alias("row"))
     wordless = F.col("text").isNull() | ~F.col("text").rlike(WORD)
