@@ -66,20 +66,21 @@ def words_for(n_keys: int, bits_per_key: int = 24) -> int:
 def possible_hits(source: DataFrame, target: DataFrame, keys: Sequence[str], max_local: int = MAX_BROADCAST_ROWS, max_words: int = MAX_WORDS) -> DataFrame:
     """Keys of ``target`` that may occur in ``source``: all that do, and few others.
 
-    Up to ``max_local`` source keys are broadcast themselves. More are broadcast as a Bloom filter, as long as one of
+    Up to about ``max_local`` source keys are broadcast themselves. More are broadcast as a Bloom filter, as long as one of
     ``max_words`` words holds them; beyond that the target is of the source's own size and a shuffle of both is due. NULL keys hit
     nothing in the joins that this serves.
     """
     keys = list(keys)
-    few = source.select(*keys).distinct().limit(max_local + 1).toArrow()
-    there = target.select(*keys)
-    if few.num_rows <= max_local:
-        schema = source.select(*keys).schema
-        return there.join(F.broadcast(source.sparkSession.createDataFrame(few, schema=schema)), keys, "left_semi")
-    words = words_for(source.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0])
-    if words > max_words:
-        return there
-    return KeyFilter.of(source, keys, words).maybe(there)
+    there, asked = target.select(*keys), source.select(*keys)
+    if [f.dataType for f in there.schema] != [f.dataType for f in asked.schema]:
+        return there  # the join compares these after a cast, hashes would not
+    n = asked.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    if n <= max_local:
+        few = asked.distinct().limit(2 * max_local + 1).toArrow()  # the count is an estimate, the bound is not
+        if few.num_rows <= 2 * max_local:
+            return there.join(F.broadcast(source.sparkSession.createDataFrame(few, schema=asked.schema)), keys, "left_semi")
+    words = words_for(n)
+    return there if words > max_words else KeyFilter.of(source, keys, words).maybe(there)
 
 
 def known_rows(source: DataFrame, target: DataFrame, keys: Sequence[str], known: bool = True, **limits: int) -> DataFrame:

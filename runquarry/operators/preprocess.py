@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, Transformer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runquarry.functions.scale import MAX_DRIVER_VALUES, bounded, local_frame, materialize, null_if_nan, number_rows
+from runquarry.functions.scale import MAX_DRIVER_VALUES, bounded, local_frame, materialize, null_if_nan, number_rows, running_below
 
 # Type names and the Spark types they stand for.
 TYPE_NAMES: dict[str, str] = {
@@ -46,54 +46,56 @@ def _identity(features: Sequence[str]) -> Fitted:
 
 # ---- exact quantiles
 
-def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], accuracy: int = 10_000, rounds: int = 64) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of numeric columns, found the same way at every size.
+def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], accuracy: int = 10_000, rounds: int = 8) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of numeric columns: two scans of ``df``, found the same way at every size.
 
-    Approximate quantiles around each wanted rank serve as edges; the rows below and up to every edge are counted. An
-    edge whose rows span the rank is its value, otherwise the rank lies between two edges and the next round looks
-    only there. Edges are values of the column, so a round leaves a few ``1 / accuracy`` of the rows whatever the values
-    are, infinities included: three rounds serve a hundred million rows. NULL and NaN are left out.
+    The first scan gives, for all columns at once, approximate quantiles a little below and above each wanted place. The
+    second counts the rows below, between and above these edges, and the distinct values between them, a few
+    ``1 / accuracy`` of the rows, which are fixed and hold the exact value. Where the counts show that a place is outside its
+    edges, a further scan looks between the next ones. Infinities are values; NULL and NaN are left out.
     """
     if not requests:
         return {}
     values, step = {c: null_if_nan(c) for c in requests}, 2.0 / accuracy
 
-    def around(v: Column, places: Sequence[float]) -> Column:
-        marks = {min(1.0, max(0.0, p + d)) for p in places for d in (-step, 0.0, step)}
-        return F.percentile_approx(v, sorted(marks), accuracy)
+    def edges(v: Column, places: Sequence[float]) -> Column:
+        return F.percentile_approx(v, [min(1.0, max(0.0, p + d)) for p in places for d in (-step, step)], accuracy)
 
     first = df.agg(*[x.alias(f"{p}{i}") for i, (c, qs) in enumerate(requests.items())
-                     for p, x in (("n", F.count(values[c])), ("e", around(values[c], qs)))]).first()
+                     for p, x in (("n", F.count(values[c])), ("e", edges(values[c], qs)))]).first()
     sizes = {c: first[f"n{i}"] for i, c in enumerate(requests)}
-    edges = {c: first[f"e{i}"] for i, c in enumerate(requests) if sizes[c]}
     wanted = {(c, q): q * (sizes[c] - 1) for c, qs in requests.items() for q in qs if sizes[c]}
     open_ranks = {(c, rank) for (c, _), place in wanted.items() for rank in (math.floor(place), math.ceil(place))}
+    between = {c: [(None if q <= step else first[f"e{i}"][2 * k], None if q >= 1 - step else first[f"e{i}"][2 * k + 1]) for k, q in enumerate(qs)]
+               for i, (c, qs) in enumerate(requests.items()) if sizes[c] and qs}
     found: dict[tuple[str, int], float] = {}
-    counted: dict[str, dict[float, tuple[int, int]]] = {c: {} for c in requests}
     for _ in range(rounds):
-        for c, new in _rows_around(df, values, edges).items():
-            counted[c] |= new
-        between: dict[tuple, list[int]] = {}
-        for c, rank in sorted(open_ranks):
-            hit = [e for e, (below, upto) in counted[c].items() if below <= rank < upto]
-            if hit:
-                found[c, rank] = hit[0]
-            else:
-                lo = max((e for e, (_, upto) in counted[c].items() if upto <= rank), default=None)
-                hi = min((e for e, (below, _) in counted[c].items() if below > rank), default=None)
-                between.setdefault((c, lo, hi), []).append(rank)
-        open_ranks -= found.keys()
         if not open_ranks:
             break
-        asked = []
-        for i, ((c, lo, hi), ranks) in enumerate(between.items()):
-            start, end = 0 if lo is None else counted[c][lo][1], sizes[c] if hi is None else counted[c][hi][0]
-            inside = (F.lit(True) if lo is None else values[c] > lo) & (F.lit(True) if hi is None else values[c] < hi)
-            asked.append(around(F.when(inside, values[c]), [(rank - start + 0.5) / (end - start) for rank in ranks]).alias(f"e{i}"))
-        row, edges = df.agg(*asked).first(), {}
-        for i, (c, _, _) in enumerate(between):
-            edges.setdefault(c, []).extend(row[f"e{i}"])
-    else:
+        between = {c: _disjoint(some) for c, some in between.items()}
+        counts = _values_between(df, values, between)
+        totals = {(r["i"], r["code"]): r["n"] for r in counts.groupBy("i", "code").agg(F.sum("n").alias("n")).collect()}
+        asked, outside = [], {}
+        for i, (c, some) in enumerate(between.items()):
+            before = 0
+            for code in range(2 * len(some) + 1):
+                n = totals.get((i, code), 0)
+                here = sorted(rank for name, rank in open_ranks if name == c and before <= rank < before + n)
+                if code % 2:
+                    asked += [(i, code, rank - before, rank) for rank in here]
+                elif here:
+                    k = code // 2
+                    outside.setdefault(c, []).append((some[k - 1][1] if k else None, some[k][0] if k < len(some) else None))
+                before += n
+        if asked:
+            ranked = running_below(counts.where("v IS NOT NULL"), ["i", "code"], "v", ["n"])
+            places = local_frame(df.sparkSession, asked, "i int, code int, at bigint, rank bigint")
+            hits = ranked.join(F.broadcast(places), ["i", "code"]).where((F.col("below_n") <= F.col("at")) & (F.col("at") < F.col("below_n") + F.col("n")))
+            names = list(between)
+            found |= {(names[r["i"]], r["rank"]): r["v"] for r in hits.select("i", "rank", "v").collect()}
+        open_ranks -= found.keys()
+        between = outside
+    if open_ranks:
         raise RuntimeError("the rows changed while their quantiles were looked for")
 
     def value(c: str, q: float) -> float | None:
@@ -107,24 +109,32 @@ def exact_quantiles(df: DataFrame, requests: dict[str, list[float]], accuracy: i
     return {c: [value(c, q) for q in qs] for c, qs in requests.items()}
 
 
-def _rows_around(df: DataFrame, values: dict[str, Column], edges: dict[str, Sequence[float]]) -> dict[str, dict[float, tuple[int, int]]]:
-    """column -> edge -> (rows below it, rows up to it); one pass, counted before the shuffle."""
-    edges = {c: sorted(set(e)) for c, e in edges.items()}
-    places = []
-    for i, (c, es) in enumerate(edges.items()):
-        passed = sum((((values[c] >= e).cast("int") + (values[c] > e).cast("int")) for e in es), F.lit(0))
-        places.append(F.when(values[c].isNotNull(), F.struct(F.lit(i).alias("i"), passed.alias("passed"))))
-    if not places:
-        return {}
-    rows = (df.select(F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("h")).groupBy("h.i", "h.passed")
-            .agg(F.count("*").alias("n")).collect())
-    out: dict[str, dict[float, tuple[int, int]]] = {}
-    for i, (c, es) in enumerate(edges.items()):
-        mine = [(r["passed"], r["n"]) for r in rows if r["i"] == i]
-        out[c] = {e: (sum(n for k, n in mine if k <= 2 * j), sum(n for k, n in mine if k <= 2 * j + 1)) for j, e in enumerate(es)}
+def _disjoint(some: Sequence[tuple[float | None, float | None]]) -> list[tuple[float | None, float | None]]:
+    """Closed intervals in order, joined where they meet; None is open towards that side."""
+    out: list[tuple[float | None, float | None]] = []
+    for lo, hi in sorted(some, key=lambda x: (x[0] is not None, x[0] or 0.0)):
+        if out and (out[-1][1] is None or lo is None or lo <= out[-1][1]):
+            last = out[-1][1]
+            out[-1] = (out[-1][0], None if last is None or hi is None else max(last, hi))
+        else:
+            out.append((lo, hi))
     return out
 
 
+def _values_between(df: DataFrame, values: dict[str, Column], between: dict[str, Sequence[tuple[float | None, float | None]]]) -> DataFrame:
+    """(i, code, v, n), fixed, from one scan: rows of column i within its k-th interval under code 2k + 1, by value; the
+    rows below it and above the one before under code 2k, without their values."""
+    items = []
+    for i, (c, some) in enumerate(between.items()):
+        code = F.lit(2 * len(some))
+        for k, (lo, hi) in reversed(list(enumerate(some))):
+            inside = F.lit(True) if hi is None else values[c] <= hi
+            code = F.when(F.lit(False) if lo is None else values[c] < lo, 2 * k).when(inside, 2 * k + 1).otherwise(code)
+        items.append(F.when(values[c].isNotNull(), F.struct(F.lit(i).alias("i"), code.alias("code"), F.when(code % 2 == 1, values[c]).alias("v"))))
+    rows = df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("h")).select("h.*")
+    return materialize(rows.groupBy("i", "code", "v").agg(F.count("*").alias("n")))
+
+
 # ---- categories
 
 def category_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -7,18 +7,22 @@ A search space is a DataFrame with one row per (study, param): ``param, kind`` (
 from __future__ import annotations
 
 import math
+import threading
 import time
 import traceback
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from runquarry.functions.hashing import hash_int, hash_key, uniform
-from runquarry.functions.scale import explode_range, materialize, running_below, same_keys
+from runquarry.functions.scale import bounded, explode_range, materialize, running_below, same_keys
 from runquarry.functions.text import column_text, double_text
 
 SEED_BOUND = 2**31 - 1
@@ -234,23 +238,39 @@ def halving_survivors(log: DataFrame, keys: Sequence[str], direction: str = "max
     last = [F.max(F.when(F.col("step") <= at, F.struct("step", "value")))["value"].alias(f"_v{rung}") for rung, at in enumerate(steps)]
     trials = log.groupBy(*group, "trial").agg(F.max("step").alias("_end"), *last)
     trials = trials.select(*group, "trial", *[F.when(F.col("_end") >= at, F.col(f"_v{rung}")).alias(f"_v{rung}") for rung, at in enumerate(steps)])
-    trials = trials.withColumn("_alive", F.lit(True))
+    here, parts = materialize(trials), []
     for rung in range(rungs):
-        # those out of the race keep their row: the log is read once, each rung adds a rank
-        taking_part = F.col("_alive") & F.col(f"_v{rung}").isNotNull()
-        here = trials.withColumns({"_in": taking_part, "_order": F.col(f"_v{rung}") * sign})
-        here = materialize(here)  # used three times below
-        counts = here.where("_in").groupBy(*group, "_order").agg(F.count("*").alias("n"))
-        below = running_below(counts, group, "_order", ["n"]).select(*group, "_order", F.lit(True).alias("_in"), "below_n", "total_n")
-        here = same_keys(here, below, [*group, "_order", "_in"])
-        place = F.col("below_n") + F.row_number().over(Window.partitionBy(*group, "_order", "_in").orderBy("trial"))
-        size = F.col("total_n")
-        quota = F.greatest(F.lit(1), F.floor(size / F.lit(reduction_factor)))
-        trials = here.withColumn(f"_s{rung}", F.when(F.col("_in"), place <= quota))
-        trials = trials.withColumn("_alive", F.coalesce(F.col(f"_s{rung}"), F.lit(False))).select(
-            *group, "trial", "_alive", *[f"_v{r}" for r in range(rungs)], *[f"_s{r}" for r in range(rung + 1)])
-    rows = F.array(*[F.struct(F.lit(r).alias("rung"), F.col(f"_v{r}").alias("value"), F.col(f"_s{r}").alias("survived")) for r in range(rungs)])
-    return trials.select(*group, "trial", F.explode(rows).alias("_r")).select(*group, "trial", "_r.*").where(F.col("survived").isNotNull())
+        # a rung's rows are fixed once; the next rung reads only those of them that went on
+        rows = here.where(F.col(f"_v{rung}").isNotNull()).withColumn("_order", F.col(f"_v{rung}") * sign)
+        part = materialize(_best_share(rows, group, reduction_factor).drop("_order"))
+        parts.append(part.select(*group, "trial", F.lit(rung).alias("rung"), F.col(f"_v{rung}").alias("value"), F.col("_survived").alias("survived")))
+        here = part.where("_survived").drop("_survived")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best_share(rows: DataFrame, group: Sequence[str], factor: int, margin: float = 0.002) -> DataFrame:
+    """Add ``_survived``: whether a row is among the first 1/factor (at least one) of its group by ``_order`` and trial.
+
+    Only the value at that place is wanted, so nothing is sorted whole: approximate quantiles on both sides of it serve as
+    edges, the rows below and up to them are counted, and a window ranks what lies between, a few thousandths of
+    a group. Where the counts show that the place is not between the edges, all rows of the group are ranked.
+    """
+    group = list(group)
+    clean = F.when(~F.isnan("_order"), F.col("_order"))
+    edges = F.percentile_approx(clean, [max(0.0, 1 / factor - margin), min(1.0, 1 / factor + margin)], 10_000)
+    stats = rows.groupBy(*group).agg(F.greatest(F.lit(1), F.floor(F.count("*") / F.lit(factor))).alias("_quota"), edges.alias("_e"))
+    stats = bounded(stats.select(*group, "_quota", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi")))
+    placed = same_keys(rows, stats, group, "inner")
+    counted = placed.groupBy(*group).agg(F.count_if(F.col("_order") < F.col("_lo")).alias("_below"),
+                                         F.count_if(F.col("_order") <= F.col("_hi")).alias("_upto"), F.max("_quota").alias("_q"))
+    sound = F.coalesce((F.col("_below") < F.col("_q")) & (F.col("_q") <= F.col("_upto")), F.lit(False))
+    counted = bounded(counted.select(*group, F.when(sound, F.col("_below")).otherwise(0).alias("_start"), sound.alias("_sound")))
+    placed = same_keys(placed, counted, group, "inner")
+    between = ~F.col("_sound") | F.coalesce(F.col("_order").between(F.col("_lo"), F.col("_hi")), F.lit(False))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy(*group).orderBy("_order", "trial"))
+    decided = placed.where(~between).withColumn("_survived", F.col("_order") < F.col("_lo"))
+    ranked = placed.where(between).withColumn("_survived", place <= F.col("_quota"))
+    return decided.unionByName(ranked).drop("_quota", "_lo", "_hi", "_start", "_sound")
 
 
 HYPERBAND_BRACKETS = 5
@@ -389,17 +409,29 @@ def sweep_grouped_udf(df: DataFrame, combination: Sequence[str], summarise: Call
 
 def sweep_ml_estimator(df: DataFrame, estimator: Estimator, grid: Sequence[Mapping[str, object]],
                        evaluate: Callable[[DataFrame], DataFrame], test: DataFrame | None = None,
-                       raise_on_error: bool = False) -> DataFrame:
+                       raise_on_error: bool = False, concurrent: int = 1, timeout: float | None = None) -> DataFrame:
     """Fit a ``pyspark.ml`` estimator for each parameter setting of a (short) grid and evaluate it.
 
     Every fit and evaluation is itself a distributed job; ``evaluate`` turns predictions into one row of metrics. The
     rows are kept in memory, or on disk where that is full, during the loop. Without ``test`` the training rows are evaluated.
+
+    Up to ``concurrent`` settings run side by side, each in a scheduler pool of its own (with ``spark.scheduler.mode`` FAIR they share
+    the executors evenly; without it a later one takes what an earlier one leaves). The jobs of a setting that takes longer than
+    ``timeout`` seconds are cancelled, and it becomes a FAILED row like one that raises; the others go on.
     """
     spark = df.sparkSession
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     test = df if test is None else test.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(setting: Mapping[str, object]) -> Mapping[str, object]:
+        model = estimator.fit(df, {estimator.getParam(k): v for k, v in setting.items()})
+        return evaluate(model.transform(test)).first().asDict()
+
     try:
-        rows = _fit_each(df, test, estimator, grid, evaluate, raise_on_error)
+        with ThreadPoolExecutor(max(1, concurrent)) as pool:
+            run = inheritable_thread_target(spark)(lambda n, setting: _fit_one(spark.sparkContext, n % max(1, concurrent), lambda: fit(setting), timeout, raise_on_error))
+            found = [pool.submit(run, n, setting) for n, setting in enumerate(grid)]
+            rows = [(n, {k: str(v) for k, v in setting.items()}, *f.result()) for n, (setting, f) in enumerate(zip(grid, found))]
     finally:
         test.unpersist()
         df.unpersist()
@@ -407,18 +439,30 @@ def sweep_ml_estimator(df: DataFrame, estimator: Estimator, grid: Sequence[Mappi
     return spark.createDataFrame(rows, schema)
 
 
-def _fit_each(df: DataFrame, test: DataFrame, estimator: Estimator, grid, evaluate, raise_on_error: bool) -> list[tuple]:
-    rows = []
-    for trial, setting in enumerate(grid):
-        start = time.perf_counter()
-        params = {k: str(v) for k, v in setting.items()}
-        try:
-            model = estimator.fit(df, {estimator.getParam(k): v for k, v in setting.items()})
-            metrics = evaluate(model.transform(test)).first().asDict()
-            rows.append((trial, params, "FINISHED", None, time.perf_counter() - start,
-                         {k: float(v) for k, v in metrics.items() if v is not None}))
-        except Exception as error:  # noqa: BLE001 - a failed setting is a result
-            if raise_on_error:
-                raise
-            rows.append((trial, params, "FAILED", f"{type(error).__name__}: {error}", time.perf_counter() - start, {}))
-    return rows
+def _fit_one(context, pool: int, fit: Callable[[], Mapping[str, object]], timeout: float | None, raise_on_error: bool) -> tuple:
+    """(status, exception, elapsed, metrics) of one setting, whose jobs are a group that is cancelled at the deadline."""
+    start, group, done, late = time.perf_counter(), f"fit-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(timeout):
+            late.set()
+            while not done.wait(0.2):  # a fit of many jobs may start another one after its last was cancelled
+                context.cancelJobGroup(group)
+
+    context.setJobGroup(group, "one setting of a sweep", interruptOnCancel=True)
+    context.setLocalProperty("spark.scheduler.pool", f"fits-{pool}")
+    if timeout:
+        threading.Thread(target=watch, daemon=True).start()
+    try:
+        metrics = fit()
+        return "FINISHED", None, time.perf_counter() - start, {k: float(v) for k, v in metrics.items() if v is not None}
+    except Exception as error:  # noqa: BLE001 - a failed setting is a result
+        if raise_on_error:
+            raise
+        text = f"TimeoutError: fit took longer than {timeout} s" if late.is_set() else f"{type(error).__name__}: {error}"
+        return "FAILED", text, time.perf_counter() - start, {}
+    finally:
+        done.set()
+        context.setLocalProperty("spark.scheduler.pool", None)
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     from runquarry.plans import (grid_plans, merge_plans, metric_plans, nested_plans, preprocess_plans, run_plans,  # noqa: F401
-                                 runlog_plans, stats_plans, stream_plans, sweep_plans)
+                                 runlog_plans, stats_plans, stream_plans, sweep_plans, tpe_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -244,7 +244,10 @@ def _log(t):
     return t["metrics"].select(F.col("key").alias("study"), F.expr("cast(replace(run_uuid, 'run-', '') AS bigint)").alias("trial"), "step", "value")
 
 
-@query("halving_survivors", f"WITH {_LOG}, {_HALVING[0]} SELECT study, trial, rung, value, survived FROM ({_HALVING[1]})")
+HALVING_SQL = f"WITH {_LOG}, {_HALVING[0]} SELECT study, trial, rung, value, survived FROM ({_HALVING[1]})"
+
+
+@query("halving_survivors", HALVING_SQL)
 def _(t):
     return W.halving_survivors(_log(t), ["study"], reduction_factor=2, min_resource=1)
 

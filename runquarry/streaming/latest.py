@@ -1,4 +1,4 @@
-"""Latest metrics kept up to date from an append-only log."""
+"""Latest metrics kept up to date from an append-only log, without state."""
 
 from __future__ import annotations
 
@@ -9,18 +9,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def start_latest_metrics(log: DataFrame, location: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Follow a streaming (run_uuid, key, value, step, ts) log and write each batch's changed rows below ``location``.
+    """Follow a streaming (run_uuid, key, value, step, ts) log and write each batch's last values below ``location``.
 
-    State is one row per (run, key). A batch goes to its own folder and is overwritten when it is run again, so
-    a restart after a failure neither loses nor doubles rows. No watermark: a late row of a lower step loses anyway.
+    A last value is the highest of what the batches hold, so batches are merged when the view is read or folded, and the
+    stream keeps no state: nothing grows with the runs that have ended, and late rows need no watermark. A batch goes to
+    its own folder and is overwritten when it is run again, so a restart after a failure neither loses nor doubles rows.
     """
-    latest = log.groupBy("run_uuid", "key").agg(F.max(F.struct("step", "ts", "value")).alias("last"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{location}/batch={batch_id}")
+        last = batch.groupBy("run_uuid", "key").agg(F.max(F.struct("step", "ts", "value")).alias("last"))
+        last.write.mode("overwrite").parquet(f"{location}/batch={batch_id}")
 
-    return (latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def fold_latest_metrics(spark: SparkSession, location: str) -> None:

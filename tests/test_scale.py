@@ -27,6 +27,13 @@ def test_running_below_equals_window(spark):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.where("g is null").count() == 3
 
 
+def test_running_below_by_ranges_equals_window(spark):
+    d = _skewed(spark).groupBy("g", "x").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
+    keys = ["g", "x", "below_n", "total_n", "below_s", "total_s"]
+    ranges, window = (running_below(d, ["g"], "x", ["n", "s"], few_rows=few).select(*keys) for few in (0, 50_000))
+    assert ranges.exceptAll(window).isEmpty() and window.exceptAll(ranges).isEmpty() and window.count() == d.count()
+
+
 def test_running_below_of_a_constant(spark):
     d = spark.createDataFrame([("a", 1.0, 2), ("b", 5.0, 3)], "g string, x double, n bigint")
     rows = {r["g"]: (r["below_n"], r["total_n"]) for r in running_below(d, ["g"], "x", ["n"]).collect()}

@@ -138,6 +138,25 @@ def test_halving_against_brute_force(spark):
     assert sorted((r["trial"], r["rung"], r["value"], r["survived"]) for r in got.collect()) == _halving(rows, 2, [1, 2, 4, 8])
 
 
+@pytest.mark.parametrize("kind", ["ties", "spread", "nan", "infinite"])
+def test_halving_of_many_trials(spark, kind):
+    rng = np.random.default_rng(7)
+    value = {"ties": lambda: float(rng.integers(0, 3)), "spread": rng.random, "nan": lambda: float(rng.choice([np.nan, 1.0, 2.0])),
+             "infinite": lambda: float(rng.choice([np.inf, -np.inf, 0.0]))}[kind]
+    rows = [(s, t, step, value()) for s in (None, 1, 2) for t in range({None: 3000, 1: 50, 2: 1}[s]) for step in (1, 3, 9)[:1 + t % 3]]
+    log = spark.createDataFrame(rows, "study int, trial bigint, step bigint, value double")
+    got = W.halving_survivors(log, ["study"], "maximize", reduction_factor=3, min_resource=1).collect()
+    order = lambda v: (np.isnan(v), -v if not np.isnan(v) else 0)  # noqa: E731  NaN comes last
+    for study in (None, 1, 2):
+        values = {(t, step): v for s, t, step, v in rows if s == study}
+        alive = {t for t, _ in values}
+        for rung, step in enumerate((1, 3, 9)):
+            here = sorted((t for t in alive if (t, step) in values), key=lambda t: (order(values[t, step]), t))
+            alive = set(here[:max(1, len(here) // 3)]) if here else set()
+            mine = {r["trial"]: r["survived"] for r in got if r["study"] == study and r["rung"] == rung}
+            assert mine == {t: t in alive for t in here}, (study, rung)
+
+
 def test_hyperband_brackets(spark):
     log = spark.createDataFrame([(1, t, s, float(t)) for t in range(10) for s in range(1, 17)], "study int, trial int, step bigint, value double")
     out = W.hyperband_survivors(log, ["study"], 16)
@@ -207,6 +226,41 @@ def test_ml_estimator(spark):
         W.sweep_ml_estimator(df, LinearRegression(), grid[2:], rmse, raise_on_error=True)
 
 
+def test_settings_side_by_side(spark):
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)], "x double, label double"))
+    slow = F.udf(lambda v: __import__("time").sleep(40.0 if v == 3.0 else 0.0) or v, "double")
+
+    def evaluate(p):
+        # the setting with the large penalty predicts badly and hangs in a job
+        bad = p.agg(F.max(F.abs(F.col("label") - F.col("prediction")))).first()[0] > 1
+        if bad:
+            p = p.withColumn("x", slow(F.when(F.col("x") >= 0, F.lit(3.0)))).where("x >= 0")
+        return p.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2)).alias("rmse"))
+
+    grid = [{"regParam": 0.0}, {"regParam": 100.0}, {"regParam": -1.0}, {"regParam": 0.0001}]
+    rows = W.sweep_ml_estimator(df, LinearRegression(solver="normal"), grid, evaluate, concurrent=4, timeout=6).orderBy("trial").collect()
+    assert [r["status"] for r in rows] == ["FINISHED", "FAILED", "FAILED", "FINISHED"]
+    assert rows[1]["exception"] == "TimeoutError: fit took longer than 6 s" and rows[1]["elapsed"] < 30 and rows[1]["metrics"] == {}
+    assert "regParam" in rows[2]["exception"] and rows[3]["metrics"]["rmse"] < 0.1
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_settings_do_not_wait_for_each_other(spark):
+    import time
+
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)], "x double, label double"))
+
+    def evaluate(p):
+        time.sleep(2)
+        return p.agg(F.avg("prediction").alias("mean"))
+
+    start = time.perf_counter()
+    rows = W.sweep_ml_estimator(df, LinearRegression(solver="normal"), [{"regParam": 0.1 * i} for i in range(6)], evaluate, concurrent=6).collect()
+    assert len(rows) == 6 and time.perf_counter() - start < 0.8 * sum(r["elapsed"] for r in rows)
+
+
 def test_bagged(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 5.0)], "trial int, m double")
     assert {r["trial"]: (r["value"], r["n_bagging"]) for r in W.bagged_objective(df, ["trial"], "m").collect()} == {1: (1.5, 2), 2: (5.0, 1)}

@@ -132,6 +132,8 @@ def test_key_filter(spark):
     for limits in ({}, {"max_local": 10}, {"max_local": 10, "max_words": 1}):
         assert _rows(known_rows(both, target, ["k", "j"], **limits)) == want
         assert _rows(known_rows(both, target, ["k", "j"], known=False, **limits)) == fresh
+    longer = source.withColumn("j", F.col("j").cast("int"))  # a key of another type is compared, not hashed
+    assert known_rows(longer, target, ["k", "j"], max_local=10).count() == 2000
     # a filter that lets everything pass changes no result
     assert _rows(source.join(KeyFilter.of(source, ["k"], 1).maybe(target.select("k")), ["k"], "left_semi")) == _rows(source)
 
