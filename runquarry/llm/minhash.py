@@ -183,9 +183,9 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
     reps = fixed(reps, "sets")
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("c")[i], F.col("c")[j]) for t, (i, j) in enumerate(combinations(range(m), 2))])
     tables = reps.select("g", F.explode(keys).alias("k"))
-    shared = tables.groupBy("k").agg(F.min("g").alias("hub"), F.max("g").alias("last")).where("hub <> last").drop("last")
-    # (k, g, n, hub) of keys that several sets have; a set's size joins the few rows that are left
-    buckets = fixed(tables.join(shared, "k").join(reps.select("g", "n"), "g").select("k", "g", "n", "hub"), "buckets")
+    # only the key and a count travel to find what several sets have; the rest joins the few rows that are left
+    shared = tables.groupBy("k").agg(F.count("*").alias("size")).where("size > 1").select("k")
+    buckets = fixed(tables.join(shared, "k").join(reps.select("g", "n"), "g").select("k", "g", "n"), "buckets")
 
     wanted = buckets.select("g").distinct().join(reps.select("g", "rep"), "g").select(F.col("rep").alias("id")).distinct()
     full = rows_in.where("id is not null").join(wanted, "id", "left_semi").mapInArrow(sets, "g bigint, s array<bigint>")
@@ -204,7 +204,8 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
         return df.where(able & (F.col("g") != F.col(other))).select(F.least("g", other).alias("a"), F.greatest("g", other).alias("b")).distinct()
 
     size_of = lambda name: reps.select(F.col("g").alias(name), F.col("n").alias(f"{name}_n"))
-    star = buckets.select("g", "n", "hub").distinct().join(size_of("hub"), "hub")
+    hubs = buckets.groupBy("k").agg(F.min("g").alias("hub"))
+    star = buckets.join(hubs, "k").select("g", "n", "hub").distinct().join(size_of("hub"), "hub")
     tested = fixed(pairs_of(star, "hub", "hub_n"), "pairs")
     links = fixed(verified(tested), "text-links")
     for step in range(star_rounds + 1):
