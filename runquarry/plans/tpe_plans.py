@@ -51,9 +51,9 @@ k AS (SELECT b.*, good, trial, CASE WHEN log THEN ln(number) ELSE number END AS
 g AS (SELECT *, mu - lag(mu) OVER o AS l, lead(mu) OVER o - mu AS r FROM k WINDOW o AS (PARTITION BY study, param, good ORDER BY mu, trial NULLS LAST)),
 z AS (SELECT *, (CASE WHEN trial IS NULL THEN hi - lo ELSE least(hi - lo, greatest((hi - lo) / least(100, n + 1), greatest(coalesce(l, r), coalesce(r, l)))) END) * sqrt(3) / pi() AS scale FROM g),
 a AS (SELECT *, low + (high - low) * j / 2 AS number FROM z, (SELECT unnest([0, 1, 2]) AS j)),
-e AS (SELECT *, CASE WHEN log THEN ln(number) ELSE number END AS at FROM a),
-f AS (SELECT *, CASE WHEN step IS NULL THEN exp(-abs((at - mu) / scale)) / (scale * (1 + exp(-abs((at - mu) / scale))) ** 2)
-      ELSE 1 / (1 + exp(-(at + step / 2 - mu) / scale)) - 1 / (1 + exp(-(at - step / 2 - mu) / scale)) END
+e AS (SELECT *, CASE WHEN log THEN ln(number) ELSE number END AS place_x FROM a),
+f AS (SELECT *, CASE WHEN step IS NULL THEN exp(-abs((place_x - mu) / scale)) / (scale * (1 + exp(-abs((place_x - mu) / scale))) ** 2)
+      ELSE 1 / (1 + exp(-(place_x + step / 2 - mu) / scale)) - 1 / (1 + exp(-(place_x - step / 2 - mu) / scale)) END
       / (1 / (1 + exp(-(hi - mu) / scale)) - 1 / (1 + exp(-(lo - mu) / scale))) AS one FROM e)
 SELECT study, param, j AS place, number, good, round(sum(weight * one) / sum(weight), 9) AS density FROM f GROUP BY ALL""")
 def _(t):
