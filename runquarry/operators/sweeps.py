@@ -429,8 +429,11 @@ def sweep_ml_estimator(df: DataFrame, estimator: Estimator, grid: Sequence[Mappi
 
     try:
         with ThreadPoolExecutor(max(1, concurrent)) as pool:
-            run = inheritable_thread_target(spark)(lambda n, setting: _fit_one(spark.sparkContext, n % max(1, concurrent), lambda: fit(setting), timeout, raise_on_error))
-            found = [pool.submit(run, n, setting) for n, setting in enumerate(grid)]
+            def run(n: int, setting: Mapping[str, object]) -> tuple:
+                return _fit_one(spark.sparkContext, n % max(1, concurrent), lambda: fit(setting), timeout, raise_on_error)
+
+            # wrapped once each: what is wrapped together shares its job group
+            found = [pool.submit(inheritable_thread_target(spark)(run), n, setting) for n, setting in enumerate(grid)]
             rows = [(n, {k: str(v) for k, v in setting.items()}, *f.result()) for n, (setting, f) in enumerate(zip(grid, found))]
     finally:
         test.unpersist()
