@@ -86,7 +86,7 @@ def sql_source(spark: SparkSession, query: str, tables: Mapping[str, DataFrame])
 
 
 def append_table(df: DataFrame, location: str, format: str = "parquet") -> DataFrame:
-    """Append rows to a table and return the whole table."""
+    """Append rows to a table and return the whole table. ``VersionedStore.append`` makes a repeated append harmless."""
     df.write.format(format).mode("append").save(location)
     return df.sparkSession.read.format(format).load(location)
 
