@@ -35,7 +35,16 @@ def fixed(df: DataFrame, name: str = "stage", by: list[str] | None = None) -> Da
     """``df`` written once to the shared folder and read back: rows, ids and lineage are fixed from here on."""
     path = scratch_path(df.sparkSession, name)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._rq_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``fixed`` that nothing reads any more: neither what follows nor what it is made of."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._rq_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def worker_once(key: str, make: Callable[[], object]):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from runquarry.llm.common import fixed, lists, mix64, slices, text_bytes
+from runquarry.llm.common import fixed, lists, mix64, release, slices, text_bytes
 from runquarry.llm.components import connected
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
@@ -208,6 +208,7 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
     star = buckets.join(hubs, "k").select("g", "n", "hub").distinct().join(size_of("hub"), "hub")
     tested = fixed(pairs_of(star, "hub", "hub_n"), "pairs")
     links = fixed(verified(tested), "text-links")
+    done = [buckets, full, tested, links]  # tables that are of no use once all links are known
     for step in range(star_rounds + 1):
         groups = connected(links, "a", "b").select(F.col("id").alias("g"), "component")
         placed = buckets.select("k", "g", "n").join(groups, "g", "left").withColumn("component", F.coalesce("component", "g"))
@@ -219,9 +220,10 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
         pairs = fixed(pairs_of(at.where("component <> hub_c"), "hub", "hub_n").join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         links = fixed(links.unionByName(verified(pairs)), "text-links")
+        done += [pairs, links]
     left = fixed(placed.join(mixed.select("k", F.col("h.g").alias("hub")), "k").select("g", "hub").distinct(), "mixed")
     clusters = connected(left.where("g <> hub"), "g", "hub").select(F.col("id").alias("g"), F.col("component").alias("cluster"))
-    rest = fixed(clusters.join(full, "g"), "clusters")
+    rest = clustered = fixed(clusters.join(full, "g"), "clusters")
     blocks = rest.groupBy("cluster").agg(F.ceil(F.sum(F.size("s")) / block_shingles).alias("blocks"))
     rest = rest.join(blocks, "cluster").groupBy("cluster", "blocks", F.pmod(F.xxhash64("g"), F.col("blocks")).alias("i")).agg(F.collect_list(F.struct("g", "s")).alias("x"))
     one = rest.select("cluster", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), F.col("x").alias("a"))
@@ -238,6 +240,7 @@ def near_duplicate_texts(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     found = one.join(two, ["cluster", "i", "j"]).select("a", "b").mapInArrow(compare, "a bigint, b bigint")
     links = fixed(links.unionByName(found), "text-links")
+    release(*done, left, clustered)
     groups = connected(links, "a", "b").select(F.col("id").alias("g"), "component")
     placed = reps.select("g", "rep").join(groups, "g", "left").withColumn("component", F.coalesce("component", "g"))
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
