@@ -135,18 +135,19 @@ def running_below(d: DataFrame, groups: Sequence[str], order: str, sums: Sequenc
     """Per row, the sums over all rows of its group with a *lower* ``order`` value, and over the whole group.
 
     ``d`` holds one row per (group, order value). Adds ``below_<c>`` and ``total_<c>`` for each c in ``sums``. Up to ``few_rows``
-    rows, which are counted by taking them, are local and need one window. More are
-    range-partitioned by group and value and fixed by a checkpoint; as no two rows are equal, no partition can be
+    rows, which are counted by taking them, are local and need one window (0: not tried, for counts that are hardly
+    fewer than the rows). More are range-partitioned by group and value and fixed by a checkpoint; as no two rows are equal, no partition can be
     skewed, whatever the values and the group sizes are. Rows are summed within their partition, and the sums of
     the group's lower partitions (one row per group and partition) are added. NULL groups are groups.
     """
     groups = list(groups)
     earlier = Window.unboundedPreceding, -1
-    few = bounded(d, few_rows)
+    few = bounded(d, few_rows) if few_rows else d
     if few is not d:
         before, whole = Window.partitionBy(*groups).orderBy(order).rowsBetween(*earlier), Window.partitionBy(*groups)
         return few.select("*", *[x for c in sums for x in (F.sum(c).over(whole).alias(f"total_{c}"), F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"below_{c}"))])
-    d = materialize(d)  # the bounds of the ranges and the rows themselves come from one evaluation
+    if few_rows:
+        d = materialize(d)  # it has been evaluated once already
     ranged = materialize(d.repartitionByRange(*groups, order).withColumn("_part", F.spark_partition_id()))
     before, whole = Window.partitionBy(*groups).orderBy("_part").rowsBetween(*earlier), Window.partitionBy(*groups)
     per_part = ranged.groupBy(*groups, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])

@@ -58,7 +58,7 @@ def rank_in_block(df: DataFrame, blocks: Sequence[str], metric: str, ascending:
     value = null_if_nan(metric)
     df = df.withColumn("_order", value if ascending else -value)
     counts = df.where(F.col("_order").isNotNull()).groupBy(*blocks, "_order").agg(F.count("*").alias("n"))
-    ranks = running_below(_complete_keys(counts, blocks), blocks, "_order", ["n"]).select(
+    ranks = running_below(_complete_keys(counts, blocks), blocks, "_order", ["n"], few_rows=0).select(
         *blocks, "_order", _average_rank(F.col("below_n") + 1, F.col("n")).alias("rank"))
     return df.join(ranks, [*blocks, "_order"], "left").drop("_order")
 

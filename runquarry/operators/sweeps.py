@@ -145,7 +145,7 @@ def effective_trials(trials: DataFrame, keys: Sequence[str], timeout_total: floa
     """Trials that were started within the time budget: the one that passes it is the last. 0 means no limit."""
     if timeout_total <= 0:
         return trials
-    spent = running_below(trials.groupBy(*keys, "trial").agg(F.sum(elapsed).alias("_e")), keys, "trial", ["_e"])
+    spent = running_below(trials.groupBy(*keys, "trial").agg(F.sum(elapsed).alias("_e")), keys, "trial", ["_e"], few_rows=0)
     started = spent.where(F.col("below__e") <= timeout_total).select(*keys, "trial")
     return same_keys(trials, started, [*keys, "trial"], "left_semi")
 
