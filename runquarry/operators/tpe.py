@@ -104,10 +104,12 @@ def kernel_density(x: Column, mu: Column, sigma: Column, lo: Column, hi: Column,
 def densities(kernels: DataFrame, points: DataFrame, keys: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """(keys, param, ids, good, density) of numbers under both sides; ``points`` is (keys, param, ids, number).
 
-    Points meet the kernels of their study and parameter in a join; their densities are combined before the shuffle.
+    Kernels of one place and width differ in their weights only and count as one, so a number that was tried often costs
+    no more. Points meet the kernels of their study and parameter in a join; their densities are combined before the shuffle.
     """
     keys = [*keys, "param"]
-    at = same_keys(points, kernels.select(*keys, "good", "mu", "sigma", "weight", "lo", "hi", "log", "step"), keys, "inner")
+    merged = kernels.groupBy(*keys, "good", "mu", "sigma", "lo", "hi", "log", "step").agg(F.sum("weight").alias("weight"))
+    at = same_keys(points, merged, keys, "inner")
     x = F.when(F.col("log"), F.ln(F.nullif(F.col("number"), F.lit(0.0)))).otherwise(F.col("number"))
     one = kernel_density(x, *[F.col(c) for c in ("mu", "sigma", "lo", "hi", "log", "step")])
     return at.groupBy(*keys, *ids, "number", "good").agg((F.sum(F.col("weight") * one) / F.sum("weight")).alias("density"))

@@ -184,3 +184,16 @@ def test_study_without_trials(spark):
     got = Q.tpe_candidates(spec, trials.limit(0), values.limit(0), 3, seed=1, keys=["study"])
     assert got.count() == 3 * len(PARAMS)
     assert Q.tpe_candidates(spec.limit(0), trials, values, 3, seed=1, keys=["study"]).count() == 0
+
+
+def test_numbers_tried_often_are_one_kernel(spark):
+    """40 000 trials of two numbers meet a point as a few kernels, and the density is that of all."""
+    kernels = spark.range(40_000).selectExpr("1 AS study", "'x' AS param", "true AS good", "id % 2 * 1.0D AS mu", "0.5D AS sigma", "(id % 7 + 1) / 7.0D AS weight",
+                                             "0.0D AS lo", "1.0D AS hi", "false AS log", "cast(NULL AS double) AS step")
+    points = spark.createDataFrame([(1, "x", 0, 0.25)], "study int, param string, place int, number double")
+    found = Q.densities(kernels, points, ["study"], ["place"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and plan.rindex("Aggregate [") > plan.index("Join")  # summed below the join too
+    one = Q.kernel_density(F.lit(0.25), *[F.col(c) for c in ("mu", "sigma", "lo", "hi", "log", "step")])
+    expected = kernels.agg(F.sum(F.col("weight") * one) / F.sum("weight")).first()[0]
+    assert abs(found.first()["density"] - expected) < 1e-9
