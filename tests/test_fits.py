@@ -70,3 +70,22 @@ def test_sums_with_null_keys(spark):
         assert got[None, "None"] == {"mean": 2.0, "known": 0.0}
         if len(got) > 1:
             assert got == {(None, "None"): {"mean": 2.0, "known": 0.0}, ("a", "nan"): {"mean": 1.0, "known": 2.0}, ("a", "None"): {"mean": 2.5, "known": 1.0}}
+
+
+def test_many_combinations_share_a_batch(spark):
+    """Far more rows than a batch of Arrow has; NULL in one combination leaves the integers of the others as they are."""
+    rows = [(i % 700, None if i % 700 == 3 and i > 5000 else 2**60 + i % 700, None if i % 700 == 4 and i > 5000 else True, i) for i in range(35_000)]
+    df = spark.createDataFrame(rows, "g int, n bigint, b boolean, x bigint").repartition(3)
+
+    def fit(rows, combination):
+        kinds = [str(rows[c].dtype) for c in "gnbx"]
+        assert list(rows.index) == list(range(50)) and (rows["g"] == combination["g"]).all() and type(combination["g"]) is int
+        assert kinds == ["int32", "float64" if combination["g"] == 3 else "int64", "object" if combination["g"] == 4 else "bool", "int64"], kinds
+        return {"x": rows["x"].sum(), "low": 0 if combination["g"] == 3 else (rows["n"] - 2**60).max(), "holes": rows["n"].isna().sum() + rows["b"].isna().sum()}
+
+    found = fit_combinations(df, ["g"], fit)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # a group of Spark's own for each took most of the time
+    got = {r["g"]: r for r in found.collect()}
+    assert len(got) == 700 and {r["exception"] for r in got.values()} == {None}
+    assert all(r["metrics"]["x"] == 50 * g + 700 * 1225 and r["metrics"]["low"] == (g if g != 3 else 0) for g, r in got.items())
+    assert got[3]["metrics"]["holes"] == got[4]["metrics"]["holes"] == 42 and got[5]["metrics"]["holes"] == 0
