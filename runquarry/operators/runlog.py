@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runquarry.functions.scale import bounded, dealt
 from runquarry.functions.text import column_text
 from runquarry.operators.nested import flatten_params
 
@@ -43,7 +44,10 @@ def log_metrics(results: DataFrame, run: str = "run_uuid", step: str = "step_nam
 def log_params_with_changes(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Rows to add for new params: unknown keys as they are, the same value not at all, another value as
     ``<key>_change_<n>`` with the smallest free n."""
-    touched = existing.select("run_uuid", "key", "value").join(new.select("run_uuid").distinct(), "run_uuid", "left_semi")
+    touched, asked = existing.select("run_uuid", "key", "value"), new.select("run_uuid").distinct()
+    few = bounded(asked)
+    if few is not asked:  # many runs are not looked up: what is known of other runs meets no new value
+        touched = touched.join(few, "run_uuid", "left_semi")
     suffix = "_change_([0-9]+)$"
     renamed = F.col("key").rlike(suffix)
     none = F.lit(None)
@@ -56,7 +60,7 @@ def log_params_with_changes(existing: DataFrame, new: DataFrame) -> DataFrame:
     old = touched.select("run_uuid", F.explode(F.when(renamed, F.array(itself, base)).otherwise(F.array(itself))).alias("_e"))
     rows = old.unionByName(new.select("run_uuid", entry(F.col("key"), none, none, F.col("value")).alias("_e"))).select("run_uuid", "_e.*")
     # one group per (run, key): its logged value, the numbers already used and the new value
-    met = rows.groupBy("run_uuid", "key").agg(F.max("old").alias("old"), F.collect_set("number").alias("used"), F.max("value").alias("value"))
+    met = dealt(rows, ["run_uuid", "key"]).groupBy("run_uuid", "key").agg(F.max("old").alias("old"), F.collect_set("number").alias("used"), F.max("value").alias("value"))
     free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), F.col("used")))
     name = F.when(F.col("old").isNull(), F.col("key")).otherwise(F.concat("key", F.lit("_change_"), free.cast("string")))
     return met.where(F.col("value").isNotNull() & ~F.col("old").eqNullSafe(F.col("value"))).select("run_uuid", name.alias("key"), "value")

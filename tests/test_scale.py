@@ -80,3 +80,12 @@ def test_bounded_sides_are_broadcast(spark):
     assert big.join(bounded(side), "k").count() == 1000
     assert local_frame(spark, [], "a string, b int").count() == 0
     assert [tuple(r) for r in local_frame(spark, [("x", None)], "a string, b int").collect()] == [("x", None)]
+
+
+def test_sorted_aggregates_are_dealt_to_bounded_partitions(spark):
+    """A maximum of structs or texts sorts its rows: one task must not get more of them as the table grows."""
+    from runquarry.functions.scale import dealt
+
+    rows = spark.range(40_000).selectExpr("concat('run-', id) AS run_uuid", "'k' AS key")
+    parts = dealt(rows, ["run_uuid", "key"], rows=1000)
+    assert parts.rdd.getNumPartitions() == 40 and max(len(p) for p in parts.rdd.glom().collect()) < 1300
