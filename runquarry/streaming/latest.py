@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from runquarry.functions.scale import dealt
+
 
 def start_latest_metrics(log: DataFrame, location: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Follow a streaming (run_uuid, key, value, step, ts) log and write each batch's last values below ``location``.
@@ -17,7 +19,8 @@ def start_latest_metrics(log: DataFrame, location: str, checkpoint: str, **trigg
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("run_uuid", "key").agg(F.max(F.struct("step", "ts", "value")).alias("last"))
+        values = batch.select("run_uuid", "key", F.struct("step", "ts", "value").alias("last"))
+        last = _last_values(values)
         last.write.mode("overwrite").parquet(f"{location}/batch={batch_id}")
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -41,7 +44,8 @@ def fold_latest_metrics(spark: SparkSession, location: str) -> None:
 
 
 def _last_values(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("run_uuid", "key").agg(F.max("last").alias("last"))
+    """A maximum of structs sorts its rows, so they are dealt to partitions of bounded size first."""
+    return dealt(changes.select("run_uuid", "key", "last"), ["run_uuid", "key"]).groupBy("run_uuid", "key").agg(F.max("last").alias("last"))
 
 
 def current_latest_metrics(spark: SparkSession, location: str) -> DataFrame:
