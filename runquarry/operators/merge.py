@@ -9,7 +9,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runquarry.functions.keyfilter import known_rows
-from runquarry.functions.scale import bounded, local_frame, number_rows, written
+from runquarry.functions.scale import MAX_BROADCAST_ROWS, bounded, local_frame, number_rows, same_keys, written
 from runquarry.schemas import DEFAULT_EXCLUDED, DELETED, PRIMARY_KEYS, STORE_SCHEMAS
 
 # Tables that point to an experiment / to a run.
@@ -79,7 +79,31 @@ def _unknown(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataF
     for key in keys:
         if key not in source.columns:
             raise ValueError(f"the table does not have a {key} column")
-    return known_rows(source, target, keys, known=False)
+    asked = source.select(*keys).distinct()
+    if bounded(asked) is not asked:
+        return known_rows(source, target, keys, known=False)
+    # Many runs: which of them are new is found from one row per run, and the rows themselves travel only where some are and some are not.
+    asked = written(asked)
+    fresh = written(known_rows(asked, target.select(*keys).distinct(), keys, known=False))
+    n = fresh.count()
+    if n == asked.count():
+        return source
+    return same_keys(source, bounded(fresh) if n <= MAX_BROADCAST_ROWS else fresh, keys, "left_semi")
+
+
+def _has_conflicts(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether ``merge_conflicts`` has rows. Common conflicts show among a few keys, and runs that are not shared have none."""
+    def some(df: DataFrame) -> DataFrame:
+        return df.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(64)) == 0)
+
+    def runs(df: DataFrame) -> DataFrame:
+        return df.select("run_uuid").distinct()
+
+    if not merge_conflicts(some(source), some(target), keys).isEmpty():
+        return True
+    if "run_uuid" in keys and len(keys) > 1 and merge_conflicts(runs(source), runs(target), ["run_uuid"]).isEmpty():
+        return False
+    return not merge_conflicts(source.select(*keys), target, keys).isEmpty()
 
 
 def merge_stores(spark: SparkSession, target: Mapping[str, DataFrame],
@@ -130,7 +154,7 @@ def merge_added(spark: SparkSession, target: Mapping[str, DataFrame], sources, t
         if try_to_insert_new and "run_uuid" in rows.columns:
             return fix(name, _unknown(rows, known[name], ["run_uuid"])), wrong
         keys = [k for k in PRIMARY_KEYS.get(name, []) if k in rows.columns and k in known[name].columns]
-        if keys and not merge_conflicts(rows, known[name], keys).isEmpty():
+        if keys and _has_conflicts(rows, known[name], keys):
             if try_to_insert_new:
                 raise ValueError(f"table {name} does not have a run_uuid column")
             return None, [*wrong, f"table {name}: some keys already exist in the target"]
@@ -180,7 +204,8 @@ def gc_table(store: Mapping[str, DataFrame], table: str) -> DataFrame:
         return df.where(~F.coalesce(F.col("lifecycle_stage") == DELETED, F.lit(False)))
     parent, key = ("experiments", "experiment_id") if table == "experiment_tags" else ("runs", "run_uuid")
     gone = store[parent].where(F.col("lifecycle_stage") == DELETED).select(key)
-    return df.join(bounded(gone), key, "left_anti")
+    few = bounded(gone)
+    return df if few is not gone and few.isEmpty() else df.join(few, key, "left_anti")
 
 
 def gc_store(store: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from runquarry.functions.keyfilter import known_rows
-from runquarry.functions.scale import scratch_path
+from runquarry.functions.scale import scratch_path, written
 from runquarry.operators import merge as M
 from runquarry.plans.registry import query
 from runquarry.schemas import PRIMARY_KEYS
@@ -96,12 +96,15 @@ def _(t):
     return _merge_all(t, try_to_insert_new=False)
 
 
-def _merge_all(t, try_to_insert_new):
-    def of(name, runs):
-        return t[name].join(runs.select("run_uuid"), "run_uuid", "left_semi")
+def _rows_of(t, tables, **runs):
+    """{store: {table: its rows of the store's runs}}: each table meets all lists of runs in one join and is written once."""
+    parts = [r.select("run_uuid", *[F.lit(name == other).alias(f"_in_{other}") for other in runs]) for name, r in runs.items()]
+    marks = reduce(DataFrame.unionByName, parts).groupBy("run_uuid").agg(*[F.max(f"_in_{name}").alias(f"_in_{name}") for name in runs])
+    marked = {table: written(t[table].join(marks, "run_uuid")) for table in tables}
+    return {name: {table: marked[table].where(f"_in_{name}").select(*t[table].columns) for table in tables} for name in runs}
+
 
-    def eav(runs):
-        return {name: of(name, runs) for name in ("params", "tags", "metrics")}
+def _merge_all(t, try_to_insert_new):
 
     def lost():
         raise KeyError("experiments")
@@ -113,11 +116,12 @@ def _merge_all(t, try_to_insert_new):
         return experiments.select("experiment_id", F.lit("owner").alias("key"), F.col("name").alias("value"))
 
     failed = t["src_runs"].where("status = 'FAILED'")
+    rows = _rows_of(t, ("params", "tags", "metrics"), target=t["dst_runs"], first=t["src_runs"], late=failed)
     extra = t["experiments"].limit(1).select(F.lit(7).alias("experiment_id"), F.lit("LATE").alias("name"), F.lit("active").alias("lifecycle_stage"))
-    target = {"experiments": t["experiments"], "experiment_tags": t["experiment_tags"], "runs": t["dst_runs"], **eav(t["dst_runs"])}
-    first = {"experiments": t["src_experiments"], "experiment_tags": owners(t["src_experiments"].where("name LIKE '%_B'")), "runs": t["src_runs"], **eav(t["src_runs"])}
+    target = {"experiments": t["experiments"], "experiment_tags": t["experiment_tags"], "runs": t["dst_runs"], **rows["target"]}
+    first = {"experiments": t["src_experiments"], "experiment_tags": owners(t["src_experiments"].where("name LIKE '%_B'")), "runs": t["src_runs"], **rows["first"]}
     late = {"experiments": extra, "experiment_tags": owners(extra), "runs": renamed(failed).withColumn("experiment_id", F.lit(7)),
-            **{name: renamed(df) for name, df in eav(failed).items()}}
+            **{name: renamed(df) for name, df in rows["late"].items()}}
     merged, errors = M.merge_stores(t.spark, target, {"store-lost": lost, "store-1": first, "store-2": late}, try_to_insert_new=try_to_insert_new)
     pair = F.concat_ws("=", "key", "value")
     shown = [("experiments", F.col("name"), F.col("experiment_id").cast("string")), ("experiment_tags", F.col("experiment_id").cast("string"), pair),
@@ -145,11 +149,9 @@ def _(t):
 
 
 def _stores(t):
-    def of(runs):
-        return t["params"].join(runs.select("run_uuid"), "run_uuid", "left_semi")
-
-    return ({"experiments": t["experiments"], "runs": t["dst_runs"], "params": of(t["dst_runs"])},
-            {"experiments": t["src_experiments"], "runs": t["src_runs"], "params": of(t["src_runs"])})
+    rows = _rows_of(t, ("params",), target=t["dst_runs"], source=t["src_runs"])
+    return ({"experiments": t["experiments"], "runs": t["dst_runs"], **rows["target"]},
+            {"experiments": t["src_experiments"], "runs": t["src_runs"], **rows["source"]})
 
 
 # Version 1 is the target, 2 the merge, 3 the clean-up; the merge is done twice and the clean-up too, without another version.

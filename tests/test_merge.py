@@ -106,3 +106,23 @@ def test_gc(spark):
     assert sorted(str(r[0]) for r in clean["params"].select("run_uuid").collect()) == ["None", "stray", "y"]
     twice = M.gc_store(clean)
     assert all(sorted(map(str, twice[n].collect())) == sorted(map(str, clean[n].collect())) for n in store)
+
+
+def _parts(spark, runs):
+    return runs.selectExpr("concat('run-', id) AS run_uuid", "explode(array('a', 'b')) AS key").selectExpr("*", "'v' AS value")
+
+
+def test_many_runs_travel_as_runs(spark, monkeypatch):
+    """Beyond the bound only one row per run is compared: a source that is all new is not shuffled, a known one adds nothing."""
+    monkeypatch.setattr(M, "bounded", lambda df, *_: df)
+    monkeypatch.setattr(M, "MAX_BROADCAST_ROWS", 0)
+    old, new, both = _parts(spark, spark.range(0, 300)), _parts(spark, spark.range(300, 500)), _parts(spark, spark.range(200, 400))
+    odd = spark.createDataFrame([(None, "a", "v"), ("run-1", "c", "v")], "run_uuid string, key string, value string")
+    assert M._unknown(new, old, ["run_uuid"]) is new
+    assert M._unknown(old, old, ["run_uuid"]).count() == 0
+    rows = M._unknown(both.unionByName(odd), old, ["run_uuid"]).collect()
+    assert len(rows) == 201 and sum(r["run_uuid"] is None for r in rows) == 1
+    keys = ["run_uuid", "key"]
+    assert M._has_conflicts(both, old, keys) and not M._has_conflicts(new, old, keys)
+    assert not M._has_conflicts(odd, old, keys)  # a known run with another key, and a NULL
+    assert M._has_conflicts(_parts(spark, spark.range(299, 301)), old, keys)
