@@ -111,11 +111,32 @@ class Aligner:
                 "groups": groups, "pairs": pairs, "where": where, "which": which, "times": times}
 
 
+def align_in_steps(aligner: Aligner, texts: list[str], step_bytes: int) -> dict:
+    """``align`` of many texts, some of about ``step_bytes`` at a time: its work arrays take a hundred times the texts, what is kept a few."""
+    found, some, size = [], [], 0
+    for t in [*texts, None]:
+        more = len(t) if t is not None else 0  # characters will do
+        if some and (t is None or size + more > step_bytes):
+            found.append((len(some), aligner.align(some)))
+            some, size = [], 0
+        if t is not None:
+            some.append(t)
+            size += more
+    if len(found) == 1:
+        return found[0][1]
+    pairs = np.unique(np.concatenate([f["pairs"] for _, f in found]))
+    before = np.cumsum([0, *[n for n, _ in found]])
+    joined = {"where": [f["where"] + n for n, (_, f) in zip(before, found)], "which": [np.searchsorted(pairs, f["pairs"])[f["which"]] for _, f in found],
+              **{name: [f[name] for _, f in found] for name in ("times", *_MEASURES)}}
+    return {"pairs": pairs, "groups": [g for _, f in found for g in f["groups"]], **{name: np.concatenate(x) for name, x in joined.items()}}
+
+
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def align_tokenizers(docs: DataFrame, path_a: str, pattern: str, path_b: str, key: str = "doc_id", text: str = "text",
-                     keep_groups: bool = False, block_bytes: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+                     keep_groups: bool = False,
+                     block_bytes: int = 4_000_000, step_bytes: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """How the tokens of two tokenizers lie over each other in every text, and how often their ids do in the corpus.
 
     A is a byte-level BPE file of the tokenizers library that encodes `` text`` without added tokens, B a sentencepiece model that
@@ -147,7 +168,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, pattern: str, path_b: str, ke
         for batch in batches:
             for some in slices(batch, "_text", block_bytes):
                 texts = some.column("_text").to_pylist()
-                found = aligner.align(texts)
+                found = align_in_steps(aligner, texts, step_bytes)
                 held = np.bincount(found["which"], weights=some.column("_documents").to_numpy()[found["where"]], minlength=len(found["pairs"]))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(found["where"], minlength=len(texts)))])
                 one = lambda x, kind: pa.array([x], pa.list_(kind))

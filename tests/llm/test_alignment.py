@@ -111,3 +111,30 @@ def test_whole_table(spark, libraries):
     want, _ = expected(libraries, [t for _, t in docs])
     assert sorted(map(tuple, out.collect())) == sorted((d, *w) for (d, _), w in zip(docs, want))
     assert queries.op13_tokenizer_alignment(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_a_block_is_aligned_in_steps():
+    """Work arrays are those of a step, not of a block, and the block's pairs, links and groups are the same."""
+    import numpy as np
+    import public_tokenizers
+
+    from runquarry.llm.alignment import Aligner, align_in_steps
+
+    aligner = Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [f"Some text {i} about the same words, über {i % 7} things." * (1 + i % 3) for i in range(200)]
+    sizes = []
+
+    class Recorder:
+        def align(self, some):
+            sizes.append(sum(map(len, some)))
+            return aligner.align(some)
+
+    whole, steps = aligner.align(texts), align_in_steps(Recorder(), texts, 1000)
+    assert len(sizes) > 10 and max(sizes) <= 1000
+    assert whole.keys() == steps.keys() and whole["groups"] is not None
+    for name in whole:
+        if name == "groups":
+            assert [bytes(g) for g in whole[name]] == [bytes(g) for g in steps[name]]
+        else:
+            assert np.array_equal(whole[name], steps[name]), name
+    assert align_in_steps(aligner, texts, 10**9)["n_links"].sum() == whole["n_links"].sum()
