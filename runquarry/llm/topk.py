@@ -6,8 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runquarry.llm.common import fixed
-
 #: Whole numbers that hold terms, narrowest first, and the largest each holds.
 _WIDTHS = {"tinyint": 2**7 - 1, "smallint": 2**15 - 1, "int": 2**31 - 1, "bigint": 2**63 - 1}
 #: Best candidates that a task keeps at a time for all its queries together, and bytes of the queries' terms.
@@ -151,8 +149,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, key: str, terms: str, k: in
     width = next(w for w, most in _WIDTHS.items() if max(high, q_high) <= most)
     size = (_WIDTHS[width].bit_length() + 1) // 8
     c_blocks, q_blocks = max(1, -(-n // candidate_rows)), max(1, -(-q // query_rows))
-    c = fixed(_packed(candidates, key, terms, width, c_blocks), "topk")
-    s = fixed(_packed(queries, key, terms, width, q_blocks), "topk")
+    # not written and read again: a reader of files takes as many blocks at once as it takes rows elsewhere
+    c, s = _packed(candidates, key, terms, width, c_blocks), _packed(queries, key, terms, width, q_blocks)
     # as few groups as a task's memory allows, but some tasks for each core
     c_groups = min(c_blocks, max(-(-c_blocks // GROUP_BLOCKS), -(-n_terms * size // GROUP_BLOCK_BYTES)))
     q_groups = min(q_blocks, max(-(-q * k // GROUP_BEST), -(-q_terms * size // GROUP_BYTES)))
